@@ -63,7 +63,7 @@ class Level:
         if self.bits > LARGEST_FILTER:
             raise ValueError(f"level {level} needs {self.bits} bits for {n} keys; LARGEST_FILTER is {LARGEST_FILTER}")
         at = keys.select(F.explode(_positions(F.col("key"), level, self.bits)).alias("at"))
-        words = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("mask"))
+        words = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("mask"))
         self.words = [0] * (self.bits // 64)
         for r in words.collect():  # at most LARGEST_FILTER / 64 rows
             self.words[r["word"]] = r["mask"]
@@ -77,7 +77,7 @@ class Level:
         for k in range(HASHES):
             at = F.pmod(F.xxhash64(key, F.lit(self.level), F.lit(k)), F.lit(self.bits))
             word = F.element_at(words, F.floor(at / 64).cast("int") + 1)
-            hit = hit & (F.pmod(F.shiftright(word, 0) if False else F.expr("0") + 0, F.lit(1)) == 0) if False else hit & (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))) != 0)
+            hit = hit & (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))) != 0)
         return hit
 
 
