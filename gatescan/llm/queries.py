@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatescan.llm import bpe, jaccard, language, packing, secrets, substrings, urls, vectors
+from gatescan.llm import bpe, jaccard, language, packing, quality, secrets, substrings, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,34 @@ select q.page_id, host, path, m.rule, coalesce(m.verdict, 'allow') as verdict fr
 """
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP7_SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents
+), g as (
+  select doc_id, i, list_slice(w, i, i + 7) as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d)
+), t as (
+  select doc_id, i, count(*) over (partition by doc_id, g) as c from g
+), r as (
+  select doc_id, count(distinct i + k) as n from t, range(8) as o(k) where c > 1 group by doc_id
+), s as (
+  select d.doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+    length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines,
+    coalesce(r.n, 0) as n_repeat_words from d left join r using (doc_id)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or 10 * n_symbols > word_chars or (n_lines > 3 and 100 * n_dup_lines > 50 * n_lines)
+    or word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
+from s
+"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs.where(~language.held_out()))
@@ -84,6 +112,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_quality_rules": op7_quality_rules,
     "op6_secret_scan": op6_secret_scan,
     "op8_url_filter": op8_url_filter,
     "op2_packing": op2_packing,
@@ -93,4 +122,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL, "op8_url_filter": OP8_SQL}

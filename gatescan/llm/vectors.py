@@ -42,8 +42,15 @@ def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((dim, bits * tables))
 
 
-def _matrix(column: pa.Array) -> list[np.ndarray]:
-    return [np.asarray(v, dtype=np.float64) for v in column.to_pylist()]
+def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a list column without nulls, in double precision, and where each list begins (n + 1 offsets)."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate(([0], np.cumsum(whole.value_lengths().to_numpy(zero_copy_only=False))))
+
+
+def _take(flat: tuple[np.ndarray, np.ndarray], at: np.ndarray, dim: int) -> np.ndarray:
+    """The lists at these places, all of length dim, as a matrix."""
+    return flat[0][flat[1][at][:, None] + np.arange(dim)]
 
 
 def _signatures(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -51,19 +58,20 @@ def _signatures(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = _matrix(b.column(3))
-            for dim in sorted({len(r) for r in rows}):
-                pick = [k for k, r in enumerate(rows) if len(r) == dim]
-                signs = np.stack([rows[k] for k in pick]) @ _planes(dim, bits, tables) > 0
+            flat = _flat(b.column(3))
+            lengths = np.diff(flat[1])
+            for dim in np.unique(lengths).tolist():
+                pick = np.flatnonzero(lengths == dim)
+                signs = _take(flat, pick, dim) @ _planes(dim, bits, tables) > 0
                 sigs = signs.reshape(len(pick), tables, bits) @ (1 << np.arange(bits))
                 part = b.take(pa.array(pick))
                 for at in range(0, len(pick), 512):
                     n = min(512, len(pick) - at)
                     rep = np.repeat(np.arange(at, at + n), tables)
                     own = part.take(pa.array(rep))
-                    flat = sigs[at : at + n].astype(np.int32)
-                    lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * tables, flat.reshape(-1)).take(pa.array(rep - at))
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(np.full(n * tables, dim, dtype=np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(flat.reshape(-1)), lists, own.column(3)], ["id", "copies", "label", "dim", "tab", "sig", "sigs", "vector"])
+                    own_sigs = sigs[at : at + n].astype(np.int32).reshape(-1)
+                    lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * tables, own_sigs).take(pa.array(rep - at))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(np.full(n * tables, dim, dtype=np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(own_sigs), lists, own.column(3)], ["id", "copies", "label", "dim", "tab", "sig", "sigs", "vector"])
 
     return vectors.select("id", "copies", "label", "vector").mapInArrow(run, f"id long, copies long, label {vectors.schema['label'].dataType.simpleString()}, dim int, tab int, sig int, sigs array<int>, vector array<float>")
 
@@ -100,14 +108,14 @@ def _links(rows: DataFrame, threshold: float) -> DataFrame:
         order = np.lexsort(key[::-1])
         starts = np.unique(np.concatenate((group_starts(key[0][order]), group_starts(key[1][order]))))
         ids, copies, side, tab = (table.column(c).to_numpy() for c in ("id", "copies", "side", "tab"))
-        sigs = np.array(table.column("sigs").to_pylist(), dtype=np.int32)
-        vectors = _matrix(table.column("vector"))
+        sigs = table.column("sigs").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        dims, flat = table.column("dim").to_numpy(), _flat(table.column("vector"))
         out: list[list[np.ndarray]] = [[], [], []]
         for a, e in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
             if e - a < 2:
                 continue
             at = order[a:e]
-            v = np.stack([vectors[k] for k in at.tolist()])
+            v = _take(flat, at, int(dims[at[0]]))
             count, low = _compare(ids[at], copies[at], side[at], sigs[at], v / np.linalg.norm(v, axis=1, keepdims=True), int(tab[at[0]]), threshold)
             use = (count > 0) | (low != np.arange(len(low)))
             out[0].append(ids[at][use])
@@ -140,7 +148,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     cut = cut.withColumn("own", own).withColumn("pair", F.explode(pairs)).withColumn("side", ((F.col("pair.x") != F.col("pair.y")) & (F.col("own") == F.col("pair.y"))).cast("int"))
     parts = max(64, -(-sizes[1] * tables // GROUP_ROWS))
     keyed = cut.withColumn("h1", F.xxhash64(*bucket, "pair")).withColumn("h2", F.xxhash64(F.lit(3), *bucket, "pair"))
-    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("h1", "h2"), F.lit(parts))).select("part", "h1", "h2", "id", "copies", "side", "tab", "sigs", "vector")
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("h1", "h2"), F.lit(parts))).select("part", "h1", "h2", "id", "copies", "side", "dim", "tab", "sigs", "vector")
     found = checkpoint(_links(keyed, threshold))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found, "id", "other")
