@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gatescan.llm.arrays import pack_ints, pack_sorted, unpack_ints, unpack_sorted
@@ -46,6 +46,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def checkpoint_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """checkpoint(), and aggregates of its rows taken on the way. A repeated task may count twice: use them as zero or not."""
+    seen = Observation()
+    return checkpoint(df.observe(seen, *[c.alias(k) for k, c in measures.items()])), seen.get
+
+
 def to_ipc(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -88,9 +94,12 @@ def pack(docs: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> Data
     return docs.mapInArrow(run, "chunk_id long, n_rows long, n_bytes long, payload binary")
 
 
-def bucket_bits(chunks: DataFrame) -> int:
-    """Bits of a key that choose its bucket, from the corpus' size."""
-    total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+def total_bytes(chunks: DataFrame) -> int:
+    return chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+
+
+def bucket_bits(total: int) -> int:
+    """Bits of a key that choose its bucket, from the corpus' size in bytes."""
     return max(int(math.log2(LEAST_BUCKETS)), math.ceil(math.log2(max(1, total / BUCKET_BYTES))))
 
 
@@ -119,8 +128,19 @@ def scatter(chunks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, n
     return chunks.select("chunk_id", "payload").mapInArrow(run, "bucket int, chunk_id long, base long, n int, keys binary, extra binary")
 
 
-def answer(sent: DataFrame, judge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(chunk_id, bucket, n, answer).
+def each_payload(read: Callable[[pa.Table], dict], schema: pa.Schema):
+    """For mapInArrow over payloads: the rows that read() makes of each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for payload in b.column(0):
+                yield pa.RecordBatch.from_pydict(read(from_ipc(payload.as_py())), schema=schema)
+
+    return run
+
+
+def answer(sent: DataFrame, judge: Callable[[np.ndarray, np.ndarray], np.ndarray], tally: Callable[[np.ndarray, np.ndarray], tuple[int, int]] | None = None) -> DataFrame:
+    """(chunk_id, bucket, n, answer, tally): tally is a pair of numbers about the bucket, in one of its rows (null if not asked for).
 
     judge(values, starts) sees the integers of a bucket's entries in the order of their keys and where each key's run starts;
     it returns a non-negative integer for each entry.
@@ -138,9 +158,12 @@ def answer(sent: DataFrame, judge: Callable[[np.ndarray, np.ndarray], np.ndarray
         values[order] = judge(sent_values[order], starts)
         ends = np.cumsum(n)
         packed = [pack_ints(values[e - k : e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-        return pa.table({"chunk_id": table.column("chunk_id"), "bucket": table.column("bucket"), "n": table.column("n"), "answer": pa.array(packed, pa.binary())})
+        about = [None] * len(packed)
+        if tally:
+            about[0] = dict(zip("ab", tally(sent_values[order], starts), strict=True))
+        return pa.table({"chunk_id": table.column("chunk_id"), "bucket": table.column("bucket"), "n": table.column("n"), "answer": pa.array(packed, pa.binary()), "tally": pa.array(about, pa.struct([("a", pa.int64()), ("b", pa.int64())]))})
 
-    return sent.groupBy("bucket").applyInArrow(run, "chunk_id long, bucket int, n int, answer binary")
+    return sent.groupBy("bucket").applyInArrow(run, "chunk_id long, bucket int, n int, answer binary, tally struct<a:bigint,b:bigint>")
 
 
 def gather(chunks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, np.ndarray], Iterator[pa.Table] | pa.Table], schema: str) -> DataFrame:
@@ -151,4 +174,4 @@ def gather(chunks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, np
         values = np.concatenate([unpack_ints(d, k) for _, k, d in rows]) if rows else np.empty(0, dtype=np.uint64)
         return finish(from_ipc(left.column("payload")[0].as_py()), values)
 
-    return chunks.select("chunk_id", "payload").groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(run, schema)
+    return chunks.select("chunk_id", "payload").groupBy("chunk_id").cogroup(answers.select("chunk_id", "bucket", "n", "answer").groupBy("chunk_id")).applyInArrow(run, schema)

@@ -5,29 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatescan.llm.chunks import checkpoint
+from gatescan.llm.chunks import checkpoint, checkpoint_with
 
 
 def _shorten(parents: DataFrame) -> DataFrame:
     """(node, parent) with every parent replaced by the root of its chain, by pointer doubling."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        step = checkpoint(parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
+        step = parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))
+        step, seen = checkpoint_with(step, moved=F.count_if("moved"))
         parents = step.select("node", "parent")
-        if not step.where("moved").take(1):
+        if not seen["moved"]:
             return parents
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _edges(a: str, b: str) -> list:
+    return [F.greatest(a, b).alias("node"), F.least(a, b).alias("low")]
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", known: DataFrame | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link and is not itself the smallest.
 
     In each round every node hooks onto its smallest smaller neighbour, chains are shortened to their roots, and the links are
     carried over to the roots. Only nodes smaller than all their neighbours remain, at most half; links within one root are
-    dropped. Each round's tables are checkpointed. Self-links and repeated links do no harm; an empty table gives no rows.
+    dropped. Each round's tables are checkpointed. `known` is an earlier result, to which the links are added. Self-links and
+    repeated links do no harm; empty tables give no rows.
     """
-    edges = checkpoint(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("low")).distinct())
+    ends = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
     found = None
-    while edges.take(1):
+    if known is not None:
+        found = known.select("node", F.col("component").alias("parent"))
+        for end in ("x", "y"):
+            up = found.select(F.col("node").alias(end), F.col("parent").alias("root"))
+            ends = ends.join(up, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    edges, seen = checkpoint_with(ends.where("x <> y").select(*_edges("x", "y")).distinct(), n=F.count(F.lit(1)))
+    while seen["n"]:
         roots = _shorten(edges.groupBy("node").agg(F.min("low").alias("parent")))
         if found is None:
             found = roots
@@ -36,7 +48,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             found = checkpoint(found.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")).unionByName(roots))
         low = roots.select(F.col("node").alias("low"), F.col("parent").alias("low_root"))
         carried = edges.join(roots, "node").where(F.col("low") != F.col("parent")).join(low, "low", "left").select("parent", F.coalesce("low_root", "low").alias("other"))
-        edges = checkpoint(carried.where("parent <> other").select(F.greatest("parent", "other").alias("node"), F.least("parent", "other").alias("low")).distinct())
+        edges, seen = checkpoint_with(carried.where("parent <> other").select(*_edges("parent", "other")).distinct(), n=F.count(F.lit(1)))
     if found is None:
         return edges.select("node", F.col("low").alias("component"))
     return found.select("node", F.col("parent").alias("component"))

@@ -54,7 +54,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     out = T.StructType([*docs.schema.fields, *(T.StructField(f.name + suffix, f.dataType) for f in T._parse_datatype_string("n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"))])
     chunks = C.checkpoint(C.pack(docs, text_col))
-    bits = C.bucket_bits(chunks)
+    bits = C.bucket_bits(C.total_bytes(chunks))
 
     def keys_of(rows: pa.Table):
         texts, ids, valid = _open(rows, id_col, text_col)
