@@ -1,0 +1 @@
+"""Recognition results of scanned tickets as Spark tables and streams."""
