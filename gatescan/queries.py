@@ -119,7 +119,7 @@ def _quad() -> dict[str, Column]:
 
 
 _scalar("f15_normalize_quad", "fx_frames", ["frame_id"], _quad, {
-    "n": "case when frame_id % 8 > 0 then 2 else 0 end", "x1": "case when frame_id % 8 > 0 then width * 1.25::double + 10 end", "y2": "case when frame_id % 8 > 0 then width * 1.25::double + 20 end",
+    "n": "cast(case when frame_id % 8 > 0 then 2 else 0 end as int)", "x1": "case when frame_id % 8 > 0 then width * 1.25::double + 10 end", "y2": "case when frame_id % 8 > 0 then width * 1.25::double + 20 end",
 })
 _scalar("f16_audio_url", "fx_directory", ["line_no"], lambda: {"url": X.audio_url(c("seat")), "named": X.audio_url(c("name"))}, {"url": "'/audio/' || url_encode(seat) || '.wav'", "named": "'/audio/' || url_encode(name) || '.wav'"})
 _scalar("f17_clean_threshold", "fx_text", _N, lambda: {"threshold": X.clean_threshold(c("setting"), 0.8)}, {"threshold": "greatest(0.0::double, least(1.0::double, coalesce(try_cast(nullif(setting, '') as double), 0.8::double)))"})
