@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatescan.llm.arrays import group_starts
-from gatescan.llm.chunks import checkpoint
+from gatescan.llm.chunks import checkpoint, checkpoint_with
 from gatescan.llm.components import connected_components
 
 THRESHOLD, MISS, SEED = 0.93, 0.002, 20
@@ -142,7 +142,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     signed = _signatures(distinct, bits, tables)
     bucket = ["label", "dim", "tab", "sig"]
     large = signed.groupBy(bucket).count().where(F.col("count") > BLOCK).withColumn("cuts", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    cut = signed.join(checkpoint(large), bucket, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    large, seen = checkpoint_with(large, n=F.count(F.lit(1)))
+    cut = signed.join(large, bucket, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))) if seen["n"] else signed.withColumn("cuts", F.lit(1))
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("cuts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y")))
     cut = cut.withColumn("own", own).withColumn("pair", F.explode(pairs)).withColumn("side", ((F.col("pair.x") != F.col("pair.y")) & (F.col("own") == F.col("pair.y"))).cast("int"))
