@@ -210,6 +210,8 @@ class Codec:
         return self._encode(texts)
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
         found, counts = self.fragments(texts)
         ids = list(map(self.known.get, found))
         if None in ids:
