@@ -28,9 +28,14 @@ def sanitize_seat(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
 
 
+def find_seat(c: Column) -> Column:
+    """The leftmost seat code of a line, or the empty string."""
+    return F.regexp_extract(sanitize_seat(c), _SEAT, 1)
+
+
 def extract_seat(c: Column) -> Column:
     """The leftmost seat code (two digits, two letters, two digits) of a line, or null."""
-    return F.nullif(F.regexp_extract(sanitize_seat(c), _SEAT, 1), F.lit(""))
+    return F.nullif(find_seat(c), F.lit(""))
 
 
 def normalize_name(c: Column) -> Column:
@@ -58,14 +63,18 @@ def expected_name_key(c: Column, exact: bool = True) -> Column:
     return casefold(name) if exact else F.lower(name)
 
 
-def looks_like_name(c: Column, collapse: bool = True) -> Column:
-    """At least two characters, one a Latin letter or CJK ideograph, no label word inside and no excluded word."""
-    name = normalize_name(c) if collapse else strip(c)
+def name_like(name: Column, folded_fully: bool = True) -> Column:
+    """looks_like_name() of text that is already normalised."""
     # of all other characters only the long s folds to a letter of the excluded words
-    folded = F.lower(F.translate(name, "ſ", "s") if collapse else name)
+    folded = F.lower(F.translate(name, "ſ", "s") if folded_fully else name)
     return (F.length(name) >= 2) & name.rlike(_LETTER) & ~name.rlike(_LABEL) & ~folded.isin(*_EXCLUDED)
 
 
+def looks_like_name(c: Column) -> Column:
+    """At least two characters, one a Latin letter or CJK ideograph, no label word inside and no excluded word."""
+    return name_like(normalize_name(c))
+
+
 def lookup_key(c: Column, exact: bool = True) -> Column:
     """The key of a name in the seat directory. exact also applies compatibility normalisation."""
     return F.lower(normalize_name(nfkc(c) if exact else c))
@@ -76,14 +85,18 @@ def item_text(c: Column) -> Column:
     return strip(F.coalesce(c, F.lit("")))
 
 
-def item_confidence(c: Column) -> Column:
-    """A confidence from text or a number: what is no number, or NaN, is 0."""
-    text = strip(c.cast("string"))
+def confidence_of(text: Column) -> Column:
+    """item_confidence() of text without white space at its ends."""
     value = F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
     value = value.when(text.rlike("(?i)^[+]?inf(inity)?$"), F.lit(float("inf"))).when(text.rlike("(?i)^-inf(inity)?$"), F.lit(float("-inf")))
     return F.coalesce(value, F.lit(0.0))
 
 
+def item_confidence(c: Column) -> Column:
+    """A confidence from text or a number: what is no number, or NaN, is 0."""
+    return confidence_of(strip(c.cast("string")))
+
+
 def rounded(c: Column, places: int) -> Column:
     """Rounded half-even for reports."""
     return F.bround(c, places)

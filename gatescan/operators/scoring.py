@@ -15,17 +15,17 @@ _PREPARED = "__prepared"
 
 
 def _prepare(items: Column, collapse: bool) -> Column:
-    def one(x: Column, i: Column) -> Column:
-        raw = X.item_text(x["text"])
-        name = X.normalize_name(raw) if collapse else raw
-        return F.struct(X.item_confidence(x["confidence"]).alias("confidence"), i.cast("int").alias("index"), raw.alias("raw_text"), X.extract_seat(raw).alias("seat"), F.when(X.looks_like_name(raw, collapse), name).alias("name"))
-
+    """Each item's text, confidence, place, seat code and name ('' if it has none). One transform after the other, so that what
+    several tests read is computed once."""
+    texts = F.transform(items, lambda x, i: F.struct(X.item_text(x["text"]).alias("raw_text"), X.strip(x["confidence"].cast("string")).alias("number"), i.cast("int").alias("index")))
+    parts = F.transform(texts, lambda x: F.struct(x["raw_text"].alias("raw_text"), X.confidence_of(x["number"]).alias("confidence"), x["index"].alias("index"), X.find_seat(x["raw_text"]).alias("seat"), (X.normalize_name(x["raw_text"]) if collapse else x["raw_text"]).alias("name")))
+    found = F.transform(parts, lambda x: F.struct(x["confidence"].alias("confidence"), x["index"].alias("index"), x["raw_text"].alias("raw_text"), x["seat"].alias("seat"), F.when(X.name_like(x["name"], collapse), x["name"]).otherwise("").alias("name")))
     none = F.array().cast("array<struct<confidence:double,index:int,raw_text:string,seat:string,name:string>>")
-    return F.coalesce(F.transform(items, one), none)
+    return F.coalesce(found, none)
 
 
 def _candidates(prepared: Column, kind: str) -> Column:
-    found = F.transform(F.filter(prepared, lambda x: (x["raw_text"] != "") & x[kind].isNotNull()), lambda x: F.struct(x[kind].alias("text"), x["confidence"].alias("confidence"), x["index"].alias("index"), x["raw_text"].alias("raw_text")))
+    found = F.transform(F.filter(prepared, lambda x: x[kind] != ""), lambda x: F.struct(x[kind].alias("text"), x["confidence"].alias("confidence"), x["index"].alias("index"), x["raw_text"].alias("raw_text")))
     # the best first; equal confidences keep the order of lines
     ordered = F.array_sort(F.transform(found, lambda x: F.struct((-x["confidence"]).alias("k"), x["index"].alias("i"), x.alias("c"))))
     return F.transform(ordered, lambda x: x["c"])

@@ -56,7 +56,8 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """line_no, seat, name of a seat directory. Quotes are plain characters and only the first comma splits. The file is read
     whole, as the line order decides between equal names; an empty file or an unknown header is an error."""
     lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: X.strip(x)), lambda x: x != "")
-    whole = _whole(spark, path).select(lines.alias("lines"))
+    # an empty file gives no row at all, so the one file's text goes through an aggregate, which always gives one
+    whole = _whole(spark, path).agg(F.coalesce(F.max("value"), F.lit("")).alias("value")).select(lines.alias("lines"))
     header = F.get("lines", F.lit(0))
     checked = F.when(header.isNull(), F.raise_error(F.lit("names.csv is empty")).cast("array<string>")).when(~header.isin(*HEADERS), F.raise_error(F.concat(F.lit("Unexpected names.csv header: "), header, F.lit(". Expected Seat No,Name"))).cast("array<string>")).otherwise(F.col("lines"))
     rows = whole.select(F.posexplode(checked).alias("k", "line")).where("k > 0")
@@ -96,5 +97,6 @@ def list_audio(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_images(spark: SparkSession, root: str, pattern: str = "*.{jpg,jpeg,png,webp,bmp}") -> DataFrame:
-    """image (plain path), length of every image below root. Contents aren't read."""
+    """image (plain path), length of every image below root. Contents aren't read. Spark lists no empty files, so an empty image
+    counts as not found."""
     return _listing(spark, root, pattern).select(F.regexp_replace("path", "^file:/*", "/").alias("image"), "length")

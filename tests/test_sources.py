@@ -73,7 +73,7 @@ def test_pages_of_both_shapes(spark, tmp_path):
 def test_evaluation_end_to_end(spark, tmp_path):
     manifest = write(tmp_path / "m.json", json.dumps([{"image": "a.jpg", "name": "jane chan", "seat": "10AC13"}, {"image": "b.jpg"}, {"image": "a.jpg", "name": "x", "seat": "y"}, {"image": "c.jpg", "name": "q"}, {"image": "d.jpg"}]))
     for n in "acd":
-        write(tmp_path / f"{n}.jpg", "")
+        write(tmp_path / f"{n}.jpg", "x")
     items = [{"box": [], "text": "Jane  Chan", "confidence": 0.9}, {"text": "10ac13", "confidence": "0.8"}]
     (tmp_path / "r").mkdir()
     write(tmp_path / "r/a.json", json.dumps({"results": items, "profiling": {"path": "p", "total_ms": 5}}))
