@@ -19,7 +19,9 @@ def parse_directory_row(line: Column) -> Column:
 
 def build_directory(rows: DataFrame, exact: bool = True) -> DataFrame:
     """name_key and seat, unique on name_key: of rows (line_no, seat, name) with the same key the last line wins."""
-    keyed = rows.select("line_no", "seat", X.lookup_key(F.col("name"), exact).alias("name_key")).where("name_key <> '' and seat <> ''")
+    # a test of the key itself would be pushed below the Python helper and run it twice; only blank names have empty keys
+    named = rows.where((X.strip(F.col("name")) != "") & (F.col("seat") != ""))
+    keyed = named.select("line_no", "seat", X.lookup_key(F.col("name"), exact).alias("name_key"))
     return keyed.groupBy("name_key").agg(F.max_by("seat", "line_no").alias("seat"))
 
 

@@ -191,16 +191,16 @@ def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("frame_id", "stage_index", F.transform("x", lambda i: F.struct(box.alias("box"), i["text"].alias("text"), i["confidence"].alias("confidence"))).alias("items"))
 
 
-def attempts_of(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """fx_attempts: one table per stage."""
+def attempts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_attempts, all stages."""
     rows = items_of(spark, sf_dir).withColumn("ocr_ms", (20 + (c("frame_id") * 7 + c("stage_index") * 13) % 500).cast("double"))
     rows = rows.withColumn("error", F.when((c("stage_index") < 2) & ((c("frame_id") + c("stage_index")) % 50 == 0), "engine failed"))
-    return [rows.where(c("stage_index") == k).withColumn("stage", F.lit(s)) for k, s in enumerate(_STAGES)]
+    return rows.withColumn("stage", F.get(F.array(*map(F.lit, _STAGES)), c("stage_index").cast("int")))
 
 
 def scored_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = c("scored")
-    rows = S.score_ocr_items(A.union_attempts(*attempts_of(spark, sf_dir)))
+    rows = S.score_ocr_items(A.union_attempts(attempts_of(spark, sf_dir)))
     return rows.select("frame_id", "stage_index", "stage", "ocr_ms", "error", s["is_complete"].alias("is_complete"), s["score"].alias("score"), s["failure_reason"].alias("failure_reason"), s["selected_seat"]["text"].alias("seat"), s["selected_name"]["text"].alias("name"), F.size("items").alias("output_count"))
 
 
@@ -310,7 +310,9 @@ def f21_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("a11_union_attempts", _ATTEMPTS + f" select frame_id, stage_index, {_STAGE_SQL} as stage, n_items, case when bad then 'engine failed' end as error from scored")
 def a11_union_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.union_attempts(*attempts_of(spark, sf_dir)).select("frame_id", "stage_index", "stage", F.size("items").alias("n_items"), "error")
+    rows = attempts_of(spark, sf_dir)
+    stages = [rows.where(c("stage_index") == k).drop("stage_index") for k in range(len(_STAGES))]
+    return A.union_attempts(*stages).select("frame_id", "stage_index", "stage", F.size("items").alias("n_items"), "error")
 
 
 _GATED = _ATTEMPTS + f""",
@@ -353,7 +355,7 @@ t as (select frame_id, sum(case when stage_index < 2 then ocr_ms else 0 end) as
 select o_orderkey as frame_id, coalesce(stage, 'no_ocr_attempts') as path, coalesce(score, 0.0) as score, failure_reason, seat, name, n_items as output_count, coalesce(m, 0.0) as mobile_ocr_ms, coalesce(f, 0.0) as fallback_ocr_ms
 from orders left join t on t.frame_id = o_orderkey left join (select * from best where k = 1) b on b.frame_id = o_orderkey""")
 def w1_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.recognise(A.union_attempts(*attempts_of(spark, sf_dir)), view(spark, sf_dir, "fx_frames"))
+    return P.recognise(A.union_attempts(attempts_of(spark, sf_dir)), view(spark, sf_dir, "fx_frames"))
 
 
 _REGIONS = f"""
