@@ -7,8 +7,10 @@ catches wrongly, and so on until a level catches nothing wrong. A key is listed
 one. Urls are then judged row by row without a join: among a url's keys the longest listed one wins.
 
 Only suffixes with as many labels, and prefixes with as many characters, as some rule has are made into keys, so a long url
-makes no more keys than a short one. Level filters are bit sets of about BITS_PER_KEY bits a key of that level's smaller list
-and are part of the query's plan; LARGEST_FILTER bounds each, and a list that needs more is refused with an error.
+makes no more keys than a short one. Level 1 lets pass about as many of the universe's keys wrongly as there are listed ones,
+so all levels' sizes follow the list: level 1 takes about 1.44 * log2(universe / list) bits a listed key, further levels six.
+Filters are constants of the query's plan. A list whose first filter would be larger than LARGEST_FILTER isn't put into one;
+its rules are joined to the exploded keys instead.
 
 Defined cases: a null url, or one without `://`, has empty host and path and no rule; a url without a rule gets `default`.
 A rule in both lists counts as allowed. A null id stays; rows are independent; only the id and url columns are read.
@@ -16,13 +18,15 @@ A rule in both lists counts as allowed. A null id stays; rows are independent; o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BITS_PER_KEY, HASHES = 12, 4
+#: Share of wrong keys that a further level lets pass.
+RATE = 1 / 16
 #: Bits of the largest filter of a level (2 MB), which bounds what a plan carries.
 LARGEST_FILTER = 1 << 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,49 +53,59 @@ def candidate_keys(host: Column, path: Column, rules: list[tuple[str, str]]) ->
     return F.array_sort(found, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
 
 
-def _positions(key: Column, level: int, bits: int) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(key, F.lit(level), F.lit(k)), F.lit(bits)) for k in range(HASHES)])
+def filter_shape(n: int, rate: float) -> tuple[int, int]:
+    """(bits, hashes) of a Bloom filter of n keys that lets pass that share of others."""
+    return max(64, 64 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64)), max(1, round(-math.log2(rate)))
 
 
 class Level:
     """One Bloom filter: its bit set as 64-bit words."""
 
-    def __init__(self, keys: DataFrame, level: int):
+    def __init__(self, keys: DataFrame, level: int, rate: float):
         n = keys.count()
         self.level, self.empty = level, n == 0
-        self.bits = max(64, 64 * -(-n * BITS_PER_KEY // 64))
-        if self.bits > LARGEST_FILTER:
-            raise ValueError(f"level {level} needs {self.bits} bits for {n} keys; LARGEST_FILTER is {LARGEST_FILTER}")
-        at = keys.select(F.explode(_positions(F.col("key"), level, self.bits)).alias("at"))
-        words = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("mask"))
+        self.bits, self.hashes = filter_shape(n, rate)
+        at = keys.select(F.explode(F.array(*[self._at(F.col("key"), k) for k in range(self.hashes)])).alias("at"))
+        words = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(self._mask(F.col("at"))).alias("mask"))
         self.words = [0] * (self.bits // 64)
-        for r in words.collect():  # at most LARGEST_FILTER / 64 rows
+        for r in words.collect():  # no more rows than the filter has words
             self.words[r["word"]] = r["mask"]
 
+    def _at(self, key: Column, k: int) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(self.level), F.lit(k)), F.lit(self.bits))
+
+    @staticmethod
+    def _mask(at: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+
     def has(self, key: Column) -> Column:
         """The bits of a key are looked up in the bit set, here a constant of the plan."""
         if self.empty:
             return F.lit(False)
         words = F.lit(self.words).cast(T.ArrayType(T.LongType()))
         hit = F.lit(True)
-        for k in range(HASHES):
-            at = F.pmod(F.xxhash64(key, F.lit(self.level), F.lit(k)), F.lit(self.bits))
-            word = F.element_at(words, F.floor(at / 64).cast("int") + 1)
-            hit = hit & (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))) != 0)
+        for k in range(self.hashes):
+            at = self._at(key, k)
+            hit = hit & (F.element_at(words, F.floor(at / 64).cast("int") + 1).bitwiseAND(self._mask(at)) != 0)
         return hit
 
 
+def first_rate(listed: int, universe: int) -> float:
+    """The share of wrong keys that level 1 may let pass, so that they are about as many as the listed ones."""
+    return min(RATE, max(1, listed) / max(1, universe))
+
+
 class Cascade:
     """Exact membership of a universe's keys in a list."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame):
-        """Both have one column, key. The universe must be re-readable; it is filtered once a level, the listed keys joined to
-        what passes: each level's survivors are fewer by a factor of about 0.6 ** BITS_PER_KEY."""
+    def __init__(self, listed: DataFrame, universe: DataFrame, rate: float = RATE):
+        """Both have one column, key. The universe must be re-readable; it is filtered by the first level, and what passes
+        wrongly is about as much as the list. Each further level leaves a share RATE of the level before."""
         listed = listed.distinct()
-        self.levels = [Level(listed, 1)]
+        self.levels = [Level(listed, 1, rate)]
         inside, outside = listed, universe.distinct().join(listed, "key", "left_anti")
         wrong = outside.where(self.levels[-1].has(F.col("key")))
-        while not (level := Level(wrong, len(self.levels) + 1)).empty:
+        while not (level := Level(wrong, len(self.levels) + 1, RATE)).empty:
             self.levels.append(level)
             inside, outside = wrong, inside
             wrong = outside.where(level.has(F.col("key")))
@@ -103,6 +117,13 @@ class Cascade:
         return found
 
 
+def _rule_by_join(keyed: DataFrame, rules: DataFrame, id_cols: list[str]) -> DataFrame:
+    """keyed with rule, by an equi-join of its keys; the longest key of a row wins. For lists too large for a filter."""
+    rows = keyed.select(*id_cols, F.explode("keys").alias("key")).distinct()
+    best = rows.join(rules.distinct(), "key").groupBy(*id_cols).agg(F.max_by("key", F.struct(F.length("key"), "key")).alias("rule"))
+    return keyed.join(best, id_cols, "left")
+
+
 def judge_urls(pages: DataFrame, allow: Iterable[tuple[str, str]], block: Iterable[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """id_col, host, path, rule (host and path prefix of the rule that wins, or null), verdict. Rules are (host, path prefix)."""
     allow, block = sorted(set(allow)), sorted(set(block))
@@ -111,8 +132,15 @@ def judge_urls(pages: DataFrame, allow: Iterable[tuple[str, str]], block: Iterab
     parsed = pages.select(F.col(id_col), parse_host(url).alias("host"), parse_path(url).alias("path"))
     keyed = parsed.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), rules))
     universe = keyed.select(F.explode("keys").alias("key"))
-    lists = [spark.createDataFrame([(h + p,) for h, p in x], "key string") for x in (allow, rules)]
-    allowed, listed = (Cascade(x, universe) for x in lists)
-    found = keyed.withColumn("rule", F.try_element_at(F.filter("keys", listed.has), F.lit(1)))
-    verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(allowed.has(F.col("rule")), F.lit("allow")).otherwise("block")
+    allowed_keys, all_keys = (spark.createDataFrame([(h + p,) for h, p in x], "key string") for x in (allow, rules))
+    rate = first_rate(len(rules), universe.distinct().count())
+    if filter_shape(len(rules), rate)[0] > LARGEST_FILTER:
+        found = _rule_by_join(keyed, all_keys, ["host", "path"])
+        is_allowed = found.join(allowed_keys.distinct().select(F.col("key").alias("rule"), F.lit(True).alias("ok")), "rule", "left")
+        found, allowed = is_allowed.withColumn("ok", F.coalesce("ok", F.lit(False))), F.col("ok")
+    else:
+        listed, allow_list = Cascade(all_keys, universe, rate), Cascade(allowed_keys, universe, rate)
+        found = keyed.withColumn("rule", F.try_element_at(F.filter("keys", listed.has), F.lit(1)))
+        allowed = allow_list.has(F.col("rule"))
+    verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(allowed, F.lit("allow")).otherwise("block")
     return found.select(id_col, "host", "path", "rule", verdict.alias("verdict"))

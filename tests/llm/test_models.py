@@ -224,7 +224,9 @@ def brute_url(url):
     return host, path, best and best[0], best[1] if best else "allow"
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("largest", [urls.LARGEST_FILTER, 0])
+def test_urls(spark, monkeypatch, largest):
+    monkeypatch.setattr(urls, "LARGEST_FILTER", largest)
     parts = ["http://", "://", "", "https://WWW."], ["example.com", "www.Example.COM", "a.net", "net", "xexample.com", "com", "com.", "", "é.com", "a.b.c.d.example.com"], ["", "/", "/en/x", "/en", "/es/?q#f", "?u=/en/", "#/fr/", "/fr/a/fr/", "/EN/", "\n/en/"]
     all_ = [a + b + p for a in parts[0] for b in parts[1] for p in parts[2]] + [None, "", "a" * 50_000, "http://" + "a." * 20_000 + "com/", "x://y://z.com/"]
     df = spark.createDataFrame([(k, u) for k, u in enumerate(all_)], "page_id long, url string")
@@ -234,10 +236,10 @@ def test_urls(spark):
 
 
 def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
-    monkeypatch.setattr(urls, "BITS_PER_KEY", 2)  # many false positives, so several levels
+    monkeypatch.setattr(urls, "RATE", 0.4)  # many false positives, so several levels
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = keys.where("key like '%7'")
-    cascade = urls.Cascade(listed, keys)
+    cascade = urls.Cascade(listed, keys, 0.4)
     assert len(cascade.levels) > 2
     wrong = keys.where(cascade.has(F.col("key")) != F.col("key").like("%7"))
     assert wrong.count() == 0
