@@ -115,6 +115,44 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(_table(spark, sf_dir, "documents"))
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: Components of a table l(a, b) of links in both directions, over documents or vectors n(id).
+_REACH = """
+reach(id, low) as (select id, id from n union select l.b, r.low from reach r join l on l.a = r.id where r.low < l.b),
+c as (select id, min(low) as component_id from reach group by id)"""
+
+OP3_SQL = f"""
+with recursive v as (
+  select vec_id as id, label, cast(embedding as double[]) as e from embeddings where label is not null and embedding is not null
+), n as (select vec_id as id from embeddings), l as (
+  select x.id as a, y.id as b from v x join v y on x.label = y.label and x.id <> y.id and len(x.e) = len(y.e) and list_cosine_similarity(x.e, y.e) >= 0.93
+), {_REACH}
+select id as vec_id, (select count(*) from l where a = c.id) as n_links, component_id, id = component_id as kept from c
+"""
+
+OP5_SQL = f"""
+with d as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+g as (select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d)),
+m as (select g, min(doc_id) as least from g group by g),
+r as (select distinct g.doc_id, g.i + k as p from g join m using (g), range(13) o(k) where m.least < g.doc_id),
+x as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+k as (select x.doc_id, count(r.p) as n, string_agg(word, ' ' order by x.p) filter (where r.p is null) as kept from x left join r on r.doc_id = x.doc_id and r.p = x.p group by x.doc_id)
+select d.doc_id, len(w) as n_words, coalesce(k.n, 0) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256 from d left join k on k.doc_id = d.doc_id
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP10_SQL = f"""
+with recursive d as (select doc_id, {_WORDS.format(_LOWER)} as w from documents), n as (select doc_id as id from d),
+s as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)
+  union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 4
+), z as (select doc_id, count(*) as n from s group by doc_id), l as (
+  select p.a, p.b from (select x.doc_id as a, y.doc_id as b, count(*) as both_n from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by all) p
+    join z za on za.doc_id = p.a join z zb on zb.doc_id = p.b where 100 * both_n >= 80 * (za.n + zb.n - both_n)
+), {_REACH}
+select c.id as doc_id, coalesce(z.n, 0) as n_shingles, component_id from c left join z on z.doc_id = c.id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op6_secret_scan": op6_secret_scan,
@@ -127,4 +165,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL, "op8_url_filter": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op10_jaccard_join": OP10_SQL, "op7_quality_rules": OP7_SQL, "op8_url_filter": OP8_SQL}
