@@ -6,7 +6,8 @@ first, which Spark counts over all documents. Shingles of frequency 1 can match
 
 1. Equal sets make one class with one representative, whatever the number of copies.
 2. Representatives with the same prefix and set size make one group; groups that share a prefix shingle are the candidates,
-   filtered by size and by the positions of the shingle.
+   filtered by size and by the positions of the shingle. A group of three or more members is also a candidate with itself: its
+   first prefix shingle stays even if no other group has it.
 3. Candidates are expanded to members and verified on the whole sets. As only components are asked for, a pair is not compared
    once its two sides are connected: each list's leader is compared with the others, with new leaders each round, while that
    leaves far fewer pairs than before; then all pairs of the lists that still hold several components are. No pair of
@@ -152,10 +153,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = C.checkpoint(rows.where("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("position").alias("position"), F.first("sketch").alias("sketch")))
     sketches = small.where(F.size("sketch") > 0).select(F.col("rep").alias("doc"), *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)])
     reps = small.where(F.size("prefix") > 0).select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "prefix", "position", F.xxhash64("prefix", F.lit(7)).alias("k1"), F.xxhash64("prefix", F.lit(8)).alias("k2"))
-    groups = reps.groupBy("n", "k1", "k2").agg(F.min("doc").alias("gid"), F.first("prefix").alias("prefix"), F.first("position").alias("position"))
-    tokens = groups.select("gid", "n", F.explode(F.arrays_zip("prefix", "position")).alias("x")).select("gid", "n", F.col("x.prefix").alias("token"), F.col("x.position").alias("pos"))
-    lists = tokens.groupBy("token").agg(F.min(F.struct("gid", "n", "pos")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("token", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2"))
-    tokens = C.checkpoint(tokens.join(lists, "token"))
+    groups = reps.groupBy("n", "k1", "k2").agg(F.min("doc").alias("gid"), F.first("prefix").alias("prefix"), F.first("position").alias("position"), F.count("*").alias("m"))
+    tokens = groups.select("gid", "n", (F.col("m") > 2).alias("many"), F.col("position")[0].alias("first"), F.explode(F.arrays_zip("prefix", "position")).alias("x"))
+    tokens = tokens.select("gid", "n", F.col("x.prefix").alias("token"), F.col("x.position").alias("pos"), (F.col("many") & (F.col("x.position") == F.col("first"))).alias("within"))
+    # members of a group are compared with gid alone below, so one list of each larger group must stay for the pairs among the others
+    lists = tokens.groupBy("token").agg(F.min(F.struct("gid", "n", "pos")).alias("lead"), F.count("*").alias("c"), F.max("within").alias("within")).where("c > 1 or within").select("token", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2"))
+    tokens = C.checkpoint(tokens.drop("within").join(lists, "token"))
     members = C.checkpoint(reps.join(groups.select("n", "k1", "k2", "gid"), ["n", "k1", "k2"]).select("gid", "doc"))
 
     # each group with the leader it shares most shingles with, and each member with its group

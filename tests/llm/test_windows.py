@@ -137,6 +137,19 @@ def test_prefix_join(spark, percent):
     assert jaccard.link_components(df.where("false")).count() == 0
 
 
+def test_prefix_join_links_within_a_group(spark):
+    part = lambda name, n: [f"{name}{j}" for j in range(n)]
+    head, nav, r, q = part("h", 20), part("l", 6), part("r", 60), part("q", 60)
+    pages = [head + nav + r + ["own1"], head + nav + q + ["own2"], head + nav + q + ["own3"]]
+    for k in range(6):  # the bodies are common, the header stands in the first three pages alone
+        pages += [part(f"x{k}_", 90) + nav + r, part(f"y{k}_", 90) + nav + q]
+    docs = [(k, " ".join(x)) for k, x in enumerate(pages)]
+    got = jaccard.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = [(repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"])) for r in got]
+    assert sorted(found) == sorted(brute_components(docs))
+    assert next(x for x in found if x[0] == "2")[2] == "1"
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, 2000 + k) for k in range(1, 50)] + [(5, 5), (7, 9), (7, 9)]
