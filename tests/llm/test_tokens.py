@@ -128,3 +128,25 @@ def test_index_scores_equal_the_formula(terms):
     assert set(index.neighbours(0, used)) >= {1, 2}
     used[2] = True
     assert 2 not in index.neighbours(0, used)
+
+
+def test_packing_brings_copies_of_a_large_corpus_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BYTES", 4096)
+    rng = random.Random(11)
+    texts = [" ".join(f"t{k}_{rng.randrange(12)}" for _ in range(30)) + " the of and" for k in range(150)]
+    rows = [(k, t) for k, t in enumerate(texts + texts)]  # ids of copies are far apart
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), vocabulary(), length=2048).collect()
+    assert len({r.sequence_id >> 32 for r in got}) > 5
+    shard = {r.doc_id: r.sequence_id >> 32 for r in got}
+    assert all(shard[k] == shard[k + 150] for k in range(150))
+
+
+def test_packing_statistics_are_those_of_all_documents(spark):
+    texts = ["A b b", "a c", None, "", "a b d"]
+    got = packing.corpus_statistics(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3))
+    assert (got.n, got.words) == (5, 8) and sorted(got.df.tolist()) == [2, 3]
+
+
+def test_packing_ranks_all_documents_that_share_a_term():
+    texts = [b" ".join(b"q%d" % k for k in range(60))] + [b"q%d x%d" % (k % 60, k) for k in range(120)]
+    assert len(packing.Index(texts).neighbours(0, np.arange(121) == 0)) == 120
