@@ -18,8 +18,10 @@ _TEMPORARY = "__stage"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: those without a letter (or without text)."""
+    """Documents without a language go: those without a letter (or without text). If no language is learned, the others stay."""
     model = language.train(docs.where(~language.held_out()))
+    if not model.languages:
+        return docs.where(language.lettered("text"))
     found = language.predict(docs, model, keep=docs.columns, suffix=_TEMPORARY)
     return found.where(F.col("lang_pred" + _TEMPORARY) != language.UNKNOWN).select(*docs.columns)
 

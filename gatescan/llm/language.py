@@ -181,6 +181,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return wanted.mapInArrow(run, f"{kept}, `lang_pred{suffix}` string, `score{suffix}` double, `bits_per_byte{suffix}` double")
 
 
+def lettered(text_col: str = "text") -> Column:
+    """The text has a letter by the rule of predict(), which str.isalpha of Python decides. Null text has none."""
+    has = F.pandas_udf(lambda texts: texts.map(lambda t: t is not None and any(map(str.isalpha, t))).astype(bool), "boolean")
+    return has(F.col(text_col))
+
+
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     """crc32 of the id as text, modulo parts, equals part. A null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % parts == part

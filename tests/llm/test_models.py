@@ -275,3 +275,10 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, pieces)) == sorted(map(tuple, stages["packing"].collect())) and {r.doc_id for r in pieces} == set(final)
     assert packing.LENGTH >= max(r.offset + r.length for r in pieces)
+
+
+def test_pipeline_without_languages_keeps_lettered_documents(spark):
+    rows = [(k, t, None, "s", 1) for k, t in enumerate(["plain words", "1234 5678", None, "été"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.identify_language(spark, df, "")
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [0, 3]
