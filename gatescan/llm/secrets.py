@@ -3,7 +3,8 @@
 Base spans come from three plain patterns (kinds assign, access and hex). The method adds spans of kind entropy: candidate
 strings are maximal runs of characters that keys are made of; over each, a window of fixed size slides, its entropy kept up by
 counts that change by one character a step. Windows above the threshold of their character class are merged. Allow-listed
-strings (identifiers of known harmless shape, placeholders) and spans that lie within a base span are suppressed.
+path segments (identifiers of known harmless shape, placeholders), paths of short segments and spans that lie within a base span
+are suppressed. Strings of letters alone are judged by their entropy like all others.
 
 Candidates are found for a whole block of texts at once, so texts without any cost little. Spans are (kind, start, end) in
 code points, end exclusive. Defined cases: null text is empty and has no spans; a null id stays; rows are independent.
@@ -30,8 +31,11 @@ ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 #: Characters of a sliding window, and the entropy in bits that a window of each class needs.
 WINDOW = 20
 THRESHOLDS = {"hex": 3.0, "digit": math.inf, "alpha": 4.1, "mixed": 3.7}
-#: Harmless strings of high entropy.
-ALLOWED = re.compile(rb"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|.*(?:EXAMPLE|example|placeholder|xxxx|XXXX|0123456789|abcdefgh|ABCDEFGH).*|[A-Za-z]+(?:[-_/=+][A-Za-z]+)*|(?:https?)?/{0,2}[a-z0-9_-]+(?:/[a-z0-9_-]{0,15})+", re.S)
+#: Path segments that are harmless in whole, and paths of short lower-case segments.
+_MARKS = re.compile(rb"EXAMPLE|example|placeholder|xxxx|XXXX|0123456789|abcdefgh|ABCDEFGH|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+_UUID = re.compile(rb"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+_PLACEHOLDER = re.compile(rb"EXAMPLE|example|placeholder|xxxx|XXXX|0123456789|abcdefgh|ABCDEFGH")
+_PATH = re.compile(rb"(?:https?)?/{0,2}[a-z0-9_-]{1,15}(?:/[a-z0-9_-]{0,15})+")
 
 
 def _class_table(chars: bytes) -> np.ndarray:
@@ -90,6 +94,21 @@ def entropy_spans(s: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def _suspicious(s: bytes) -> list[tuple[int, bytes]]:
+    """Where the parts of a candidate string begin that no allow-listed path segment covers, and the parts."""
+    if not _MARKS.search(s):
+        return [] if _PATH.fullmatch(s) else [(0, s)]
+    out, begin, at = [], 0, 0
+    for segment in [*s.split(b"/"), None]:
+        if segment is None or _UUID.fullmatch(segment) or _PLACEHOLDER.search(segment):
+            part = s[begin:at]
+            if len(part) >= WINDOW and not _PATH.fullmatch(part):
+                out.append((begin, part))
+            begin = at + len(segment or b"") + 1
+        at += len(segment or b"") + 1
+    return out
+
+
 def scan_block(texts: list[bytes]) -> list[list[tuple[int, str, int]]]:
     """(start, kind, end) in bytes for each text, ordered by start and then kind as listed."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -110,11 +129,11 @@ def scan_block(texts: list[bytes]) -> list[list[tuple[int, str, int]]]:
         found[k].append((a - int(begins[k]), 2, b - int(begins[k])))
     for a, b in _runs(data, _CANDIDATE, WINDOW):
         s = buf[a:b]
-        if not any(48 <= c <= 57 for c in s) and len(set(s)) < 18 or ALLOWED.fullmatch(s):
+        if not any(48 <= c <= 57 for c in s) and len(set(s)) < 18:
             continue
         k = owner(a)
         base = [(x, y) for x, kind, y in found[k] if kind < 3]
-        for x, y in entropy_spans(s):
+        for x, y in [(p + x, p + y) for p, part in _suspicious(s) for x, y in entropy_spans(part)]:
             x, y = x + a - int(begins[k]), y + a - int(begins[k])
             if not any(p <= x and y <= q for p, q in base):
                 found[k].append((x, 3, y))

@@ -282,3 +282,12 @@ def test_pipeline_without_languages_keeps_lettered_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.identify_language(spark, df, "")
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [0, 3]
+
+
+def test_allowed_parts_do_not_hide_keys():
+    letters = "QwErTyUiOpAsDfGhJkLzXcVbNmqWeRtY"
+    low = "k3j9x2m7q8w1z5v4b6n0p2r8t3y7u1a5s9d4f6g2"
+    for text in (letters, f"{low}/", f"{low}/v1", f"/example/{low}", f"{low}/example/x"):
+        assert any(kind == "entropy" for _, kind, _ in secrets.scan_block([text.encode()])[0]), text
+    for text in ("api/v1/users/list/all/items", "123e4567-e89b-12d3-a456-426614174000", "get_user_account_name_and_address", f"{low}example"):
+        assert not any(kind == "entropy" for _, kind, _ in secrets.scan_block([text.encode()])[0]), text
