@@ -15,7 +15,9 @@ entry a chunk, however often it occurs, so no key makes a large group.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,11 +35,16 @@ BUCKET_BYTES = 12 << 20
 LEAST_BUCKETS = 64
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names in spark.checkpoint.dir; sets a folder of its own only where none is named."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, a temporary one if Spark runs on this
+    machine alone; on a cluster that is an error, as executors would not see it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -46,8 +53,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """checkpoint() as a Parquet table in the same folder: later reads take only the columns they need, and plans of many
+    rounds don't inherit each other's constraints, which makes planning slow."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """stored(), and aggregates of its rows taken on the way. A repeated task may count twice: use them as zero or not."""
+    seen = Observation()
+    return stored(df.observe(seen, *[c.alias(k) for k, c in measures.items()])), seen.get
+
+
 def checkpoint_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
-    """checkpoint(), and aggregates of its rows taken on the way. A repeated task may count twice: use them as zero or not."""
+    """checkpoint(), and aggregates of its rows as for stored_with()."""
     seen = Observation()
     return checkpoint(df.observe(seen, *[c.alias(k) for k, c in measures.items()])), seen.get
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatescan.llm.chunks import checkpoint, checkpoint_with
+from gatescan.llm.chunks import stored, stored_with
 
 
 def _shorten(parents: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def _shorten(parents: DataFrame) -> DataFrame:
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
         step = parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))
-        step, seen = checkpoint_with(step, moved=F.count_if("moved"))
+        step, seen = stored_with(step, moved=F.count_if("moved"))
         parents = step.select("node", "parent")
         if not seen["moved"]:
             return parents
@@ -28,7 +28,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", known: Da
 
     In each round every node hooks onto its smallest smaller neighbour, chains are shortened to their roots, and the links are
     carried over to the roots. Only nodes smaller than all their neighbours remain, at most half; links within one root are
-    dropped. Each round's tables are checkpointed. `known` is an earlier result, to which the links are added. Self-links and
+    dropped. Each round's tables are written to the shared folder. `known` is an earlier result, to which the links are added. Self-links and
     repeated links do no harm; empty tables give no rows.
     """
     ends = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
@@ -38,17 +38,17 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", known: Da
         for end in ("x", "y"):
             up = found.select(F.col("node").alias(end), F.col("parent").alias("root"))
             ends = ends.join(up, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-    edges, seen = checkpoint_with(ends.where("x <> y").select(*_edges("x", "y")).distinct(), n=F.count(F.lit(1)))
+    edges, seen = stored_with(ends.where("x <> y").select(*_edges("x", "y")).distinct(), n=F.count(F.lit(1)))
     while seen["n"]:
         roots = _shorten(edges.groupBy("node").agg(F.min("low").alias("parent")))
         if found is None:
             found = roots
         else:
             up = roots.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-            found = checkpoint(found.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")).unionByName(roots))
+            found = stored(found.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")).unionByName(roots))
         low = roots.select(F.col("node").alias("low"), F.col("parent").alias("low_root"))
         carried = edges.join(roots, "node").where(F.col("low") != F.col("parent")).join(low, "low", "left").select("parent", F.coalesce("low_root", "low").alias("other"))
-        edges, seen = checkpoint_with(carried.where("parent <> other").select(*_edges("parent", "other")).distinct(), n=F.count(F.lit(1)))
+        edges, seen = stored_with(carried.where("parent <> other").select(*_edges("parent", "other")).distinct(), n=F.count(F.lit(1)))
     if found is None:
         return edges.select("node", F.col("low").alias("component"))
     return found.select("node", F.col("parent").alias("component"))

@@ -5,14 +5,20 @@ among the first n - ceil(0.8 n) + 1 of each in any one order of all shingles; th
 first, which Spark counts over all documents. Shingles of frequency 1 can match nothing and are left out of the prefixes.
 
 1. Equal sets make one class with one representative, whatever the number of copies.
-2. Representatives with the same prefix and set size make one group; groups that share a prefix shingle are the candidates,
-   filtered by size and by the positions of the shingle. A group of three or more members is also a candidate with itself: its
-   first prefix shingle stays even if no other group has it.
-3. Candidates are expanded to members and verified on the whole sets. As only components are asked for, a pair is not compared
-   once its two sides are connected: each list's leader is compared with the others, with new leaders each round, while that
-   leaves far fewer pairs than before; then all pairs of the lists that still hold several components are. No pair of
-   different components is left out, so no link between components is lost, and a group of near copies costs about one
-   comparison for each member instead of the square.
+2. Representatives with the same prefix and set size make one group. A prefix shingle has a list of groups; of lists with the
+   same groups one is kept. Groups of a list are the candidates, filtered by size, by the positions of the shingle and by
+   sketches of the sets.
+3. Surviving pairs of groups are expanded to members, which are tested by their sketches and then verified on the whole sets.
+
+As only components are asked for, a pair is not compared once its two sides are connected. So at first every member is compared
+with the smallest of its group, every group with the leader of a list, and, LEADER_ROUNDS times one document of each component
+in a group with a leader of each list that still holds several components. Lists and groups that are still open then are
+compared completely, in blocks of bounded size. No pair of different components is left out, so no link between components is
+lost, and a group of near copies costs about one comparison for each member.
+
+A sketch has the parity of the number of shingles in each of a power of two of hash cells, at least as many as the set has
+shingles. Two sets differ in at least as many shingles as their sketches in cells, so the test never drops a link. The larger
+of two sketches is folded to the size of the smaller.
 
 Defined cases: null, empty or wordless texts have no shingles and link with nothing; fewer than 5 words make one shingle; a
 null id links with nothing and has a null component; rows with the same id are the same document; only the id and text
@@ -34,10 +40,10 @@ from gatescan.llm.bpe import raw_texts
 from gatescan.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 80
-#: All remaining pairs are compared once they are at most so many times the entries of the lists they stand in.
-PAIRS_PER_ENTRY = 4
-#: Longs of a sketch.
-SKETCH = 16
+#: Rounds with new leaders before everything that is still open is compared.
+LEADER_ROUNDS = 1
+#: Bits of the smallest sketch, entries of one side of a block, entries of a task, and pairs of one set that are verified together.
+SKETCH_BITS, BLOCK, TASK_ENTRIES, VERIFY_BLOCK = 1024, 256, 8192, 64
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +71,18 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends] - total[np.concatenate(([0], ends[:-1]))]
 
 
+def parity_sketches(keys: np.ndarray, ends: np.ndarray, n: np.ndarray, used: np.ndarray) -> list[bytes | None]:
+    """The sketch of each set in keys (which end at ends and have n entries), None where it isn't used."""
+    bits = np.where(used, np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)), 0)
+    base = np.cumsum(bits) - bits
+    own = np.repeat(used, n)
+    cells = np.repeat(base, n)[own] + (mix64(keys[own]) & np.repeat(np.maximum(bits, 1) - 1, n)[own].astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(cells, minlength=int(bits.sum())) & 1).astype(bool)).tobytes()
+    return [packed[a // 8 : (a + b) // 8] if b else None for a, b in zip(base.tolist(), bits.tolist(), strict=True)]
+
+
 def documents_with_prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, sig1, sig2, prefix array<long>, position array<int>, sketch array<long>, members binary);
+    """(doc_id, n_shingles, sig1, sig2, prefix array<long>, position array<int>, sketch binary, members binary);
     sketch and members only with a prefix."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     chunks = C.checkpoint(C.pack(docs, "t"))
@@ -99,98 +115,161 @@ def documents_with_prefixes(docs: DataFrame, id_col: str, text_col: str, size: i
         position = pa.ListArray.from_arrays(offsets, place[use].astype(np.int32))
         used = np.diff(offsets) > 0
         members = [keys[e - k : e].tobytes() if u else None for e, k, u in zip(ends.tolist(), n.tolist(), used.tolist(), strict=True)]
-        numbered = np.cumsum(used) - 1
-        of_used = np.repeat(used, n)
-        flags = np.zeros((int(used.sum()), 64 * SKETCH), dtype=bool)
-        flags[np.repeat(numbered, n)[of_used], (mix64(keys[of_used]) % np.uint64(64 * SKETCH)).astype(np.int64)] = True
-        packed = np.packbits(flags, axis=1).reshape(-1).view(np.int64)
-        sketch = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(used * SKETCH))).astype(np.int32), packed)
+        sketch = parity_sketches(keys, ends, n, used)
         sig = [_sums(mix64(keys ^ np.uint64(salt)), ends).view(np.int64) for salt in (1, 2)]
-        return pa.table({"doc_id": rows.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "sig1": sig[0], "sig2": sig[1], "prefix": prefix, "position": position, "sketch": sketch, "members": pa.array(members, pa.binary())})
+        return pa.table({"doc_id": rows.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "sig1": sig[0], "sig2": sig[1], "prefix": prefix, "position": position, "sketch": pa.array(sketch, pa.binary()), "members": pa.array(members, pa.binary())})
 
     answers = C.answer(C.scatter(chunks, keys_of, C.bucket_bits(total)), judge)
-    return C.gather(chunks, answers, finish, "doc_id long, n_shingles long, sig1 long, sig2 long, prefix array<long>, position array<int>, sketch array<long>, members binary")
+    return C.gather(chunks, answers, finish, "doc_id long, n_shingles long, sig1 long, sig2 long, prefix array<long>, position array<int>, sketch binary, members binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+    """The pairs (a, b) whose sets reach the similarity. A set on side a is sent once for up to VERIFY_BLOCK pairs."""
+    pairs = C.stored(pairs)
+    per, total = pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFY_BLOCK).alias("cuts")), pairs.count()
+    cut = pairs.join(C.stored(per), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("cuts")))
+    parts = max(32, total // 1024)
+    part = lambda a, salt: F.pmod(F.xxhash64(a, salt), F.lit(parts)).alias("part")
+    by_b = cut.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b")), "b").select(part("a", "salt"), "a", "salt", "b", "set_b")
+    own = cut.select(F.col("a").alias("own"), F.col("salt").alias("block")).distinct()
+    by_a = own.join(sets.select(F.col("doc_id").alias("own"), F.col("members").alias("set_a")), "own").select(part("own", "block"), "own", "block", "set_a")
 
-    def run(batches):
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            keep = []
-            for k in range(batch.num_rows):
-                x, y = np.frombuffer(left[k].as_py(), dtype=np.uint64), np.frombuffer(right[k].as_py(), dtype=np.uint64)
-                both = len(x) + len(y)
-                common = both - len(np.union1d(x, y))
-                keep.append(100 * common >= percent * (both - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = right.column("set_a")
+        at = {k: i for i, k in enumerate(zip(right.column("own").to_pylist(), right.column("block").to_pylist(), strict=True))}
+        keep, last, x = [], None, np.empty(0, dtype=np.uint64)
+        order = pa.compute.sort_indices(left, [("a", "ascending"), ("salt", "ascending"), ("b", "ascending")])
+        left = left.take(order)
+        for key, other in zip(zip(left.column("a").to_pylist(), left.column("salt").to_pylist(), strict=True), left.column("set_b"), strict=True):
+            if key != last:
+                last, x = key, np.frombuffer(rows[at[key]].as_py(), dtype=np.uint64)
+            y = np.frombuffer(other.as_py(), dtype=np.uint64)
+            joined = np.sort(np.concatenate((x, y)))
+            common = int((joined[1:] == joined[:-1]).sum())
+            keep.append(100 * common >= percent * (len(x) + len(y) - common))
+        return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b")), "b")
-    both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a")), "a")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return by_b.groupBy("part").cogroup(by_a.groupBy("part")).applyInArrow(run, "a long, b long")
 
 
 def _compatible(percent: int):
     """Size and position filter for rows with n, pos and n2, pos2: can the pair still reach the similarity?"""
-    room = 1 + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) - 1
-    need = F.lit(percent) * (F.col("n") + F.col("n2"))  # common * (100 + percent) >= percent * (n + n2)
-    shared = F.least(F.col("pos"), F.col("pos2"))
-    return (room + shared) * F.lit(100 + percent) >= need
+    most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) + F.least("pos", "pos2")
+    return most * F.lit(100 + percent) >= F.lit(percent) * (F.col("n") + F.col("n2"))  # most: shingles in common at most
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cells in which each sketch of x (rows of longs) differs from each of y; the longer ones are folded."""
+    while x.shape[1] > y.shape[1]:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    while y.shape[1] > x.shape[1]:
+        y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    for k in range(x.shape[1]):
+        out += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    return out
+
 
+def close_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(x, y) with x <= y: pairs of entries of the same list that may reach the similarity and are not known to be connected.
 
-def _sketches_allow(percent: int):
-    """Two sets differ in at least as many shingles as their sketches in bits."""
-    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"r{k}"))) for k in range(SKETCH)), F.lit(0))
-    total = F.col("n") + F.col("n2")
-    return (total - differ) * F.lit(100 + percent) >= F.lit(2 * percent) * total
+    entries: (list long, whole long, id long, side int, n long, pos int, comp long, many boolean, sketch binary). If a list has
+    entries of side 1, only pairs across the sides are meant. comp is the component, null for an entry of several. An entry with
+    many (a group of several sets) passes without a sketch test, and with itself if it has several components. `whole` is the
+    number of entries in the list: a list above BLOCK is cut into blocks, and each pair of blocks is compared on its own.
+    """
+    entries = entries.withColumn("cuts", F.ceil(F.col("whole") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(11)), F.col("cuts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
+    cut = C.stored(entries.withColumn("pair", F.explode(pairs)).withColumn("h", F.xxhash64("list", "pair")).withColumn("block", F.when(F.col("pair.x") == F.col("pair.y"), -1).otherwise((F.col("own") == F.col("pair.y")).cast("int"))).drop("cuts", "own", "pair", "whole"))
+    parts = max(64, cut.count() // TASK_ENTRIES)
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.lexsort((table.column("id").to_numpy(), table.column("list").to_numpy(), table.column("h").to_numpy()))
+        ids, n, pos, side, block = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("id", "n", "pos", "side", "block"))
+        mixed = np.array(table.column("comp").is_null())[order]
+        comp = np.array(table.column("comp").fill_null(0)).astype(np.int64)[order]
+        many, sketch = np.array(table.column("many"))[order], table.column("sketch").to_pylist()
+        lists = table.column("list").to_numpy()[order]
+        keys = np.stack((table.column("h").to_numpy()[order], lists))
+        new = np.append((keys[:, 1:] != keys[:, :-1]).any(axis=0), True)
+        ends = np.flatnonzero(new) + 1
+        xs, ys = [], []
+        for a, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            self_pairs = np.flatnonzero(many[a:e] & mixed[a:e] & (block[a:e] < 0)) + a
+            xs.append(ids[self_pairs])
+            ys.append(ids[self_pairs])
+            sized = sorted(range(a, e), key=lambda k: len(sketch[order[k]]))
+            classes = [np.array([k for k in sized if len(sketch[order[k]]) == size]) for size in sorted({len(sketch[order[k]]) for k in sized})]
+            bits = [np.stack([np.frombuffer(sketch[order[k]], dtype=np.uint64) for k in c.tolist()]) for c in classes]
+            two_sided = bool(side[a:e].any())
+            for p, (i, left) in enumerate(zip(classes, bits, strict=True)):
+                for j, right in zip(classes[p:], bits[p:], strict=True):
+                    both = n[i][:, None] + n[j][None, :]
+                    most = np.minimum((n[i] - pos[i])[:, None], (n[j] - pos[j])[None, :]) + np.minimum(pos[i][:, None], pos[j][None, :])
+                    ok = (most * (100 + percent) >= percent * both) & (mixed[i][:, None] | mixed[j][None, :] | (comp[i][:, None] != comp[j][None, :]))
+                    ok &= (block[i][:, None] < 0) | (block[i][:, None] != block[j][None, :])
+                    if two_sided:
+                        ok &= side[i][:, None] != side[j][None, :]
+                    if i is j:
+                        ok &= np.arange(len(i))[:, None] < np.arange(len(i))[None, :]
+                    if ok.any():
+                        ok &= many[i][:, None] | many[j][None, :] | ((both - _differ(left, right)) * (100 + percent) >= 2 * percent * both)
+                        u, v = np.nonzero(ok)
+                        xs.append(np.minimum(ids[i[u]], ids[j[v]]))
+                        ys.append(np.maximum(ids[i[u]], ids[j[v]]))
+        return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+
+    return cut.withColumn("part", F.pmod(F.col("h"), F.lit(parts))).groupBy("part").applyInArrow(run, "x long, y long").distinct()
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles long, component_id long): the smallest id reachable by links, for each row of docs."""
-    rows = C.checkpoint(documents_with_prefixes(docs, id_col, text_col, size, percent))
-    sets = rows.where("members is not null").select("doc_id", "members")
-    small = C.checkpoint(rows.where("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("position").alias("position"), F.first("sketch").alias("sketch")))
-    sketches = small.where(F.size("sketch") > 0).select(F.col("rep").alias("doc"), *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)])
-    reps = small.where(F.size("prefix") > 0).select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "prefix", "position", F.xxhash64("prefix", F.lit(7)).alias("k1"), F.xxhash64("prefix", F.lit(8)).alias("k2"))
-    groups = reps.groupBy("n", "k1", "k2").agg(F.min("doc").alias("gid"), F.first("prefix").alias("prefix"), F.first("position").alias("position"), F.count("*").alias("m"))
-    tokens = groups.select("gid", "n", (F.col("m") > 2).alias("many"), F.col("position")[0].alias("first"), F.explode(F.arrays_zip("prefix", "position")).alias("x"))
-    tokens = tokens.select("gid", "n", F.col("x.prefix").alias("token"), F.col("x.position").alias("pos"), (F.col("many") & (F.col("x.position") == F.col("first"))).alias("within"))
-    # members of a group are compared with gid alone below, so one list of each larger group must stay for the pairs among the others
-    lists = tokens.groupBy("token").agg(F.min(F.struct("gid", "n", "pos")).alias("lead"), F.count("*").alias("c"), F.max("within").alias("within")).where("c > 1 or within").select("token", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2"))
-    tokens = C.checkpoint(tokens.drop("within").join(lists, "token"))
-    members = C.checkpoint(reps.join(groups.select("n", "k1", "k2", "gid"), ["n", "k1", "k2"]).select("gid", "doc"))
-
-    # each group with the leader it shares most shingles with, and each member with its group
+    rows = C.stored(documents_with_prefixes(docs, id_col, text_col, size, percent))
+    sets = C.stored(rows.where("members is not null").select("doc_id", "members"))
+    small = C.stored(rows.where("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("position").alias("position"), F.first("sketch").alias("sketch")))
+    reps = small.where(F.size("prefix") > 0).select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "prefix", "position", "sketch", F.xxhash64("prefix", F.lit(7)).alias("k1"), F.xxhash64("prefix", F.lit(8)).alias("k2"))
+    groups = C.stored(reps.groupBy("n", "k1", "k2").agg(F.min("doc").alias("gid"), F.first("prefix").alias("prefix"), F.first("position").alias("position"), F.min_by("sketch", "doc").alias("sketch"), F.count("*").alias("m")))
+    members = C.stored(reps.join(groups.select("n", "k1", "k2", "gid"), ["n", "k1", "k2"]).select("gid", "doc", "n", "sketch"))
+
+    # the lists of groups, one of those that are equal (one token each), with their leaders
+    tokens = groups.select("gid", "n", F.explode(F.arrays_zip("prefix", "position")).alias("x")).select("gid", "n", F.col("x.prefix").alias("token"), F.col("x.position").alias("pos"))
+    lists = tokens.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("s1"), F.bit_xor(F.xxhash64("gid", F.lit(2))).alias("s2"), F.min(F.struct("gid", "n", "pos")).alias("lead")).where("c > 1")
+    lists = C.stored(lists.groupBy("c", "s1", "s2").agg(F.min(F.struct("token", "lead")).alias("x")).select(F.col("x.token").alias("token"), "c", "x.lead"))
+    tokens = C.stored(tokens.join(lists.select("token", "c", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2")), "token"))
+
+    # each group with the leader it shares most lists with, and each member with its group
     between = tokens.where("gid <> lead").where(_compatible(percent)).groupBy("lead", "gid").count().groupBy("gid").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
     pairs = between.select(F.col("lead").alias("a"), F.col("gid").alias("b")).unionByName(members.where("gid <> doc").select(F.col("gid").alias("a"), F.col("doc").alias("b")))
-    tried = C.checkpoint(pairs.distinct())
+    tried = C.stored(pairs.distinct())
     found = connected_components(verify(tried, sets, percent))
+    tokens = tokens.select("token", "gid", "n", "pos", "c")
 
-    open_lists, leaders, before = tokens.select("token", "gid", "n", "pos").join(members, "gid").drop("gid"), 0, None
-    while True:
-        placed = open_lists.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-        several = placed.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("c"), F.min_by(F.struct("doc", "n", "pos", "comp"), F.xxhash64("doc", F.lit(leaders))).alias("lead")).where("first <> last").select("token", "lead", "c")
-        open_lists, seen = C.checkpoint_with(placed.join(several, "token"), entries=F.count(F.lit(1)), pairs=F.coalesce(F.sum("c"), F.lit(0)))
-        if not seen["entries"]:
+    for turn in range(LEADER_ROUNDS + 1):
+        placed = members.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+        placed = C.stored(placed.select("gid", "doc", "n", "comp", "sketch"))
+        if turn == LEADER_ROUNDS:
             break
-        # a leader round pays if lists are long and the last one has at least halved the pairs
-        exhaustive = seen["pairs"] <= PAIRS_PER_ENTRY * seen["entries"] or before is not None and 2 * seen["pairs"] > before
-        before, leaders = seen["pairs"], leaders + 1
-        one = open_lists.drop("lead", "c")
-        if exhaustive:
-            one = C.checkpoint(one.join(sketches, "doc"))
-            other = one.select("token", F.col("doc").alias("y"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), *[F.col(f"s{k}").alias(f"r{k}") for k in range(SKETCH)])
-            pairs = one.withColumnRenamed("doc", "x").join(other, "token").where("x < y").where(_sketches_allow(percent))
-        else:
-            pairs = open_lists.select(F.col("doc").alias("x"), "n", "pos", "comp", F.col("lead.doc").alias("y"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2"), F.col("lead.comp").alias("comp2"))
-        pairs = pairs.where("comp <> comp2").where(_compatible(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs, some = C.checkpoint_with(pairs, n=F.count(F.lit(1)))
+        entries = C.stored(tokens.join(placed.groupBy("gid", "comp").agg(F.min("doc").alias("doc")), "gid"))
+        leads = entries.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.min_by(F.struct("doc", "n", "pos", "comp"), F.xxhash64("doc", F.lit(turn))).alias("lead")).where("first <> last").select("token", F.col("lead.doc").alias("y"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2"), F.col("lead.comp").alias("comp2"))
+        leads = C.stored(leads)
+        pairs = entries.join(leads, "token").where("comp <> comp2").where(_compatible(percent)).select(F.least("doc", "y").alias("a"), F.greatest("doc", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs, some = C.stored_with(pairs, n=F.count(F.lit(1)))
         if some["n"]:
             found = connected_components(verify(pairs, sets, percent), known=found)
-        if exhaustive:
-            break
-        tried, open_lists = tried.unionByName(pairs), one.drop("comp")
+        tried = tried.unionByName(pairs)
+        tokens = C.stored(tokens.join(leads.select("token"), "token", "left_semi"))  # a list of one component stays one
+
+    # pairs of groups in the lists that are still open, and open groups with themselves; then their members
+    held = C.stored(placed.groupBy("gid").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("m"), F.min_by("sketch", "doc").alias("sketch")).select("gid", F.when(F.col("first") == F.col("last"), F.col("first")).alias("comp"), (F.col("m") > 1).alias("many"), "m", "sketch"))
+    listed = tokens.join(held, "gid").select(F.col("token").alias("list"), F.col("c").alias("whole"), F.col("gid").alias("id"), F.lit(0).alias("side"), "n", "pos", "comp", "many", "sketch")
+    alone = held.where("comp is null").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
+    group_pairs = C.stored(close_pairs(listed, percent).unionByName(alone).distinct())
+    sizes = held.select("gid", "m")
+    expanded = group_pairs.join(sizes.select(F.col("gid").alias("x"), F.col("m").alias("mx")), "x").join(sizes.select(F.col("gid").alias("y"), F.col("m").alias("my")), "y")
+    expanded = expanded.select(F.xxhash64("x", "y").alias("list"), (F.col("mx") + F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("my"))).alias("whole"), F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("gid"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("gid"), F.lit(0).alias("side")), F.struct(F.col("y").alias("gid"), F.lit(1).alias("side"))))).alias("s"))
+    expanded = expanded.select("list", "whole", "s.gid", "s.side").join(placed, "gid").select("list", "whole", F.col("doc").alias("id"), "side", "n", F.lit(0).alias("pos"), "comp", F.lit(False).alias("many"), "sketch")
+    pairs = close_pairs(expanded, percent).select(F.col("x").alias("a"), F.col("y").alias("b")).join(tried, ["a", "b"], "left_anti")
+    found = connected_components(verify(pairs, sets, percent), known=found)
 
     placed = rows.select("doc_id", "n_shingles", "sig1", "sig2").join(small.select("n_shingles", "sig1", "sig2", "rep"), ["n_shingles", "sig1", "sig2"], "left")
     result = placed.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -177,3 +177,47 @@ def test_components_of_random_graphs(spark):
     join(more)
     same(components.connected_components(spark.createDataFrame(more, "a long, b long"), known=first))
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_never_differ_in_more_cells_than_the_sets(monkeypatch):
+    monkeypatch.setattr(jaccard, "SKETCH_BITS", 64)
+    r = np.random.default_rng(3)
+    pool = np.unique(r.integers(0, 1 << 63, 900).astype(np.uint64))
+    sets = [np.sort(r.choice(pool, k, replace=False)) for k in (1, 5, 60, 64, 65, 130, 400, 800)]
+    n = np.array([len(s) for s in sets])
+    packed = jaccard.parity_sketches(np.concatenate(sets), np.cumsum(n), n, np.ones(len(sets), dtype=bool))
+    rows = [np.frombuffer(p, dtype=np.uint64)[None] for p in packed]
+    assert [64 * x.shape[1] for x in rows] == [64, 64, 64, 64, 128, 256, 512, 1024]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            differ = int(jaccard._differ(rows[i], rows[j])[0, 0])
+            assert differ <= len(np.setxor1d(x, y)) and (i != j or differ == 0)
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_lists_in_blocks_and_any_number_of_leader_rounds_give_the_same(spark, monkeypatch, rounds):
+    """Families around one text, whose members differ by up to a third: links in lists of many components."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "VERIFY_BLOCK", 2)
+    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds)
+    r = random.Random(9)
+    docs = []
+    for family in range(4):
+        base = [f"w{r.randrange(400)}" for _ in range(60)]
+        for _ in range(14):
+            text = list(base)
+            at = r.randrange(45)
+            text[at : at + r.randrange(14)] = [f"x{r.randrange(6)}" for _ in range(r.randrange(14))]
+            docs.append((len(docs), " ".join(text)))
+    docs += [(len(docs) + k, docs[k][1]) for k in range(3)]
+    got = jaccard.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == sorted(brute_components(docs))
+
+
+def test_prefix_join_reads_only_id_and_text(spark):
+    """Columns with the names of the operator's own, repeated rows and one very long text."""
+    long = " ".join(f"v{k % 977}x{k % 31}" for k in range(60_000))
+    docs = [(1, "a b c d e f", 5, "m"), (1, "a b c d e f", 5, "m"), (2, "A b c d e f", 6, None), (3, long, 7, "m"), (4, long + " z", 8, "m"), (5, None, 9, "m"), (5, "", 9, "m")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_shingles int, token string")
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.link_components(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (5, 5)]
