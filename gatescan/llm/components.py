@@ -9,14 +9,16 @@ from gatescan.llm.chunks import stored, stored_with
 
 
 def _shorten(parents: DataFrame) -> DataFrame:
-    """(node, parent) with every parent replaced by the root of its chain, by pointer doubling."""
+    """(node, parent) with every parent replaced by the root of its chain, by pointer doubling, two doublings a table."""
+
+    def double(old: DataFrame) -> DataFrame:
+        up = old.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        return old.select("node", "parent").join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))
+
     while True:
-        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        step = parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))
-        step, seen = stored_with(step, moved=F.count_if("moved"))
-        parents = step.select("node", "parent")
+        parents, seen = stored_with(double(double(parents)), moved=F.count_if("moved"))
         if not seen["moved"]:
-            return parents
+            return parents.select("node", "parent")
 
 
 def _edges(a: str, b: str) -> list:

@@ -11,10 +11,10 @@ first, which Spark counts over all documents. Shingles of frequency 1 can match
 3. Surviving pairs of groups are expanded to members, which are tested by their sketches and then verified on the whole sets.
 
 As only components are asked for, a pair is not compared once its two sides are connected. So at first every member is compared
-with the smallest of its group, every group with the leader of a list, and, LEADER_ROUNDS times one document of each component
-in a group with a leader of each list that still holds several components. Lists and groups that are still open then are
-compared completely, in blocks of bounded size. No pair of different components is left out, so no link between components is
-lost, and a group of near copies costs about one comparison for each member.
+with the smallest of its group, and every group with LEADERS leaders, one for each of so many orders of the groups: of the leaders
+of its lists the one that it shares most lists with. Lists and groups that then still hold several components are compared
+completely, in blocks of bounded size. No pair of different components is left out, so no link between components is lost, and
+a group of near copies costs a few comparisons for each member.
 
 A sketch has the parity of the number of shingles in each of a power of two of hash cells, at least as many as the set has
 shingles. Two sets differ in at least as many shingles as their sketches in cells, so the test never drops a link. The larger
@@ -40,10 +40,10 @@ from gatescan.llm.bpe import raw_texts
 from gatescan.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 80
-#: Rounds with new leaders before everything that is still open is compared.
-LEADER_ROUNDS = 1
-#: Bits of the smallest sketch, entries of one side of a block, entries of a task, and pairs of one set that are verified together.
-SKETCH_BITS, BLOCK, TASK_ENTRIES, VERIFY_BLOCK = 1024, 256, 8192, 64
+#: Leaders that every group is compared with before everything that is still open is.
+LEADERS = 3
+#: Bits of the smallest sketch, entries of one side of a block, entries of a task, and parts that the pairs of one set are cut into.
+SKETCH_BITS, BLOCK, TASK_ENTRIES, VERIFY_PARTS = 1024, 256, 8192, 32
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,12 +123,11 @@ def documents_with_prefixes(docs: DataFrame, id_col: str, text_col: str, size: i
     return C.gather(chunks, answers, finish, "doc_id long, n_shingles long, sig1 long, sig2 long, prefix array<long>, position array<int>, sketch binary, members binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity. A set on side a is sent once for up to VERIFY_BLOCK pairs."""
-    pairs = C.stored(pairs)
-    per, total = pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFY_BLOCK).alias("cuts")), pairs.count()
-    cut = pairs.join(C.stored(per), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("cuts")))
-    parts = max(32, total // 1024)
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, about: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity; `about` so many pairs. A set on side a is sent at most VERIFY_PARTS times,
+    and a task sees so large a share of its pairs."""
+    cut = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(VERIFY_PARTS)))
+    parts = max(32, about // 1024)
     part = lambda a, salt: F.pmod(F.xxhash64(a, salt), F.lit(parts)).alias("part")
     by_b = cut.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b")), "b").select(part("a", "salt"), "a", "salt", "b", "set_b")
     own = cut.select(F.col("a").alias("own"), F.col("salt").alias("block")).distinct()
@@ -180,8 +179,8 @@ def close_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """
     entries = entries.withColumn("cuts", F.ceil(F.col("whole") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(11)), F.col("cuts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
-    cut = C.stored(entries.withColumn("pair", F.explode(pairs)).withColumn("h", F.xxhash64("list", "pair")).withColumn("block", F.when(F.col("pair.x") == F.col("pair.y"), -1).otherwise((F.col("own") == F.col("pair.y")).cast("int"))).drop("cuts", "own", "pair", "whole"))
-    parts = max(64, cut.count() // TASK_ENTRIES)
+    cut, seen = C.stored_with(entries.withColumn("pair", F.explode(pairs)).withColumn("h", F.xxhash64("list", "pair")).withColumn("block", F.when(F.col("pair.x") == F.col("pair.y"), -1).otherwise((F.col("own") == F.col("pair.y")).cast("int"))).drop("cuts", "own", "pair", "whole"), n=F.count(F.lit(1)))
+    parts = max(64, seen["n"] // TASK_ENTRIES)
 
     def run(table: pa.Table) -> pa.Table:
         order = np.lexsort((table.column("id").to_numpy(), table.column("list").to_numpy(), table.column("h").to_numpy()))
@@ -233,35 +232,26 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the lists of groups, one of those that are equal (one token each), with their leaders
     tokens = groups.select("gid", "n", F.explode(F.arrays_zip("prefix", "position")).alias("x")).select("gid", "n", F.col("x.prefix").alias("token"), F.col("x.position").alias("pos"))
-    lists = tokens.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("s1"), F.bit_xor(F.xxhash64("gid", F.lit(2))).alias("s2"), F.min(F.struct("gid", "n", "pos")).alias("lead")).where("c > 1")
-    lists = C.stored(lists.groupBy("c", "s1", "s2").agg(F.min(F.struct("token", "lead")).alias("x")).select(F.col("x.token").alias("token"), "c", "x.lead"))
-    tokens = C.stored(tokens.join(lists.select("token", "c", F.col("lead.gid").alias("lead"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2")), "token"))
-
-    # each group with the leader it shares most lists with, and each member with its group
-    between = tokens.where("gid <> lead").where(_compatible(percent)).groupBy("lead", "gid").count().groupBy("gid").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
-    pairs = between.select(F.col("lead").alias("a"), F.col("gid").alias("b")).unionByName(members.where("gid <> doc").select(F.col("gid").alias("a"), F.col("doc").alias("b")))
-    tried = C.stored(pairs.distinct())
-    found = connected_components(verify(tried, sets, percent))
-    tokens = tokens.select("token", "gid", "n", "pos", "c")
-
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = members.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-        placed = C.stored(placed.select("gid", "doc", "n", "comp", "sketch"))
-        if turn == LEADER_ROUNDS:
-            break
-        entries = C.stored(tokens.join(placed.groupBy("gid", "comp").agg(F.min("doc").alias("doc")), "gid"))
-        leads = entries.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.min_by(F.struct("doc", "n", "pos", "comp"), F.xxhash64("doc", F.lit(turn))).alias("lead")).where("first <> last").select("token", F.col("lead.doc").alias("y"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2"), F.col("lead.comp").alias("comp2"))
-        leads = C.stored(leads)
-        pairs = entries.join(leads, "token").where("comp <> comp2").where(_compatible(percent)).select(F.least("doc", "y").alias("a"), F.greatest("doc", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs, some = C.stored_with(pairs, n=F.count(F.lit(1)))
-        if some["n"]:
-            found = connected_components(verify(pairs, sets, percent), known=found)
-        tried = tried.unionByName(pairs)
-        tokens = C.stored(tokens.join(leads.select("token"), "token", "left_semi"))  # a list of one component stays one
+    leader = lambda k: F.min_by(F.struct("gid", "n", "pos"), F.col("gid") if not k else F.xxhash64("gid", F.lit(k))).alias(f"l{k}")
+    lists = tokens.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("s1"), F.bit_xor(F.xxhash64("gid", F.lit(2))).alias("s2"), *[leader(k) for k in range(LEADERS)]).where("c > 1")
+    lists = lists.withColumn("leads", F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))).groupBy("c", "s1", "s2").agg(F.min(F.struct("token", "leads")).alias("x"))
+    lists = C.stored(lists.select(F.col("x.token").alias("token"), "c", "x.leads"))
+    tokens = C.stored(tokens.join(lists, "token"))
+
+    # each group with the leaders it shares most lists with, and each member with its group
+    led = tokens.select("gid", "n", "pos", F.posexplode("leads").alias("k", "l")).select("gid", "n", "pos", "k", F.col("l.gid").alias("lead"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"))
+    between = led.where("gid <> lead").where(_compatible(percent)).groupBy("lead", "gid", "k").count().groupBy("gid", "k").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
+    pairs = between.select(F.least("lead", "gid").alias("a"), F.greatest("lead", "gid").alias("b")).unionByName(members.where("gid <> doc").select(F.col("gid").alias("a"), F.col("doc").alias("b")))
+    tried, some = C.stored_with(pairs.distinct(), n=F.count(F.lit(1)))
+    found = connected_components(verify(tried, sets, percent, some["n"]))
+    placed = members.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    placed = C.stored(placed.select("gid", "doc", "n", "comp", "sketch"))
 
     # pairs of groups in the lists that are still open, and open groups with themselves; then their members
     held = C.stored(placed.groupBy("gid").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("m"), F.min_by("sketch", "doc").alias("sketch")).select("gid", F.when(F.col("first") == F.col("last"), F.col("first")).alias("comp"), (F.col("m") > 1).alias("many"), "m", "sketch"))
-    listed = tokens.join(held, "gid").select(F.col("token").alias("list"), F.col("c").alias("whole"), F.col("gid").alias("id"), F.lit(0).alias("side"), "n", "pos", "comp", "many", "sketch")
+    listed = tokens.select("token", "c", "gid", "n", "pos").join(held, "gid")
+    several = listed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(F.col("comp").isNull()).alias("mixed")).where("low <> high or mixed > 0").select("token")
+    listed = listed.join(several, "token", "left_semi").select(F.col("token").alias("list"), F.col("c").alias("whole"), F.col("gid").alias("id"), F.lit(0).alias("side"), "n", "pos", "comp", "many", "sketch")
     alone = held.where("comp is null").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
     group_pairs = C.stored(close_pairs(listed, percent).unionByName(alone).distinct())
     sizes = held.select("gid", "m")
@@ -269,7 +259,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     expanded = expanded.select(F.xxhash64("x", "y").alias("list"), (F.col("mx") + F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("my"))).alias("whole"), F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("gid"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("gid"), F.lit(0).alias("side")), F.struct(F.col("y").alias("gid"), F.lit(1).alias("side"))))).alias("s"))
     expanded = expanded.select("list", "whole", "s.gid", "s.side").join(placed, "gid").select("list", "whole", F.col("doc").alias("id"), "side", "n", F.lit(0).alias("pos"), "comp", F.lit(False).alias("many"), "sketch")
     pairs = close_pairs(expanded, percent).select(F.col("x").alias("a"), F.col("y").alias("b")).join(tried, ["a", "b"], "left_anti")
-    found = connected_components(verify(pairs, sets, percent), known=found)
+    pairs, some = C.stored_with(pairs, n=F.count(F.lit(1)))
+    if some["n"]:
+        found = connected_components(verify(pairs, sets, percent, some["n"]), known=found)
 
     placed = rows.select("doc_id", "n_shingles", "sig1", "sig2").join(small.select("n_shingles", "sig1", "sig2", "rep"), ["n_shingles", "sig1", "sig2"], "left")
     result = placed.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -194,12 +194,12 @@ def test_sketches_never_differ_in_more_cells_than_the_sets(monkeypatch):
             assert differ <= len(np.setxor1d(x, y)) and (i != j or differ == 0)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_lists_in_blocks_and_any_number_of_leader_rounds_give_the_same(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("leaders", [1, 3])
+def test_lists_in_blocks_and_any_number_of_leaders_give_the_same(spark, monkeypatch, leaders):
     """Families around one text, whose members differ by up to a third: links in lists of many components."""
     monkeypatch.setattr(jaccard, "BLOCK", 3)
-    monkeypatch.setattr(jaccard, "VERIFY_BLOCK", 2)
-    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "VERIFY_PARTS", 2)
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
     r = random.Random(9)
     docs = []
     for family in range(4):
