@@ -151,3 +151,8 @@ def request_failure_message(status: Column, error: Column) -> Column:
 def resolve_path(path: Column, folder: str) -> Column:
     """Relative paths are taken from the folder of the manifest."""
     return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path))
+
+
+def plain_path(path: Column) -> Column:
+    """A file's path without scheme and host, so that file:/a, hdfs://host/a and /a are the same file."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*", "/")

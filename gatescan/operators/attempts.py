@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatescan.functions.text import rounded
@@ -12,7 +12,8 @@ from gatescan.functions.text import rounded
 NO_ATTEMPT = "no_ocr_attempts"
 #: Least area of a region as a share of the image, least solidity, and range of width to height. Fixed values.
 LEAST_AREA, LEAST_SOLIDITY, ASPECTS = 0.01, 0.7, (0.5, 5.0)
-_ORDER = ("score", "stage_index")
+#: Stages from this one on are fallback passes.
+FALLBACK_STAGE = 2
 
 
 def union_attempts(*stages: DataFrame) -> DataFrame:
@@ -39,42 +40,54 @@ def _best(columns: list[str]):
     return F.max_by(F.struct(*columns), F.struct(F.col("score"), -F.col("stage_index")))
 
 
-def select_best_attempt(attempts: DataFrame, frames: DataFrame, key: str = "frame_id") -> DataFrame:
+def _failure(attempts: DataFrame, fallback_stage: int) -> Column:
+    """The error of a frame's failed fallback, or null; an aggregate."""
+    error = F.col("error") if "error" in attempts.columns else F.lit(None)
+    return F.max(F.when(F.col("stage_index") >= fallback_stage, error.cast("string")))
+
+
+def select_best_attempt(attempts: DataFrame, frames: DataFrame, fallback_stage: int = FALLBACK_STAGE, key: str = "frame_id") -> DataFrame:
     """One row per frame with the columns of its best attempt and path, the stage's name. A frame whose fallback has failed fails
-    as a whole (its error, no results); one without attempts has path `no_ocr_attempts`."""
+    as a whole: its error, and null elsewhere. One without attempts has path `no_ocr_attempts`."""
     columns = [c for c in attempts.columns if c != key]
-    best = attempts.groupBy(key).agg(_best(columns).alias("b")).select(key, "b.*")
+    best = attempts.groupBy(key).agg(_best(columns).alias("b"), _failure(attempts, fallback_stage).alias("f"))
     found = frames.select(key).join(best, key, "left")
-    return found.withColumn("path", F.coalesce("stage", F.lit(NO_ATTEMPT)))
+    own = lambda x: F.when(F.col("f").isNull(), x)
+    picked = [F.coalesce("f", "b.error").alias(c) if c == "error" else own(F.col(f"b.{c}")).alias(c) for c in columns]
+    return found.select(key, *picked, own(F.coalesce("b.stage", F.lit(NO_ATTEMPT))).alias("path"))
 
 
 def profile_frames(attempts: DataFrame, frames: DataFrame, fallback_stage: int, key: str = "frame_id") -> DataFrame:
-    """Sums of OCR times, the chosen path and score, and the numbers of attempts and accepted ones, rounded for reports."""
+    """Sums of OCR times, the chosen path and score, and the numbers of attempts and accepted ones, rounded for reports. A frame
+    whose fallback has failed has its error and the two numbers, and null elsewhere."""
     ms = lambda fallback: F.coalesce(F.sum(F.when((F.col("stage_index") >= fallback_stage) == fallback, F.col("ocr_ms"))), F.lit(0.0))
-    sums = attempts.groupBy(key).agg(ms(False).alias("mobile_ocr_ms"), ms(True).alias("fallback_ocr_ms"), F.count("*").alias("n_attempts"), F.count_if("is_complete").alias("n_accepted"), _best(["stage", "score", "output_count"]).alias("b"))
+    sums = attempts.groupBy(key).agg(ms(False).alias("mobile_ocr_ms"), ms(True).alias("fallback_ocr_ms"), F.count("*").alias("n_attempts"), F.count_if("is_complete").alias("n_accepted"), _best(["stage", "score", "output_count"]).alias("b"), _failure(attempts, fallback_stage).alias("f"))
     found = frames.select(key).join(sums, key, "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    own = lambda x: F.when(F.col("f").isNull(), x)
+    zero = lambda c: own(F.coalesce(F.col(c), F.lit(0.0)))
     return found.select(
         key, rounded(zero("mobile_ocr_ms") + zero("fallback_ocr_ms"), 2).alias("ocr_ms"), rounded(zero("mobile_ocr_ms"), 2).alias("mobile_ocr_ms"), rounded(zero("fallback_ocr_ms"), 2).alias("fallback_ocr_ms"),
         F.coalesce("n_attempts", F.lit(0)).alias("n_attempts"), F.coalesce("n_accepted", F.lit(0)).alias("n_accepted"),
-        F.coalesce("b.stage", F.lit(NO_ATTEMPT)).alias("path"), rounded(zero("b.score"), 4).alias("selected_score"), F.coalesce("b.output_count", F.lit(0)).alias("output_count"),
+        own(F.coalesce("b.stage", F.lit(NO_ATTEMPT))).alias("path"), rounded(zero("b.score"), 4).alias("selected_score"), own(F.coalesce("b.output_count", F.lit(0))).alias("output_count"), F.col("f").alias("error"),
     )
 
 
 def fused_best(attempts: DataFrame, frames: DataFrame, fallback_stage: int, columns: list[str], key: str = "frame_id") -> DataFrame:
     """Gate, choice and profile in one aggregation by frame: attempts hold the fallback outputs of all frames, and those of frames
-    with a complete primary attempt are ignored. Rows are narrowed before the only shuffle, and no items are collected."""
+    with a complete primary attempt are ignored. A frame whose fallback has failed has its error and null elsewhere. Rows are narrowed before the only shuffle, and no items are collected."""
     primary = F.col("stage_index") < fallback_stage
     order = F.struct(F.col("score"), -F.col("stage_index"))
     picked = F.struct("stage", "stage_index", "score", *columns)
     both = attempts.groupBy(key).agg(
         F.coalesce(F.bool_or(primary & F.col("is_complete")), F.lit(False)).alias("done"),
         F.max_by(F.when(primary, picked), F.when(primary, order)).alias("p"), F.max_by(picked, order).alias("a"),
-        F.coalesce(F.sum(F.when(primary, F.col("ocr_ms"))), F.lit(0.0)).alias("mobile_ocr_ms"), F.coalesce(F.sum(F.when(~primary, F.col("ocr_ms"))), F.lit(0.0)).alias("all_fallback_ms"),
+        F.coalesce(F.sum(F.when(primary, F.col("ocr_ms"))), F.lit(0.0)).alias("mobile_ocr_ms"), F.coalesce(F.sum(F.when(~primary, F.col("ocr_ms"))), F.lit(0.0)).alias("all_fallback_ms"), _failure(attempts, fallback_stage).alias("f"),
     )
-    both = both.select(key, F.when(F.col("done"), F.col("p")).otherwise(F.col("a")).alias("b"), "mobile_ocr_ms", F.when(F.col("done"), 0.0).otherwise(F.col("all_fallback_ms")).alias("fallback_ocr_ms"), (~F.col("done")).alias("used_fallback"))
+    both = both.select(key, F.when(F.col("done"), F.col("p")).otherwise(F.col("a")).alias("b"), "mobile_ocr_ms", F.when(F.col("done"), 0.0).otherwise(F.col("all_fallback_ms")).alias("fallback_ocr_ms"), F.when(~F.col("done"), F.col("f")).alias("error"))
     found = frames.select(key).join(both, key, "left")
-    return found.select(key, F.coalesce("b.stage", F.lit(NO_ATTEMPT)).alias("path"), F.coalesce("b.score", F.lit(0.0)).alias("score"), *[F.col(f"b.{c}").alias(c) for c in columns], F.coalesce("mobile_ocr_ms", F.lit(0.0)).alias("mobile_ocr_ms"), F.coalesce("fallback_ocr_ms", F.lit(0.0)).alias("fallback_ocr_ms"))
+    own = lambda x: F.when(F.col("error").isNull(), x)
+    zero = lambda c: own(F.coalesce(c, F.lit(0.0)))
+    return found.select(key, own(F.coalesce("b.stage", F.lit(NO_ATTEMPT))).alias("path"), zero("b.score").alias("score"), *[own(F.col(f"b.{c}")).alias(c) for c in columns], zero("mobile_ocr_ms").alias("mobile_ocr_ms"), zero("fallback_ocr_ms").alias("fallback_ocr_ms"), "error")
 
 
 def select_label_region(regions: DataFrame, frames: DataFrame, key: str = "frame_id") -> DataFrame:

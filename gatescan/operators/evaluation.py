@@ -37,16 +37,17 @@ def attach_responses(cases: DataFrame, responses: DataFrame, images: DataFrame)
     """Every case, duplicates too, with the response of its image. found tells whether the image exists.
 
     responses: image, results (JSON text or item array), latency_ms, error and more; one response is kept per image (the smallest
-    by latency). A case without an image gets the error `image not found: <path>`; results that are no list are empty.
+    by latency). Images are found by their paths without scheme and host. A case without an image gets the error `image not found: <path>`; results that are no list are empty.
     """
     items = f"array<{RAW_ITEM}>"
     parsed = responses
     if responses.schema["results"].dataType.typeName() == "string":
         parsed = responses.withColumn("results", F.when(F.ltrim("results").startswith("["), F.from_json("results", items)))
     others = [c for c in parsed.columns if c != "image"]
-    one = parsed.groupBy("image").agg(F.min_by(F.struct(*others), F.struct("latency_ms", F.col("error").isNotNull())).alias("r"))
-    known = images.select("image").distinct().withColumn("found", F.lit(True))
-    joined = cases.join(one, "image", "left").join(known, "image", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    wanted = parsed.join(cases.select("image").distinct(), "image", "left_semi")  # before results go through the aggregate
+    one = wanted.groupBy("image").agg(F.min_by(F.struct(*others), F.struct("latency_ms", F.col("error").isNotNull())).alias("r"))
+    known = images.select(X.plain_path(F.col("image")).alias("__plain")).distinct().withColumn("found", F.lit(True))
+    joined = cases.withColumn("__plain", X.plain_path(F.col("image"))).join(one, "image", "left").join(known, "__plain", "left").withColumn("found", F.coalesce("found", F.lit(False)))
     empty = F.array().cast(parsed.schema["results"].dataType)
     missing = F.concat(F.lit("image not found: "), F.col("image"))
     error = F.when(~F.col("found"), missing).when(F.col("r").isNull(), F.lit("no response")).otherwise(F.col("r.error"))

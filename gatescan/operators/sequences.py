@@ -5,10 +5,16 @@ Partition by session, not by device: a device that scans all day would be one pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STATES = ("Ready", "Scanning", "Recognized", "RetryNeeded")
+#: The states that each state may be followed by. Fixed values.
+FOLLOWERS = {
+    "Ready": ("Scanning", "RetryNeeded"),
+    "Scanning": ("Recognized", "RetryNeeded", "Ready"),
+    "Recognized": ("Scanning", "Ready"),
+    "RetryNeeded": ("Scanning", "Ready"),
+}
 
 
 def suppress_repeats(df: DataFrame, session: str = "session_id", order: list[str] | None = None) -> DataFrame:
@@ -38,12 +44,6 @@ def state_requests(df: DataFrame, session: str = "session_id", order: str = "ts"
     return df.select("*", F.inline(both))
 
 
-def accepts(state: Column, request: Column) -> Column:
-    """Whether a state allows the request: the same state, or one of its followers."""
-    follows = F.create_map(*[F.lit(x) for x in ("Ready", "|Scanning|RetryNeeded|", "Scanning", "|Recognized|RetryNeeded|Ready|", "Recognized", "|Scanning|Ready|", "RetryNeeded", "|Scanning|Ready|")])
-    return (state == request) | F.contains(follows[state], F.concat(F.lit("|"), request, F.lit("|")))
-
-
 def validate_transitions(df: DataFrame, session: str = "session_id", order: list[str] | None = None, request: str = "requested") -> DataFrame:
     """df with accepted and state (after the request). Sessions start as Ready; a rejected request changes nothing.
 

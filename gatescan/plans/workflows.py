@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatescan.operators.attempts import fused_best
+from gatescan.operators.attempts import FALLBACK_STAGE, fused_best
 from gatescan.operators.directory import resolve_audio, resolve_seats, with_audio
 from gatescan.operators.evaluation import evaluate, summarize
 from gatescan.operators.scoring import score_ocr_items
 from gatescan.operators.sequences import classify_scan, state_requests, suppress_repeats, validate_transitions
 
-FALLBACK_STAGE = 2
-
 
 def recognise(attempts: DataFrame, frames: DataFrame, fallback_stage: int = FALLBACK_STAGE, key: str = "frame_id") -> DataFrame:
     """One answer per frame: path, score, seat and name of the best attempt, and OCR times. Scoring needs no shuffle; gate,
     choice and profile share one, of narrow rows."""
     s = F.col("scored")
     rows = score_ocr_items(attempts).select(
-        key, "stage", "stage_index", "ocr_ms", s["is_complete"].alias("is_complete"), s["score"].alias("score"), s["failure_reason"].alias("failure_reason"),
+        key, "stage", "stage_index", "ocr_ms", "error", s["is_complete"].alias("is_complete"), s["score"].alias("score"), s["failure_reason"].alias("failure_reason"),
         s["selected_seat"]["text"].alias("seat"), s["selected_name"]["text"].alias("name"), F.size("items").alias("output_count"),
     )
     return fused_best(rows, frames, fallback_stage, ["failure_reason", "seat", "name", "output_count"], key)

@@ -194,7 +194,7 @@ def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attempts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_attempts, all stages."""
     rows = items_of(spark, sf_dir).withColumn("ocr_ms", (20 + (c("frame_id") * 7 + c("stage_index") * 13) % 500).cast("double"))
-    rows = rows.withColumn("error", F.when((c("stage_index") < 2) & ((c("frame_id") + c("stage_index")) % 50 == 0), "engine failed"))
+    rows = rows.withColumn("error", F.when((c("stage_index") < 2) & ((c("frame_id") + c("stage_index")) % 50 == 0), "engine failed").when((c("stage_index") == 2) & (c("frame_id") % 37 == 0), "fallback failed"))
     return rows.withColumn("stage", F.get(F.array(*map(F.lit, _STAGES)), c("stage_index").cast("int")))
 
 
@@ -206,7 +206,7 @@ def scored_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scoring_sql(failures: bool, stages: str = "frame_id, stage_index") -> str:
     """CTEs ending in `scored`: one row per frame and stage of fx_items; failures empties the failed attempts."""
-    bad = "(stage_index < 2 and (frame_id + stage_index) % 50 = 0)" if failures else "false"
+    bad = "(stage_index < 2 and (frame_id + stage_index) % 50 = 0 or stage_index = 2 and frame_id % 37 = 0)" if failures else "false"
     return f"""
 with it as (select *, {bad} as bad from ({sql("fx_items")}) v),
 p as (select frame_id, stage_index, item_index, confidence, {_RAW} as raw, {_SEAT} as seat, case when {_IS_NAME} then {_NAME} end as name from it where not bad),
@@ -228,6 +228,7 @@ scored as (select *, seat is not null and name is not null as is_complete,
 
 
 _PLAIN, _ATTEMPTS = _scoring_sql(False), _scoring_sql(True)
+_ERROR_SQL = "case when bad and stage_index < 2 then 'engine failed' when bad then 'fallback failed' end"
 _STAGE_SQL = "case stage_index when 0 then 'bottom50_left60_mobile' when 1 then 'bottom60_fullwidth_mobile' else 'server_full_frame_fallback' end"
 
 
@@ -308,7 +309,7 @@ def f21_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("frame_id", "stage_index", F.size(X.preview(c("x"), 2)).alias("n"), F.array_max(X.preview(c("x"), 2)).alias("last_index"))
 
 
-@_register("a11_union_attempts", _ATTEMPTS + f" select frame_id, stage_index, {_STAGE_SQL} as stage, n_items, case when bad then 'engine failed' end as error from scored")
+@_register("a11_union_attempts", _ATTEMPTS + f" select frame_id, stage_index, {_STAGE_SQL} as stage, n_items, {_ERROR_SQL} as error from scored")
 def a11_union_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = attempts_of(spark, sf_dir)
     stages = [rows.where(c("stage_index") == k).drop("stage_index") for k in range(len(_STAGES))]
@@ -318,7 +319,8 @@ def a11_union_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GATED = _ATTEMPTS + f""",
 done as (select distinct frame_id from scored where stage_index < 2 and is_complete),
 a as (select *, {_STAGE_SQL} as stage, cast(20 + (frame_id * 7 + stage_index * 13) % 500 as double) as ocr_ms from scored where stage_index < 2 or frame_id not in (select frame_id from done)),
-best as (select *, row_number() over (partition by frame_id order by score desc, stage_index) as k from a)"""
+best as (select *, row_number() over (partition by frame_id order by score desc, stage_index) as k from a),
+fail as (select frame_id, 'fallback failed' as failed from a where bad and stage_index = 2)"""
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -336,24 +338,25 @@ def a12_apply_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gated(spark, sf_dir)[0].select("frame_id", "stage_index", "is_complete")
 
 
-@_register("a13_select_best_attempt", _GATED + " select o_orderkey as frame_id, coalesce(stage, 'no_ocr_attempts') as path, score, seat, name, failure_reason from orders left join (select * from best where k = 1) b on b.frame_id = o_orderkey")
+@_register("a13_select_best_attempt", _GATED + " select o_orderkey as frame_id, case when failed is null then coalesce(stage, 'no_ocr_attempts') end as path, case when failed is null then score end as score, case when failed is null then seat end as seat, case when failed is null then name end as name, case when failed is null then failure_reason end as failure_reason, coalesce(failed, case when bad then 'engine failed' end) as error from orders left join (select * from best where k = 1) b on b.frame_id = o_orderkey left join fail on fail.frame_id = o_orderkey")
 def a13_select_best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.select_best_attempt(*_gated(spark, sf_dir)).select("frame_id", "path", "score", "seat", "name", "failure_reason")
+    return A.select_best_attempt(*_gated(spark, sf_dir)).select("frame_id", "path", "score", "seat", "name", "failure_reason", "error")
 
 
 @_register("a14_profile_frames", _GATED + """,
 t as (select frame_id, sum(case when stage_index < 2 then ocr_ms else 0 end) as m, sum(case when stage_index = 2 then ocr_ms else 0 end) as f, count(*) as n_attempts, count(*) filter (where is_complete) as n_accepted from a group by frame_id)
-select o_orderkey as frame_id, coalesce(m + f, 0.0) as ocr_ms, coalesce(m, 0.0) as mobile_ocr_ms, coalesce(f, 0.0) as fallback_ocr_ms, coalesce(n_attempts, 0) as n_attempts, coalesce(n_accepted, 0) as n_accepted,
-  coalesce(stage, 'no_ocr_attempts') as path, coalesce(round(score, 4), 0.0) as selected_score, coalesce(n_items, 0) as output_count
-from orders left join t on t.frame_id = o_orderkey left join (select * from best where k = 1) b on b.frame_id = o_orderkey""")
+select o_orderkey as frame_id, case when failed is null then coalesce(m + f, 0.0) end as ocr_ms, case when failed is null then coalesce(m, 0.0) end as mobile_ocr_ms, case when failed is null then coalesce(f, 0.0) end as fallback_ocr_ms, coalesce(n_attempts, 0) as n_attempts, coalesce(n_accepted, 0) as n_accepted,
+  case when failed is null then coalesce(stage, 'no_ocr_attempts') end as path, case when failed is null then coalesce(round(score, 4), 0.0) end as selected_score, case when failed is null then coalesce(n_items, 0) end as output_count, failed as error
+from orders left join t on t.frame_id = o_orderkey left join (select * from best where k = 1) b on b.frame_id = o_orderkey left join fail on fail.frame_id = o_orderkey""")
 def a14_profile_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.profile_frames(*_gated(spark, sf_dir), 2)
 
 
 @_register("w1_recognise", _GATED + """,
 t as (select frame_id, sum(case when stage_index < 2 then ocr_ms else 0 end) as m, sum(case when stage_index = 2 then ocr_ms else 0 end) as f from a group by frame_id)
-select o_orderkey as frame_id, coalesce(stage, 'no_ocr_attempts') as path, coalesce(score, 0.0) as score, failure_reason, seat, name, n_items as output_count, coalesce(m, 0.0) as mobile_ocr_ms, coalesce(f, 0.0) as fallback_ocr_ms
-from orders left join t on t.frame_id = o_orderkey left join (select * from best where k = 1) b on b.frame_id = o_orderkey""")
+select o_orderkey as frame_id, case when failed is null then coalesce(stage, 'no_ocr_attempts') end as path, case when failed is null then coalesce(score, 0.0) end as score, case when failed is null then failure_reason end as failure_reason, case when failed is null then seat end as seat, case when failed is null then name end as name,
+  case when failed is null then n_items end as output_count, case when failed is null then coalesce(m, 0.0) end as mobile_ocr_ms, case when failed is null then coalesce(f, 0.0) end as fallback_ocr_ms, failed as error
+from orders left join t on t.frame_id = o_orderkey left join (select * from best where k = 1) b on b.frame_id = o_orderkey left join fail on fail.frame_id = o_orderkey""")
 def w1_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.recognise(A.union_attempts(attempts_of(spark, sf_dir)), view(spark, sf_dir, "fx_frames"))
 
@@ -371,7 +374,7 @@ def a19_select_label_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register("a20_explode_attempts", _ATTEMPTS + f"""
- select frame_id as request_id, row_number() over (partition by frame_id order by stage_index) - 1 as attempt_index, {_STAGE_SQL} as stage, is_complete as accepted, failure_reason as reason, score, cast(20 + (frame_id * 7 + stage_index * 13) % 500 as double) as ocr_ms, case when bad then 'engine failed' end as error from scored""")
+ select frame_id as request_id, row_number() over (partition by frame_id order by stage_index) - 1 as attempt_index, {_STAGE_SQL} as stage, is_complete as accepted, failure_reason as reason, score, cast(20 + (frame_id * 7 + stage_index * 13) % 500 as double) as ocr_ms, {_ERROR_SQL} as error from scored""")
 def a20_explode_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.struct("stage_index", "stage", F.lit("e").alias("engine"), c("is_complete").alias("accepted"), c("failure_reason").alias("parse_reason"), "score", "ocr_ms", "error")
     nested = scored_attempts(spark, sf_dir).groupBy(c("frame_id").alias("request_id")).agg(F.struct(F.array_sort(F.collect_list(entry)).alias("validation_attempts")).alias("label_detection"))

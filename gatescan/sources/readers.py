@@ -12,6 +12,7 @@ from gatescan.schemas import DIAGNOSTIC, RESPONSE
 
 #: The headers that a seat directory may have. Fixed values.
 HEADERS = ("Seat No,Name", "Seat No,Chinese Name")
+#: Their messages are fixed values too.
 _LISTS = ("cases", "images", "records")
 _BOM = "﻿"
 
@@ -65,12 +66,12 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
     return parsed.where("r is not null").select("line_no", "r.seat", "r.name")
 
 
-def read_responses(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """One row per response document (a JSON object a line, or a file with multi-line JSON when read as a batch); results stays
-    JSON text. source is the file's path."""
+def read_responses(spark: SparkSession, path: str, stream: bool = False, lines: bool = True) -> DataFrame:
+    """One row per response document: a JSON object a line, or with lines=False (batch only) one document a file, over as many
+    lines as it has. results stays JSON text. source is the file's path."""
     if stream:
         return spark.readStream.schema(RESPONSE).json(path).withColumn("source", F.col("_metadata.file_path"))
-    return spark.read.schema(RESPONSE).json(path, multiLine=True).withColumn("source", F.col("_metadata.file_path"))
+    return spark.read.schema(RESPONSE).json(path, multiLine=not lines).withColumn("source", F.col("_metadata.file_path"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +97,7 @@ def list_audio(spark: SparkSession, root: str) -> DataFrame:
     return _listing(spark, root, "*.wav").select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("seat"), "path", "length")
 
 
-def list_images(spark: SparkSession, root: str, pattern: str = "*.{jpg,jpeg,png,webp,bmp}") -> DataFrame:
-    """image (plain path), length of every image below root. Contents aren't read. Spark lists no empty files, so an empty image
-    counts as not found."""
-    return _listing(spark, root, pattern).select(F.regexp_replace("path", "^file:/*", "/").alias("image"), "length")
+def list_images(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """image (path without scheme and host), length of every file below root, whatever its suffix. Contents aren't read. Spark
+    lists no empty files, so an empty image counts as not found."""
+    return _listing(spark, root, pattern).select(X.plain_path(F.col("path")).alias("image"), "length")

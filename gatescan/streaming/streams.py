@@ -16,11 +16,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gatescan.operators.directory import resolve_seats, with_audio
 from gatescan.operators.scoring import parse_result
-from gatescan.operators.sequences import classify_scan
+from gatescan.operators.sequences import FOLLOWERS, classify_scan
 from gatescan.schemas import RAW_ITEM
 
 IDLE, DELAY = "1 hour", "10 minutes"
-_FOLLOW = {"Ready": {"Scanning", "RetryNeeded"}, "Scanning": {"Recognized", "RetryNeeded", "Ready"}, "Recognized": {"Scanning", "Ready"}, "RetryNeeded": {"Scanning", "Ready"}}
 
 
 def stream_parse(responses: DataFrame, name_threshold: float = 0.8, seat_threshold: float = 0.9) -> DataFrame:
@@ -75,7 +74,7 @@ def _suppress(seat: str | None, row: dict) -> tuple[str | None, bool]:
 
 
 def _request(state: str, wanted: str) -> tuple[str, bool]:
-    ok = wanted == state or wanted in _FOLLOW[state]
+    ok = wanted == state or wanted in FOLLOWERS[state]
     return (wanted if ok else state), ok
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatescan.functions import text as X
+from gatescan.operators import attempts as A
 from gatescan.operators import scoring as S
 from gatescan.operators.evaluation import compare_expected
 from gatescan.schemas import RAW_ITEM
@@ -139,3 +140,16 @@ def test_regexes_run_once_per_item(spark):
     df = S.score_ocr_items(frames(spark, [("Jane", 0.9)]))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") == 1
+
+
+def test_a_failed_fallback_fails_the_frame(spark):
+    """Frame 1: its fallback fails. Frame 2: complete, so its failed fallback never runs. Frame 3: only a primary pass fails."""
+    rows = [(1, 0, "p0", 200.5, False, 5.0, None), (1, 2, "fb", 0.0, False, 7.0, "engine died"), (2, 0, "p0", 301.0, True, 5.0, None), (2, 2, "fb", 0.0, False, 7.0, "engine died"), (3, 0, "p0", 0.0, False, 5.0, "bad"), (3, 2, "fb", 100.0, False, 7.0, None)]
+    attempts = spark.createDataFrame(rows, "frame_id int, stage_index int, stage string, score double, is_complete boolean, ocr_ms double, error string").withColumn("output_count", F.lit(4))
+    frames = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "frame_id int")
+    want = {1: (None, None, "engine died"), 2: ("p0", 301.0, None), 3: ("fb", 100.0, None), 4: ("no_ocr_attempts", 0.0, None)}
+    fused = A.fused_best(attempts, frames, 2, ["output_count"])
+    assert {r.frame_id: (r.path, r.score, r.error) for r in fused.collect()} == want
+    gated = A.apply_fallback(attempts.where("stage_index < 2"), attempts.where("stage_index = 2"), frames)
+    assert {r.frame_id: (r.path, r.score or (0.0 if r.frame_id == 4 else None), r.error) for r in A.select_best_attempt(gated, frames).collect()} == want
+    assert {r.frame_id: (r.path, r.selected_score, r.error) for r in A.profile_frames(gated, frames, 2).collect()} == want

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gatescan.operators import sequences as T
 from gatescan.streaming import streams as R
 
-FOLLOW = {"Ready": ["Scanning", "RetryNeeded"], "Scanning": ["Recognized", "RetryNeeded", "Ready"], "Recognized": ["Scanning", "Ready"], "RetryNeeded": ["Scanning", "Ready"]}
+FOLLOW = {k: list(v) for k, v in T.FOLLOWERS.items()}
 START = dt.datetime(2024, 1, 1)
 
 
@@ -20,7 +20,7 @@ def scans(rng, n_sessions=30, n=25):
         for k in range(n):
             seat = rng.choice(["A", "B", "C", None])
             failed = rng.random() < 0.2
-            out.append((s, START + dt.timedelta(seconds=s + 60 * k), rng.random() < 0.8, failed, None if failed else seat, bool(audio.get(seat)) and not failed, rng.choice(T.STATES)))
+            out.append((s, START + dt.timedelta(seconds=s + 60 * k), rng.random() < 0.8, failed, None if failed else seat, bool(audio.get(seat)) and not failed, rng.choice(list(T.FOLLOWERS))))
     return out
 
 
@@ -68,10 +68,17 @@ def test_transitions_equal_the_fold(spark, rows):
     assert {(r.session_id, r.ts): (r.accepted, r.state) for r in got} == fold_states(plain)
 
 
-def test_accepts_is_the_transition_table(spark):
-    pairs = [(a, b) for a in T.STATES for b in T.STATES]
-    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", T.accepts(F.col("a"), F.col("b")).alias("ok")).collect()
-    assert {(r.a, r.b): r.ok for r in got} == {(a, b): a == b or b in FOLLOW[a] for a, b in pairs}
+def test_every_single_step_follows_the_transition_table(spark):
+    reach = {"Ready": [], "Scanning": ["Scanning"], "Recognized": ["Scanning", "Recognized"], "RetryNeeded": ["RetryNeeded"]}
+    rows, want = [], {}
+    for a in T.FOLLOWERS:
+        for b in T.FOLLOWERS:
+            session = len(want)
+            for k, r in enumerate([*reach[a], b]):
+                rows.append((session, k, r))
+            want[session, len(reach[a])] = a == b or b in T.FOLLOWERS[a]
+    got = T.validate_transitions(spark.createDataFrame(rows, "session_id long, ts long, requested string")).collect()
+    assert {(r.session_id, r.ts): r.accepted for r in got if (r.session_id, r.ts) in want} == want
 
 
 @pytest.mark.parametrize(("failed", "complete", "name", "seat", "want"), [(True, True, 1.0, 1.0, "RetryNeeded"), (False, False, 1.0, 1.0, "Scanning"), (False, True, 0.8, 0.9, "Recognized"), (False, True, 0.79, 0.9, "RetryNeeded"), (False, True, 0.8, 0.89, "RetryNeeded")])

@@ -129,3 +129,21 @@ def test_frames_without_attempts_and_failed_fallback(spark):
     assert best == {1: ("p0", 301.0), 2: ("p0", 100.0), 3: ("no_ocr_attempts", None)}
     fused = {r.frame_id: (r.path, r.fallback_ocr_ms) for r in A.fused_best(attempts, frames, 2, ["output_count"]).collect()}
     assert fused == {1: ("p0", 0.0), 2: ("p0", 5.0), 3: ("no_ocr_attempts", 0.0)}
+
+
+def test_lines_and_single_documents(spark, tmp_path):
+    write(tmp_path / "three.json", "".join(json.dumps({"error": str(k)}) + "\n" for k in range(3)))
+    assert sorted(r.error for r in R.read_responses(spark, str(tmp_path / "three.json")).collect()) == ["0", "1", "2"]
+    write(tmp_path / "one.json", json.dumps({"error": "x", "results": [1]}, indent=2))
+    assert [r.error for r in R.read_responses(spark, str(tmp_path / "one.json"), lines=False).collect()] == ["x"]
+
+
+def test_any_file_counts_as_an_image(spark, tmp_path):
+    for n in ("A.JPG", "b.tif", "c.jpg"):
+        write(tmp_path / n, "x")
+    found = R.list_images(spark, str(tmp_path))
+    assert sorted(r.image for r in found.collect()) == [f"{tmp_path}/{n}" for n in ("A.JPG", "b.tif", "c.jpg")]
+    cases = spark.createDataFrame([(f"file:{tmp_path}/A.JPG",), (f"hdfs://host{tmp_path}/b.tif",), ("/no.jpg",)], "image string")
+    responses = spark.createDataFrame([], "image string, results string, latency_ms double, error string")
+    got = {r.image[-5:]: r.found for r in E.attach_responses(cases, responses, found).collect()}
+    assert got == {"A.JPG": True, "b.tif": True, "o.jpg": False}
