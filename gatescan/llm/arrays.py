@@ -102,6 +102,15 @@ def find_words(texts: list[bytes]) -> Words:
     return Words(buf, starts, ends, mix64(hashes), offsets)
 
 
+def prefix_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end] for each pair, whose ranges lie within the data; equal bytes have equal hashes."""
+    power, inverse = _BYTE_POWERS.get(len(data) + 1)
+    total = np.empty(len(data) + 1, dtype=_U)
+    total[0] = 0
+    np.cumsum(_BYTE_VALUE[data] * power[: len(data)], out=total[1:])
+    return (total[end] - total[start]) * inverse[start]
+
+
 def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     """Rabin-Karp hashes of every `size` consecutive word hashes (len - size + 1 of them, none if there are fewer words)."""
     n = len(hashes)

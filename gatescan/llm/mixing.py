@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatescan.llm import chunks as C
-from gatescan.llm.arrays import find_words, group_starts, pack_ints, pack_sorted, unpack_ints, unpack_sorted
+from gatescan.llm.arrays import find_words, group_starts, pack_ints, pack_sorted, prefix_hashes, unpack_ints, unpack_sorted
 from gatescan.llm.bpe import raw_texts
 from gatescan.llm.language import held_out
 
@@ -81,43 +81,48 @@ def contexts(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, lis
     begins = np.cumsum(lengths) - lengths
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     n = len(data)
-    within = np.arange(n) - np.repeat(begins, lengths)
+    place = np.arange(n)
     back = []
     for k in (1, 2, 3, 4):  # the k-th byte before, 10 (an end) before the start
         b = np.full(n, 10, dtype=_U32)
         b[k:] = data[:-k] if k < n else data[:0]
-        b[within < k] = 10
+        for j in range(k):
+            b[(begins + j)[lengths > j]] = 10
         back.append(b)
     shift = _U32(32 - bits)
-    mixed = lambda x, salt: ((x + _U32(salt)) * _U32(0x85EBCA6B) ^ ((x + _U32(salt)) >> _U32(15))) * _U32(0xC2B2AE35) >> shift
-    one = back[0]
-    two = one | back[1] << _U32(8)
+
+    def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+        x = x + _U32(salt)
+        return (x * _U32(0x85EBCA6B) ^ x >> _U32(15)) * _U32(0xC2B2AE35) >> shift
+
+    two = back[0] | back[1] << _U32(8)
     three = two | back[2] << _U32(16)
     four = three | back[3] << _U32(24)
-    boundary = (one == 32) | (within == 0)
-    start = np.maximum.accumulate(np.where(boundary, np.arange(n), 0))
-    into = np.minimum(np.arange(n) - start, 12).astype(_U32)
-    word = into.copy()
-    for k in range(1, 9):
-        b = np.zeros(n, dtype=_U32)
-        b[k:] = data[:-k] if k < n else data[:0]
-        word = np.where(into >= k, word * _U32(0x01000193) + b + _U32(1), word)
+    boundary = back[0] == 32
+    boundary[begins[lengths > 0]] = True
+    start = np.maximum.accumulate(np.where(boundary, place, 0))
+    word = (prefix_hashes(data, start, place) >> np.uint64(32)).astype(_U32) + (place - start).astype(_U32)
     return data, begins, [mixed(two, 0x2545F491), mixed(three, 0x6C62272E), mixed(four, 0x7F4A7C15), mixed(word, 0x51ED270B)]
 
 
 def count_bits(texts: list[bytes], tree: CodeTree, counts: list[np.ndarray], bits: int) -> None:
-    """Adds the bits of the texts to counts[predictor][cell + 2**bits * bit]."""
+    """Adds the bits of the texts to counts[predictor][cell + 2**bits * bit]. Equal (context, byte) pairs are counted first, by
+    sorting, and each distinct pair then goes down the tree once."""
     data, _, own = contexts(texts, bits)
     mask = _U32((1 << bits) - 1)
-    depth, sym = tree.depth[data], data
-    for d in range(int(depth.max()) if len(data) else 0):
-        if d:
-            use = np.flatnonzero(depth > d)
-            depth, sym, own = depth[use], sym[use], [h[use] for h in own]
-        node, bit = tree.node[d].take(sym), tree.bit[d].take(sym)
-        bit = bit.astype(_U32) << _U32(bits)
-        for k in range(PREDICTORS):
-            np.add.at(counts[k], ((own[k] + node) & mask | bit).astype(np.int64), _U32(1))
+    for k in range(PREDICTORS):
+        pair = np.sort(own[k] << _U32(8) | data if bits <= 24 else own[k].astype(np.uint64) << np.uint64(8) | data)
+        starts = group_starts(pair)
+        times = np.diff(np.append(starts, len(pair))).astype(_U32)
+        pair = pair[starts]
+        sym, context = (pair & 255).astype(np.uint8), (pair >> 8).astype(_U32)
+        depth = tree.depth[sym]
+        for d in range(int(depth.max()) if len(sym) else 0):
+            if d:
+                use = np.flatnonzero(depth > d)
+                depth, sym, context, times = depth[use], sym[use], context[use], times[use]
+            bit = tree.bit[d].take(sym).astype(_U32) << _U32(bits)
+            np.add.at(counts[k], ((context + tree.node[d].take(sym)) & mask | bit).astype(np.int64), times)
 
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -128,8 +133,9 @@ def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 def code_bits(texts: list[bytes], tree: CodeTree, tables: list[np.ndarray], bits: int) -> np.ndarray:
     """The code length in bits of each text (normal form)."""
     data, begins, hashes = contexts(texts, bits)
+    hashes = [h.astype(np.int64) for h in hashes]
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    mask = _U32((1 << bits) - 1)
+    mask = (1 << bits) - 1
     weights = np.tile(np.array(FIRST_WEIGHTS, dtype=np.float32), (len(texts), GATES, 1))
     total = np.zeros(len(texts))
     low, block = 0, 0
@@ -152,8 +158,8 @@ def code_bits(texts: list[bytes], tree: CodeTree, tables: list[np.ndarray], bits
                 sym, owner, depth = sym[use], owner[use], depth[use]
                 own = [h[use] for h in own]
             gate = min(d, GATES - 1)
-            node, sign = tree.node[d].take(sym), tree.sign[d].take(sym)
-            odds = [tables[k].take(((own[k] + node) & mask).astype(np.int64), mode="wrap").astype(np.float32) for k in range(PREDICTORS)]
+            node, sign = tree.node[d].astype(np.int64).take(sym), tree.sign[d].take(sym)
+            odds = [tables[k].take((own[k] + node) & mask, mode="clip").astype(np.float32) for k in range(PREDICTORS)]
             starts = group_starts(owner)
             present = owner[starts]
             w = weights[docs[present], gate] * np.float32(STEP)
@@ -215,7 +221,7 @@ def train_tables(chunks: DataFrame, tree: CodeTree, bits: int) -> list[np.ndarra
         counts = [np.zeros(2 << bits, dtype=_U32) for _ in range(PREDICTORS)]
         for b in batches:
             for payload in b.column(0):
-                for texts in _sliced(_training(C.from_ipc(payload.as_py())), 1 << 18):
+                for texts in _sliced(_training(C.from_ipc(payload.as_py()))):
                     count_bits(texts, tree, counts, bits)
         for k, c in enumerate(counts):
             for p in range(PARTS):

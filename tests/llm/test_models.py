@@ -113,6 +113,25 @@ def test_code_tree_is_prefix_free_and_scores_are_a_probability():
     assert own < other
 
 
+def test_counts_equal_those_of_single_bits():
+    """Every bit of every byte adds one to the cell of its context and branch, for each predictor."""
+    texts = [mixing.normal_form(t) for t in (b"the cat sat on the mat", b"", b"aa aa aa aa", b"a verylongwordofmanyletters verylongwordofmanylettersx")]
+    bits = 10
+    tree = mixing.CodeTree(np.bincount(np.frombuffer(b"".join(texts), dtype=np.uint8), minlength=256))
+    counts = [np.zeros(2 << bits, dtype=np.uint32) for _ in range(mixing.PREDICTORS)]
+    mixing.count_bits(texts, tree, counts, bits)
+    data, _, own = mixing.contexts(texts, bits)
+    want = [np.zeros(2 << bits, dtype=np.uint32) for _ in range(mixing.PREDICTORS)]
+    for at, byte in enumerate(data.tolist()):
+        for d in range(int(tree.depth[byte])):
+            for k in range(mixing.PREDICTORS):
+                want[k][(int(own[k][at]) + int(tree.node[d, byte])) % (1 << bits) + (int(tree.bit[d, byte]) << bits)] += 1
+    assert all((a == b).all() for a, b in zip(counts, want, strict=True))
+    assert len({int(own[3][k]) for k in (4, 8, 12)}) > 1  # words of other beginnings have other contexts
+    word = [k for k in range(len(data)) if bytes(data[k : k + 12]) == b"verylongword"]
+    assert (own[3][word[0] : word[0] + 26] == own[3][word[1] : word[1] + 26]).all()  # the same word, whole
+
+
 def test_weights_adapt_within_a_text():
     tree = mixing.CodeTree(np.zeros(256, dtype=np.int64))
     tables = [np.full(1 << 14, 40, dtype=np.int8) for _ in range(mixing.PREDICTORS)]  # misleading odds
