@@ -30,8 +30,9 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: A word of ASCII letters and U+00C0 to U+00FF without the two signs there, after a space or none: one piece of that pattern.
 _ONE_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 _NO_RANK = np.uint32(0xFFFFFFFF)
-#: Fragments remembered in a worker between blocks (about 150 bytes each), and bytes of text encoded at once.
-CACHED_FRAGMENTS = 400_000
+#: Fragments remembered in a worker between blocks, the longest of them in bytes, and bytes of text encoded at once. Longer ones
+#: are encoded each time, so the memory of the others (at most 64 + 4 * 64 bytes and their objects) is bounded by their number.
+CACHED_FRAGMENTS, CACHED_BYTES = 400_000, 64
 BLOCK_BYTES = 4 << 20
 
 
@@ -218,11 +219,12 @@ class Codec:
             new = list({f for f, i in zip(found, ids, strict=True) if i is None})
             if len(self.known) + len(new) > CACHED_FRAGMENTS:  # those of this block stay
                 self.known = {f: i for f, i in zip(found, ids, strict=True) if i is not None}
+            made: dict[bytes, bytes] = {}
             for at in range(0, len(new), 1 << 14):
                 part = new[at : at + (1 << 14)]
-                self.known.update(zip(part, self.merge(part), strict=True))
-            known = self.known
-            ids = [known[f] if i is None else i for f, i in zip(found, ids, strict=True)]
+                made.update(zip(part, self.merge(part), strict=True))
+            ids = [made[f] if i is None else i for f, i in zip(found, ids, strict=True)]
+            self.known.update((f, i) for f, i in made.items() if len(f) <= CACHED_BYTES)
         ends = np.cumsum(counts).tolist()
         return [b"".join(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 

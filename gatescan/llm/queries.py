@@ -71,7 +71,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 with d as (
   select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l,
+    len(regexp_extract_all(coalesce(text, ''), '(?:\.\.\.|\x{2026})[ \t]*(?:\n|$)')) as n_ellipses, len(regexp_extract_all(coalesce(text, ''), '(?:^|\n)[ \t]*[-*\x{2022}][ \t]')) as n_bullets,
+    len(regexp_extract_all(coalesce(text, ''), '[0-9]')) as n_digits from documents
 ), g as (
   select doc_id, i, list_slice(w, i, i + 7) as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d)
 ), t as (
@@ -80,13 +82,14 @@ with d as (
   select doc_id, count(distinct i + k) as n from t, range(8) as o(k) where c > 1 group by doc_id
 ), s as (
   select d.doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
-    length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines,
+    length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines, n_ellipses, n_bullets, n_digits,
     coalesce(r.n, 0) as n_repeat_words from d left join r using (doc_id)
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or 10 * n_symbols > word_chars or (n_lines > 3 and 100 * n_dup_lines > 50 * n_lines)
-    or word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
+    or word_chars < 2 * n_words or word_chars > 20 * n_words or (n_lines > 3 and (100 * n_ellipses > 30 * n_lines or 100 * n_bullets > 90 * n_lines))
+    or 100 * n_digits > 50 * word_chars) as kept
 from s
 """
 

@@ -50,7 +50,9 @@ def _open(rows: pa.Table, id_col: str, text_col: str) -> tuple[list[bytes], np.n
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, suffix: str = "") -> DataFrame:
     """All columns of docs, and n_words, n_removed, removed (array of maximal intervals of word numbers, end exclusive) and
-    kept_text (the words that stay, joined by one space), each with the suffix, which avoids clashes of names."""
+    kept_text (the words that stay, joined by one space), each with the suffix; with the empty suffix, underscores are added until no column of docs has such a name."""
+    while not suffix.strip("_") and {c + suffix for c in ("n_words", "n_removed", "removed", "kept_text")} & set(docs.columns):
+        suffix += "_"
     docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     out = T.StructType([*docs.schema.fields, *(T.StructField(f.name + suffix, f.dataType) for f in T._parse_datatype_string("n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"))])
     chunks = C.checkpoint(C.pack(docs, text_col))

@@ -127,7 +127,7 @@ def test_counts_equal_those_of_single_bits():
             for k in range(mixing.PREDICTORS):
                 want[k][(int(own[k][at]) + int(tree.node[d, byte])) % (1 << bits) + (int(tree.bit[d, byte]) << bits)] += 1
     assert all((a == b).all() for a, b in zip(counts, want, strict=True))
-    assert len({int(own[3][k]) for k in (4, 8, 12)}) > 1  # words of other beginnings have other contexts
+    assert len({int(own[3][k]) for k in (5, 9, 13)}) > 1  # words of other beginnings have other contexts
     word = [k for k in range(len(data)) if bytes(data[k : k + 12]) == b"verylongword"]
     assert (own[3][word[0] : word[0] + 26] == own[3][word[1] : word[1] + 26]).all()  # the same word, whole
 
@@ -226,6 +226,28 @@ def test_quality_order_follows_rejections_and_never_changes_verdicts(spark):
     assert one == {r.doc_id: r.kept for r in quality.judge(df, found=quality.rules()[::-1]).collect()}
 
 
+def test_rejected_texts_skip_later_rules(spark):
+    """A later rule that fails on a rejected text is never put to it."""
+    df = spark.createDataFrame([(1, "w " * 5), (2, "some words " * 3 + "that differ in every place so that none repeats here at all today"), (3, None)], "doc_id long, text string")
+    few = next(r for r in quality.rules() if r.name == "few_words")
+    boom = quality.Rule("boom", F.when(quality.stat("n_words") < 20, F.raise_error(F.lit("put to a rejected text")).cast("boolean")).otherwise(False))
+    whole = quality.with_statistics(df)
+    # text 2 has fewer words as well, so only a text that few_words lets pass reaches the second rule
+    assert [r.by for r in whole.select(quality.cascade([few, boom]).alias("by")).collect()] == ["few_words"] * 3
+    with pytest.raises(Exception, match="put to a rejected text"):
+        whole.select(quality.cascade([boom, few]).alias("by")).collect()
+
+
+def test_quality_own_rules_and_clashing_names(spark):
+    word = "word{} and{} more{} of{} them{}"
+    lines = lambda form: "\n".join(form.format(word.format(*[f"{k}x{j}" for j in range(5)])) for k in range(8))
+    texts = [lines("{}"), lines("{}..."), lines("- {}"), "\n".join(f"123456 a{k} 9876543" for k in range(12)), "c" * 200_000 + " d" * 50]
+    rows = [(k, t, 1, "x", True) for k, t in enumerate([*texts, texts[0]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, rejected_by string, kept boolean")
+    got = {r.doc_id: (r.rejected_by_, r.kept_, r.n_words, r.n_words_) for r in quality.judge(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: None, 1: "ellipses", 2: "bullets", 3: "digits", 4: "word_length", 5: None} and got[0] == got[5] == (None, True, 1, 40)
+
+
 def test_quality_is_native(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert not re.search("Python|Arrow|Pandas", quality.judge(df)._jdf.queryExecution().executedPlan().toString())
