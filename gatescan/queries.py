@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,6 +20,8 @@ from gatescan.operators import items as I
 from gatescan.operators import scoring as S
 from gatescan.operators import sequences as T
 from gatescan.plans import workflows as P
+from gatescan.sources import readers as IO
+from gatescan.sources import writers as OUT
 from gatescan.streaming import streams as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -522,10 +525,17 @@ def w3_scan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams: read as a stream with availableNow, into files in the shared folder ---------------------------------------
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new name in the folder of spark.checkpoint.dir; without that setting a temporary one, if Spark runs on this machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{kind}-{uuid.uuid4().hex}"
+
+
 def run_stream(spark: SparkSession, out: DataFrame) -> DataFrame:
     """Runs a stream over what there is and returns the rows it wrote."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/rows")
 
@@ -559,8 +569,72 @@ def r4_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("r1_stream_parse", _PLAIN + """
  select frame_id, stage_index, case when is_complete then seat end as seat_number, case when not is_complete then 'Scanning' when nc >= 0.8 and sc >= 0.9 then 'Recognized' else 'RetryNeeded' end as outcome from scored""")
 def r1_stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{base}/responses-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "responses")
     items_of(spark, sf_dir).select("frame_id", "stage_index", F.to_json("items").alias("results"), F.lit(None).cast("string").alias("error")).write.parquet(folder)
     stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
     return run_stream(spark, R.stream_parse(stream).select("frame_id", "stage_index", "seat_number", "outcome"))
+
+
+# -- sources and sinks: files written from the tables into the shared folder, and read back -------------------------------
+
+
+#: A manifest of the customers, with quotes, commas and letters outside ASCII. Manifests and directories are single files.
+_CASES_SQL = "select row_number() over (order by c_custkey) as row_number, '/data/' || cast(c_custkey as string) || '.jpg' as image, 'Gäst \"' || c_name || '\", 陳' as expected_name, cast(c_custkey % 90 as string) as expected_seat from customer"
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_CASES_SQL.replace("from customer", "from {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+
+
+@_register("s1_read_json_manifest", _CASES_SQL)
+def s1_read_json_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "manifest") + ".json"
+    case = F.to_json(F.struct(c("image").alias("image_path"), c("expected_name").alias("holder_name"), c("expected_seat").alias("seat")))
+    lines = _cases(spark, sf_dir).select(c("row_number").alias("k"), F.concat(F.when(c("row_number") > 1, ", ").otherwise(""), case).alias("value"))
+    ends = spark.createDataFrame([(0, '{"cases": [], "images": ['), (2**62, "]}")], "k long, value string")
+    lines.unionByName(ends).repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    return IO.read_manifest(spark, path).select("row_number", "image", "expected_name", "expected_seat")
+
+
+@_register("s2_read_csv_manifest", _CASES_SQL)
+def s2_read_csv_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "manifest") + ".csv"
+    rows = _cases(spark, sf_dir).repartition(1).sortWithinPartitions("row_number")
+    rows.select(c("image").alias("file"), c("expected_name").alias("name"), c("expected_seat").alias("seat_number")).write.csv(path, header=True, escape='"')
+    return IO.read_manifest(spark, path).select("row_number", "image", "expected_name", "expected_seat")
+
+
+@_register("s3_read_directory", f"select row_number() over (order by line_no) + 1 as line_no, seat, name from ({sql('fx_directory')}) v")
+def s3_read_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "directory")
+    rows = view(spark, sf_dir, "fx_directory").select(c("line_no").cast("long").alias("k"), F.concat_ws(",", "seat", "name").alias("value"))
+    rows.unionByName(spark.createDataFrame([(-1, "Seat No,Name")], "k long, value string")).repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    return IO.read_directory(spark, path).select("line_no", "seat", "name")
+
+
+@_register("s4_read_responses", f"select frame_id, count(*) as n_items, case when frame_id % 33 = 0 then 'HTTP 503: busy' end as error from ({sql('fx_items')}) v where stage_index = 0 group by frame_id")
+def s4_read_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "responses")
+    rows = items_of(spark, sf_dir).where("stage_index = 0").select(c("items").alias("results"), F.when(c("frame_id") % 33 == 0, "HTTP 503: busy").alias("error"), F.struct(c("frame_id").cast("string").alias("request_id")).alias("debug"))
+    rows.write.json(path)
+    found = IO.read_responses(spark, path)
+    return found.select(c("debug.request_id").cast("long").alias("frame_id"), F.size(F.from_json("results", "array<struct<text:string>>")).alias("n_items"), "error")
+
+
+@_register("s9_write_report", _EVALUATED + " select image, passed, error from rec")
+def s9_write_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "report")
+    summary, records = P.evaluate_cases(*evaluation_inputs(spark, sf_dir))
+    OUT.write_report(summary, records, path)
+    return spark.read.schema("image string, passed boolean, error string").json(f"{path}/records")
+
+
+@_register("s10_write_diagnostics", _ATTEMPTS + f" select frame_id * 3 + stage_index as request_id, strftime(timestamp '1970-01-01' + to_seconds(frame_id * 86413), '%Y-%m') as month, n_items, {_ERROR_SQL} as error from scored")
+def s10_write_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "diagnostics")
+    rows = A.union_attempts(attempts_of(spark, sf_dir))
+    number = (c("frame_id") * 3 + c("stage_index")).cast("string")
+    at = F.concat(F.substring(X.utc_timestamp(c("frame_id") * 86413), 1, 8), F.lit("01T00:00:00Z"))  # a folder a month
+    OUT.write_diagnostics(rows.select(number.alias("request_id"), at.alias("timestamp_utc"), F.struct(F.size("items").alias("output_count")).alias("ocr"), "error"), path)
+    found = spark.read.schema("request_id string, ocr struct<output_count:int>, error string, date string").json(path)
+    return found.select(c("request_id").cast("long").alias("request_id"), F.substring("date", 1, 7).alias("month"), c("ocr.output_count").alias("n_items"), "error")
