@@ -42,7 +42,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", known: Da
             ends = ends.join(up, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
     edges, seen = stored_with(ends.where("x <> y").select(*_edges("x", "y")).distinct(), n=F.count(F.lit(1)))
     while seen["n"]:
-        roots = _shorten(edges.groupBy("node").agg(F.min("low").alias("parent")))
+        roots = _shorten(stored(edges.groupBy("node").agg(F.min("low").alias("parent"))))  # stored, so that Spark can split the join at a hot root
         if found is None:
             found = roots
         else:

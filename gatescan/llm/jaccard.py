@@ -127,7 +127,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, about: int) -> DataF
     """The pairs (a, b) whose sets reach the similarity; `about` so many pairs. A set on side a is sent at most VERIFY_PARTS times,
     and a task sees so large a share of its pairs."""
     cut = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(VERIFY_PARTS)))
-    parts = max(32, about // 1024)
+    parts = max(128, about // 1024)
     part = lambda a, salt: F.pmod(F.xxhash64(a, salt), F.lit(parts)).alias("part")
     by_b = cut.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b")), "b").select(part("a", "salt"), "a", "salt", "b", "set_b")
     own = cut.select(F.col("a").alias("own"), F.col("salt").alias("block")).distinct()
@@ -251,7 +251,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = C.stored(placed.groupBy("gid").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("m"), F.min_by("sketch", "doc").alias("sketch")).select("gid", F.when(F.col("first") == F.col("last"), F.col("first")).alias("comp"), (F.col("m") > 1).alias("many"), "m", "sketch"))
     listed = tokens.select("token", "c", "gid", "n", "pos").join(held, "gid")
     several = listed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(F.col("comp").isNull()).alias("mixed")).where("low <> high or mixed > 0").select("token")
-    listed = listed.join(several, "token", "left_semi").select(F.col("token").alias("list"), F.col("c").alias("whole"), F.col("gid").alias("id"), F.lit(0).alias("side"), "n", "pos", "comp", "many", "sketch")
+    listed = listed.join(C.stored(several), "token", "left_semi").select(F.col("token").alias("list"), F.col("c").alias("whole"), F.col("gid").alias("id"), F.lit(0).alias("side"), "n", "pos", "comp", "many", "sketch")
     alone = held.where("comp is null").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
     group_pairs = C.stored(close_pairs(listed, percent).unionByName(alone).distinct())
     sizes = held.select("gid", "m")
