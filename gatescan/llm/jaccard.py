@@ -13,7 +13,8 @@ first, which Spark counts over all documents. Shingles of frequency 1 can match
 As only components are asked for, a pair is not compared once its two sides are connected. So at first every member is compared
 with the smallest of its group, and every group with LEADERS leaders, one for each of so many orders of the groups: of the leaders
 of its lists the one that it shares most lists with. Lists and groups that then still hold several components are compared
-completely, in blocks of bounded size. No pair of different components is left out, so no link between components is lost, and
+completely, in blocks of bounded size: first each entry goes on with its FIRST smallest partners, and once these are verified
+and their components joined, with all that are still apart. No pair of different components is left out, so no link between components is lost, and
 a group of near copies costs a few comparisons for each member.
 
 A sketch has the parity of the number of shingles in each of a power of two of hash cells, at least as many as the set has
@@ -42,6 +43,8 @@ from gatescan.llm.components import connected_components
 SHINGLE, PERCENT = 5, 80
 #: Leaders that every group is compared with before everything that is still open is.
 LEADERS = 3
+#: Partners of an entry in a list that are verified before all that are left.
+FIRST = 4
 #: Bits of the smallest sketch, entries of one side of a block, entries of a task, and parts that the pairs of one set are cut into.
 SKETCH_BITS, BLOCK, TASK_ENTRIES, VERIFY_PARTS = 1024, 256, 8192, 32
 
@@ -169,8 +172,8 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def close_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(x, y) with x <= y: pairs of entries of the same list that may reach the similarity and are not known to be connected.
+def close_pairs(entries: DataFrame, percent: int, first: int | None = None) -> DataFrame:
+    """(x, y) with x <= y, of the `first` smallest x for each y in a list (all if None): pairs of entries of the same list that may reach the similarity and are not known to be connected.
 
     entries: (list long, whole long, id long, side int, n long, pos int, comp long, many boolean, sketch binary). If a list has
     entries of side 1, only pairs across the sides are meant. comp is the component, null for an entry of several. An entry with
@@ -200,7 +203,7 @@ def close_pairs(entries: DataFrame, percent: int) -> DataFrame:
             sized = sorted(range(a, e), key=lambda k: len(sketch[order[k]]))
             classes = [np.array([k for k in sized if len(sketch[order[k]]) == size]) for size in sorted({len(sketch[order[k]]) for k in sized})]
             bits = [np.stack([np.frombuffer(sketch[order[k]], dtype=np.uint64) for k in c.tolist()]) for c in classes]
-            two_sided = bool(side[a:e].any())
+            two_sided, mine = bool(side[a:e].any()), len(xs)
             for p, (i, left) in enumerate(zip(classes, bits, strict=True)):
                 for j, right in zip(classes[p:], bits[p:], strict=True):
                     both = n[i][:, None] + n[j][None, :]
@@ -216,6 +219,13 @@ def close_pairs(entries: DataFrame, percent: int) -> DataFrame:
                         u, v = np.nonzero(ok)
                         xs.append(np.minimum(ids[i[u]], ids[j[v]]))
                         ys.append(np.maximum(ids[i[u]], ids[j[v]]))
+            if first and len(xs) > mine:
+                x, y = np.concatenate(xs[mine:]), np.concatenate(ys[mine:])
+                ranked = np.lexsort((x, y))
+                x, y = x[ranked], y[ranked]
+                begin = group_starts(y)
+                few = np.arange(len(y)) - np.repeat(begin, np.diff(np.append(begin, len(y)))) < first
+                xs[mine:], ys[mine:] = [x[few]], [y[few]]
         return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
 
     return cut.withColumn("part", F.pmod(F.col("h"), F.lit(parts))).groupBy("part").applyInArrow(run, "x long, y long").distinct()
@@ -244,24 +254,26 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = between.select(F.least("lead", "gid").alias("a"), F.greatest("lead", "gid").alias("b")).unionByName(members.where("gid <> doc").select(F.col("gid").alias("a"), F.col("doc").alias("b")))
     tried, some = C.stored_with(pairs.distinct(), n=F.count(F.lit(1)))
     found = connected_components(verify(tried, sets, percent, some["n"]))
-    placed = members.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    placed = C.stored(placed.select("gid", "doc", "n", "comp", "sketch"))
-
-    # pairs of groups in the lists that are still open, and open groups with themselves; then their members
-    held = C.stored(placed.groupBy("gid").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("m"), F.min_by("sketch", "doc").alias("sketch")).select("gid", F.when(F.col("first") == F.col("last"), F.col("first")).alias("comp"), (F.col("m") > 1).alias("many"), "m", "sketch"))
-    listed = tokens.select("token", "c", "gid", "n", "pos").join(held, "gid")
-    several = listed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(F.col("comp").isNull()).alias("mixed")).where("low <> high or mixed > 0").select("token")
-    listed = listed.join(C.stored(several), "token", "left_semi").select(F.col("token").alias("list"), F.col("c").alias("whole"), F.col("gid").alias("id"), F.lit(0).alias("side"), "n", "pos", "comp", "many", "sketch")
-    alone = held.where("comp is null").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
-    group_pairs = C.stored(close_pairs(listed, percent).unionByName(alone).distinct())
-    sizes = held.select("gid", "m")
-    expanded = group_pairs.join(sizes.select(F.col("gid").alias("x"), F.col("m").alias("mx")), "x").join(sizes.select(F.col("gid").alias("y"), F.col("m").alias("my")), "y")
-    expanded = expanded.select(F.xxhash64("x", "y").alias("list"), (F.col("mx") + F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("my"))).alias("whole"), F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("gid"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("gid"), F.lit(0).alias("side")), F.struct(F.col("y").alias("gid"), F.lit(1).alias("side"))))).alias("s"))
-    expanded = expanded.select("list", "whole", "s.gid", "s.side").join(placed, "gid").select("list", "whole", F.col("doc").alias("id"), "side", "n", F.lit(0).alias("pos"), "comp", F.lit(False).alias("many"), "sketch")
-    pairs = close_pairs(expanded, percent).select(F.col("x").alias("a"), F.col("y").alias("b")).join(tried, ["a", "b"], "left_anti")
-    pairs, some = C.stored_with(pairs, n=F.count(F.lit(1)))
-    if some["n"]:
-        found = connected_components(verify(pairs, sets, percent, some["n"]), known=found)
+    for first in (FIRST, None):
+        placed = members.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+        placed = C.stored(placed.select("gid", "doc", "n", "comp", "sketch"))
+
+        # pairs of groups in the lists that are still open, and open groups with themselves; then their members
+        held = C.stored(placed.groupBy("gid").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("m"), F.min_by("sketch", "doc").alias("sketch")).select("gid", F.when(F.col("first") == F.col("last"), F.col("first")).alias("comp"), (F.col("m") > 1).alias("many"), "m", "sketch"))
+        listed = tokens.select("token", "c", "gid", "n", "pos").join(held, "gid")
+        several = listed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(F.col("comp").isNull()).alias("mixed")).where("low <> high or mixed > 0").select("token")
+        listed = listed.join(C.stored(several), "token", "left_semi").select(F.col("token").alias("list"), F.col("c").alias("whole"), F.col("gid").alias("id"), F.lit(0).alias("side"), "n", "pos", "comp", "many", "sketch")
+        alone = held.where("comp is null").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
+        group_pairs = C.stored(close_pairs(listed, percent, first).unionByName(alone).distinct())
+        sizes = held.select("gid", "m")
+        expanded = group_pairs.join(sizes.select(F.col("gid").alias("x"), F.col("m").alias("mx")), "x").join(sizes.select(F.col("gid").alias("y"), F.col("m").alias("my")), "y")
+        expanded = expanded.select(F.xxhash64("x", "y").alias("list"), (F.col("mx") + F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("my"))).alias("whole"), F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("gid"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("gid"), F.lit(0).alias("side")), F.struct(F.col("y").alias("gid"), F.lit(1).alias("side"))))).alias("s"))
+        expanded = expanded.select("list", "whole", "s.gid", "s.side").join(placed, "gid").select("list", "whole", F.col("doc").alias("id"), "side", "n", F.lit(0).alias("pos"), "comp", F.lit(False).alias("many"), "sketch")
+        pairs = close_pairs(expanded, percent, first).select(F.col("x").alias("a"), F.col("y").alias("b")).join(tried, ["a", "b"], "left_anti")
+        pairs, some = C.stored_with(pairs, n=F.count(F.lit(1)))
+        if not some["n"]:
+            continue
+        found, tried = connected_components(verify(pairs, sets, percent, some["n"]), known=found), tried.unionByName(pairs)
 
     placed = rows.select("doc_id", "n_shingles", "sig1", "sig2").join(small.select("n_shingles", "sig1", "sig2", "rep"), ["n_shingles", "sig1", "sig2"], "left")
     result = placed.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
