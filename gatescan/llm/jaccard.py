@@ -226,7 +226,12 @@ def close_pairs(entries: DataFrame, percent: int, first: int | None = None) -> D
                 begin = group_starts(y)
                 few = np.arange(len(y)) - np.repeat(begin, np.diff(np.append(begin, len(y)))) < first
                 xs[mine:], ys[mine:] = [x[few]], [y[few]]
-        return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        order = np.lexsort((y, x))  # a pair of several lists of this task goes on once
+        x, y = x[order], y[order]
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        return pa.table({"x": x[new], "y": y[new]})
 
     return cut.withColumn("part", F.pmod(F.col("h"), F.lit(parts))).groupBy("part").applyInArrow(run, "x long, y long").distinct()
 
