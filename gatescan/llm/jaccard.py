@@ -9,6 +9,7 @@ first, which Spark counts over all documents. Shingles of frequency 1 can match
    same groups one is kept. Groups of a list are the candidates, filtered by size, by the positions of the shingle and by
    sketches of the sets.
 3. Surviving pairs of groups are expanded to members, which are tested by their sketches and then verified on the whole sets.
+   The members of a group stand in packets beside it, so they are expanded inside the task and make no rows of their own.
 
 As only components are asked for, a pair is not compared once its two sides are connected. So at first every member is compared
 with the smallest of its group, and every group with LEADERS leaders, one for each of so many orders of the groups: of the leaders
@@ -45,8 +46,9 @@ SHINGLE, PERCENT = 5, 80
 LEADERS = 3
 #: Partners of an entry in a list that are verified before all that are left.
 FIRST = 4
-#: Bits of the smallest sketch, entries of one side of a block, entries of a task, and parts that the pairs of one set are cut into.
-SKETCH_BITS, BLOCK, TASK_ENTRIES, VERIFY_PARTS = 1024, 256, 8192, 32
+#: Bits of the smallest sketch, members of one side of a block, members of a packet and of a task, and parts that the pairs of one
+#: set are cut into.
+SKETCH_BITS, BLOCK, PACKET, TASK_ENTRIES, VERIFY_PARTS = 1024, 256, 64, 8192, 32
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,67 +175,82 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(entries: DataFrame, percent: int, first: int | None = None) -> DataFrame:
-    """(x, y) with x <= y, of the `first` smallest x for each y in a list (all if None): pairs of entries of the same list that may reach the similarity and are not known to be connected.
-
-    entries: (list long, whole long, id long, side int, n long, pos int, comp long, many boolean, sketch binary). If a list has
-    entries of side 1, only pairs across the sides are meant. comp is the component, null for an entry of several. An entry with
-    many (a group of several sets) passes without a sketch test, and with itself if it has several components. `whole` is the
-    number of entries in the list: a list above BLOCK is cut into blocks, and each pair of blocks is compared on its own.
+    """(a, b) with a < b, of the `first` smallest a for each b in a list (all if None): pairs of members of different groups in
+    the same list, or of one group in its own list, that may reach the similarity and are not known to be connected.
+
+    entries: (list long, whole long, gid long, packet int, n long, pos int, comp long, within boolean, docs array<long>,
+    comps array<long>, sketches array<binary>), an entry for each packet of a group's members. comp is the component of the
+    group, null for one of several; comps are those of the members. Pairs of groups are filtered by size, position and
+    component, and only the members of those that are left by their sketches. `whole` is the number of members in the list: a
+    list above BLOCK is cut into blocks, and each pair of blocks is compared on its own.
     """
-    entries = entries.withColumn("cuts", F.ceil(F.col("whole") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(11)), F.col("cuts")).cast("int"))
+    entries = entries.withColumn("cuts", F.ceil(F.col("whole") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("gid", "packet", F.lit(11)), F.col("cuts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
-    cut, seen = C.stored_with(entries.withColumn("pair", F.explode(pairs)).withColumn("h", F.xxhash64("list", "pair")).withColumn("block", F.when(F.col("pair.x") == F.col("pair.y"), -1).otherwise((F.col("own") == F.col("pair.y")).cast("int"))).drop("cuts", "own", "pair", "whole"), n=F.count(F.lit(1)))
+    block = F.when(F.col("pair.x") == F.col("pair.y"), -1).otherwise((F.col("own") == F.col("pair.y")).cast("int"))
+    dealt = entries.withColumn("pair", F.explode(pairs)).withColumn("h", F.xxhash64("list", "pair")).withColumn("block", block).drop("cuts", "own", "pair", "whole")
+    cut, seen = C.stored_with(dealt, n=F.coalesce(F.sum(F.size("docs")), F.lit(0)))
     parts = max(64, seen["n"] // TASK_ENTRIES)
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("id").to_numpy(), table.column("list").to_numpy(), table.column("h").to_numpy()))
-        ids, n, pos, side, block = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("id", "n", "pos", "side", "block"))
-        mixed = np.array(table.column("comp").is_null())[order]
-        comp = np.array(table.column("comp").fill_null(0)).astype(np.int64)[order]
-        many, sketch = np.array(table.column("many"))[order], table.column("sketch").to_pylist()
-        lists = table.column("list").to_numpy()[order]
-        keys = np.stack((table.column("h").to_numpy()[order], lists))
-        new = np.append((keys[:, 1:] != keys[:, :-1]).any(axis=0), True)
-        ends = np.flatnonzero(new) + 1
-        xs, ys = [], []
-        for a, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            self_pairs = np.flatnonzero(many[a:e] & mixed[a:e] & (block[a:e] < 0)) + a
-            xs.append(ids[self_pairs])
-            ys.append(ids[self_pairs])
-            sized = sorted(range(a, e), key=lambda k: len(sketch[order[k]]))
-            classes = [np.array([k for k in sized if len(sketch[order[k]]) == size]) for size in sorted({len(sketch[order[k]]) for k in sized})]
-            bits = [np.stack([np.frombuffer(sketch[order[k]], dtype=np.uint64) for k in c.tolist()]) for c in classes]
-            two_sided, mine = bool(side[a:e].any()), len(xs)
-            for p, (i, left) in enumerate(zip(classes, bits, strict=True)):
-                for j, right in zip(classes[p:], bits[p:], strict=True):
-                    both = n[i][:, None] + n[j][None, :]
-                    most = np.minimum((n[i] - pos[i])[:, None], (n[j] - pos[j])[None, :]) + np.minimum(pos[i][:, None], pos[j][None, :])
-                    ok = (most * (100 + percent) >= percent * both) & (mixed[i][:, None] | mixed[j][None, :] | (comp[i][:, None] != comp[j][None, :]))
-                    ok &= (block[i][:, None] < 0) | (block[i][:, None] != block[j][None, :])
-                    if two_sided:
-                        ok &= side[i][:, None] != side[j][None, :]
-                    if i is j:
-                        ok &= np.arange(len(i))[:, None] < np.arange(len(i))[None, :]
-                    if ok.any():
-                        ok &= many[i][:, None] | many[j][None, :] | ((both - _differ(left, right)) * (100 + percent) >= 2 * percent * both)
-                        u, v = np.nonzero(ok)
-                        xs.append(np.minimum(ids[i[u]], ids[j[v]]))
-                        ys.append(np.maximum(ids[i[u]], ids[j[v]]))
-            if first and len(xs) > mine:
-                x, y = np.concatenate(xs[mine:]), np.concatenate(ys[mine:])
-                ranked = np.lexsort((x, y))
-                x, y = x[ranked], y[ranked]
-                begin = group_starts(y)
-                few = np.arange(len(y)) - np.repeat(begin, np.diff(np.append(begin, len(y)))) < first
-                xs[mine:], ys[mine:] = [x[few]], [y[few]]
-        x, y = np.concatenate(xs), np.concatenate(ys)
+        table = table.take(np.lexsort([table.column(c).to_numpy() for c in ("packet", "gid", "list", "h")]))
+        h, lists, gid, n, pos, block = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "list", "gid", "n", "pos", "block"))
+        mixed, within = np.array(table.column("comp").is_null()), np.array(table.column("within"))
+        comp = np.array(table.column("comp").fill_null(0)).astype(np.int64)
+        docs, comps, sketches = (pa.compute.list_flatten(table.column(c)) for c in ("docs", "comps", "sketches"))
+        docs, comps, sketches = docs.to_numpy(), comps.to_numpy(), sketches.to_pylist()
+        ends = np.cumsum(np.array(pa.compute.list_value_length(table.column("docs"))).astype(np.int64))
+        begins = np.concatenate(([0], ends[:-1]))
+        width = np.array([len(sketches[k]) for k in begins.tolist()])
+        cuts = np.append(np.flatnonzero((h[1:] != h[:-1]) | (lists[1:] != lists[:-1])) + 1, len(h)).tolist()
+
+        def members(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The members of the groups and the number of each one's group."""
+            size = (ends - begins)[groups]
+            owner = np.repeat(np.arange(len(groups)), size)
+            return begins[groups][owner] + np.arange(len(owner)) - (np.cumsum(size) - size)[owner], owner
+
+        def rows(at: np.ndarray) -> np.ndarray:
+            return np.frombuffer(b"".join([sketches[k] for k in at.tolist()]), dtype=np.uint64).reshape(len(at), -1)
+
+        def compare(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The pairs of members of the groups i and j (each of one width of sketches), which are the same or differ all."""
+            both = n[i][:, None] + n[j][None, :]
+            most = np.minimum((n[i] - pos[i])[:, None], (n[j] - pos[j])[None, :]) + np.minimum(pos[i][:, None], pos[j][None, :])
+            ok = (most * (100 + percent) >= percent * both) & (mixed[i][:, None] | mixed[j][None, :] | (comp[i][:, None] != comp[j][None, :]))
+            ok &= (block[i][:, None] < 0) | (block[i][:, None] != block[j][None, :])
+            ok &= within[i][:, None] | (gid[i][:, None] != gid[j][None, :])
+            i, j, ok, both = i[ok.any(axis=1)], j[ok.any(axis=0)], ok[ok.any(axis=1)][:, ok.any(axis=0)], both[ok.any(axis=1)][:, ok.any(axis=0)]
+            (x, of_x), (y, of_y) = members(i), members(j)
+            ok = ok[of_x][:, of_y] & (comps[x][:, None] != comps[y][None, :])
+            if same := np.isin(x, y).any():
+                ok &= docs[x][:, None] < docs[y][None, :]
+            some_x, some_y = ok.any(axis=1), ok.any(axis=0)
+            x, y, ok, both = x[some_x], y[some_y], ok[some_x][:, some_y], both[of_x[some_x]][:, of_y[some_y]]
+            if ok.any():
+                ok &= (both - _differ(rows(x), rows(y))) * (100 + percent) >= 2 * percent * both
+            u, v = np.nonzero(ok)
+            low, high = docs[x[u]], docs[y[v]]
+            return (low, high) if same else (np.minimum(low, high), np.maximum(low, high))
+
+        found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
+        for a, e in zip([0, *cuts[:-1]], cuts, strict=True):
+            classes = [np.flatnonzero(width[a:e] == w) + a for w in np.unique(width[a:e]).tolist()]
+            x, y = (np.concatenate(z) for z in zip(*[compare(i, j) for k, i in enumerate(classes) for j in classes[k:]], strict=True))
+            if first and len(x):
+                order = np.lexsort((x, y))
+                x, y = x[order], y[order]
+                starts = group_starts(y)
+                few = np.arange(len(y)) - np.repeat(starts, np.diff(np.append(starts, len(y)))) < first
+                x, y = x[few], y[few]
+            found.append((x, y))
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True))
         order = np.lexsort((y, x))  # a pair of several lists of this task goes on once
         x, y = x[order], y[order]
         new = np.ones(len(x), dtype=bool)
         new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        return pa.table({"x": x[new], "y": y[new]})
+        return pa.table({"a": x[new], "b": y[new]})
 
-    return cut.withColumn("part", F.pmod(F.col("h"), F.lit(parts))).groupBy("part").applyInArrow(run, "x long, y long").distinct()
+    return cut.withColumn("part", F.pmod(F.col("h"), F.lit(parts))).groupBy("part").applyInArrow(run, "a long, b long").distinct()
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -242,7 +259,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = C.stored(rows.where("members is not null").select("doc_id", "members"))
     small = C.stored(rows.where("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("position").alias("position"), F.first("sketch").alias("sketch")))
     reps = small.where(F.size("prefix") > 0).select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "prefix", "position", "sketch", F.xxhash64("prefix", F.lit(7)).alias("k1"), F.xxhash64("prefix", F.lit(8)).alias("k2"))
-    groups = C.stored(reps.groupBy("n", "k1", "k2").agg(F.min("doc").alias("gid"), F.first("prefix").alias("prefix"), F.first("position").alias("position"), F.min_by("sketch", "doc").alias("sketch"), F.count("*").alias("m")))
+    groups = C.stored(reps.groupBy("n", "k1", "k2").agg(F.min("doc").alias("gid"), F.first("prefix").alias("prefix"), F.first("position").alias("position")))
     members = C.stored(reps.join(groups.select("n", "k1", "k2", "gid"), ["n", "k1", "k2"]).select("gid", "doc", "n", "sketch"))
 
     # the lists of groups, one of those that are equal (one token each), with their leaders
@@ -262,19 +279,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for first in (FIRST, None):
         placed = members.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
         placed = C.stored(placed.select("gid", "doc", "n", "comp", "sketch"))
-
-        # pairs of groups in the lists that are still open, and open groups with themselves; then their members
-        held = C.stored(placed.groupBy("gid").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("m"), F.min_by("sketch", "doc").alias("sketch")).select("gid", F.when(F.col("first") == F.col("last"), F.col("first")).alias("comp"), (F.col("m") > 1).alias("many"), "m", "sketch"))
-        listed = tokens.select("token", "c", "gid", "n", "pos").join(held, "gid")
-        several = listed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(F.col("comp").isNull()).alias("mixed")).where("low <> high or mixed > 0").select("token")
-        listed = listed.join(C.stored(several), "token", "left_semi").select(F.col("token").alias("list"), F.col("c").alias("whole"), F.col("gid").alias("id"), F.lit(0).alias("side"), "n", "pos", "comp", "many", "sketch")
-        alone = held.where("comp is null").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
-        group_pairs = C.stored(close_pairs(listed, percent, first).unionByName(alone).distinct())
-        sizes = held.select("gid", "m")
-        expanded = group_pairs.join(sizes.select(F.col("gid").alias("x"), F.col("m").alias("mx")), "x").join(sizes.select(F.col("gid").alias("y"), F.col("m").alias("my")), "y")
-        expanded = expanded.select(F.xxhash64("x", "y").alias("list"), (F.col("mx") + F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("my"))).alias("whole"), F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("gid"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("gid"), F.lit(0).alias("side")), F.struct(F.col("y").alias("gid"), F.lit(1).alias("side"))))).alias("s"))
-        expanded = expanded.select("list", "whole", "s.gid", "s.side").join(placed, "gid").select("list", "whole", F.col("doc").alias("id"), "side", "n", F.lit(0).alias("pos"), "comp", F.lit(False).alias("many"), "sketch")
-        pairs = close_pairs(expanded, percent, first).select(F.col("x").alias("a"), F.col("y").alias("b")).join(tried, ["a", "b"], "left_anti")
+        held = C.stored(placed.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("comp"), "m"))
+
+        # the lists that are still open, and open groups as lists of their own, with the groups' members in packets
+        several = tokens.select("token", "gid").join(held, "gid").groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(F.col("comp").isNull()).alias("mixed"), F.sum("m").alias("whole")).where("low <> high or mixed > 0").select("token", "whole")
+        open_lists = C.stored(tokens.select("token", "gid", "n", "pos").join(C.stored(several), "token").select(F.col("token").alias("list"), "whole", "gid", "n", "pos", F.lit(False).alias("within")))
+        packets = placed.drop("n").join(held.withColumnRenamed("comp", "own"), "gid").withColumn("packet", F.pmod(F.xxhash64("doc", F.lit(5)), F.ceil(F.col("m") / PACKET)).cast("int"))
+        packets = packets.groupBy("gid", "packet").agg(F.first("own").alias("comp"), F.collect_list(F.struct("doc", "comp", "sketch")).alias("x"))
+        packets = C.stored(packets.select("gid", "packet", "comp", F.col("x.doc").alias("docs"), F.col("x.comp").alias("comps"), F.col("x.sketch").alias("sketches")))
+        alone = held.where("comp is null").join(groups.select("gid", "n"), "gid").select(F.xxhash64("gid", F.lit(6)).alias("list"), F.col("m").alias("whole"), "gid", "n", F.lit(0).alias("pos"), F.lit(True).alias("within"))
+        pairs = close_pairs(open_lists.unionByName(alone).join(packets, "gid"), percent, first).join(tried, ["a", "b"], "left_anti")
         pairs, some = C.stored_with(pairs, n=F.count(F.lit(1)))
         if not some["n"]:
             continue
