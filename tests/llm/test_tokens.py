@@ -1,5 +1,6 @@
 """BPE codec and packing against the tokenizers library."""
 
+import math
 import random
 import zlib
 
@@ -119,15 +120,38 @@ def test_packing_empty_and_null_ids(spark):
     assert packing.pack_documents(df.where("false"), vocabulary()).count() == 0
 
 
-@pytest.mark.parametrize("terms", [0, 1])
-def test_index_scores_equal_the_formula(terms):
-    texts = [b"a b c", b"a a d", b"b c d e", b"zz"]
-    index = packing.Index(texts)
-    used = np.zeros(4, dtype=bool)
-    assert index.neighbours(3, used) == []
-    assert set(index.neighbours(0, used)) >= {1, 2}
-    used[2] = True
-    assert 2 not in index.neighbours(0, used)
+def test_index_ranks_by_the_formula():
+    """All unused documents that share a term, by the sums of BM25 weights written out one by one; ties go to the first."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefghij") * (1 + rng.randrange(2)) for _ in range(rng.randrange(1, 25))) for _ in range(40)] + ["zz", "", "q r s", "q r s"]
+    split = [t.split() for t in texts]
+    mean = sum(map(len, split)) / len(split)
+    df = {w: sum(w in x for x in split) for x in split for w in x}
+
+    def score(seed, doc):
+        total = 0.0
+        for w in set(split[seed]) & set(split[doc]):
+            tf = split[doc].count(w)
+            total += math.log1p((len(split) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(split[doc]) / mean))
+        return total
+
+    index = packing.Index([t.encode() for t in texts])
+    for seed in range(len(texts)):
+        used = np.array([k == seed or k % 5 == 3 for k in range(len(texts))])
+        want = {k: score(seed, k) for k in range(len(texts)) if not used[k] and set(split[seed]) & set(split[k])}
+        got = index.neighbours(seed, used)
+        assert sorted(got) == sorted(want)
+        assert all(want[a] >= want[b] - 1e-9 for a, b in zip(got, got[1:], strict=False))
+    assert index.neighbours(42, np.arange(44) == 42) == [43]
+
+
+def test_packing_broadcasts_no_more_terms_than_stated(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_TERMS", 64)
+    docs = [(k, " ".join(f"t{j}" for j in range(k, k + 400))) for k in range(0, 900, 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = packing.corpus_statistics(df.select(df.text.alias("t")))
+    assert 0 < len(got.terms) <= 64 and (np.diff(got.terms.astype(np.int64)) > 0).all()
+    _check_pieces(packing.pack_documents(df, vocabulary(), length=256).collect(), dict(docs), 256)
 
 
 def test_packing_brings_copies_of_a_large_corpus_together(spark, monkeypatch):
