@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +19,7 @@ from gatescan.operators import sequences as T
 from gatescan.plans import workflows as P
 from gatescan.sources import readers as IO
 from gatescan.sources import writers as OUT
+from gatescan.storage import shared_folder
 from gatescan.streaming import streams as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -525,14 +523,6 @@ def w3_scan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams: read as a stream with availableNow, into files in the shared folder ---------------------------------------
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new name in the folder of spark.checkpoint.dir; without that setting a temporary one, if Spark runs on this machine alone."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{kind}-{uuid.uuid4().hex}"
-
-
 def run_stream(spark: SparkSession, out: DataFrame) -> DataFrame:
     """Runs a stream over what there is and returns the rows it wrote."""
     folder = shared_folder(spark, "stream")
