@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatescan.llm import bpe, jaccard, language, mixing, packing, quality, secrets, substrings, urls, vectors
+from gatescan.llm import bpe, curriculum, jaccard, language, mixing, packing, quality, secrets, substrings, urls, vectors
+from gatescan.operators.scans import number_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +119,41 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(_table(spark, sf_dir, "documents"))
 
 
+#: The schedules of op12 by the place of a source: level, rising and falling; their areas, the sources' weights, are 1, 2 and 3.
+SCHEDULES = ((1.0, 1.0), (1.0, 3.0), (4.5, 1.5))
+
+
+def op12_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    numbered = number_rows(docs.select("source").distinct(), [F.col("source").asc_nulls_last()])
+    knots = F.array(*[F.array(*[F.struct(F.lit(float(at)).alias("at"), F.lit(w).alias("weight")) for at, w in enumerate(s)]) for s in SCHEDULES])
+    schedule = numbered.select("source", F.inline(F.get(knots, ((F.col("row_number") - 1) % len(SCHEDULES)).cast("int"))))
+    return curriculum.curriculum(docs, schedule).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+OP12_SQL = r"""
+with recursive d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as h from documents
+), s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+r as (select *, (row_number() over (order by source nulls last) - 1) % 3 as kind from s),
+f(rest, weights) as (
+  select cast(sum(source_size) as double), cast(sum(kind + 1) as double) from r
+  union all
+  select total - capped, remaining from f, lateral (
+    select cast(sum(source_size) as double) as total, coalesce(sum(case when f.rest * (kind + 1) / f.weights > 3.0 * source_size then 3.0 * source_size end), 0)::double as capped,
+      sum(case when f.rest * (kind + 1) / f.weights <= 3.0 * source_size then kind + 1 end)::double as remaining from r) x
+  where remaining < f.weights
+), t as (select r.*, least(3.0::double * source_size, z.rest * (kind + 1) / z.weights) as target, kind + 1.0::double as area,
+  case kind when 0 then 1.0 when 1 then 1.0 else 4.5 end::double as w, case kind when 0 then 0.0 when 1 then 2.0 else -3.0 end::double as slope
+  from r, (select min_by(rest, weights) as rest, min(weights) as weights from f) z),
+p as (select d.*, source_size, target, area, w, slope, coalesce(sum(size) over (partition by d.source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) as begun,
+  cast(floor(target) as bigint) // greatest(source_size, 1) as full_passes, cast(floor(target) as bigint) - (cast(floor(target) as bigint) // greatest(source_size, 1)) * source_size as remainder
+  from d join t on d.source is not distinct from t.source),
+k as (select *, full_passes * size + greatest(0, least(size, remainder - begun)) as taken, begun * area / target as x from p)
+select doc_id, size, source_size, target, cast(taken as bigint) as taken, case when taken > 0 then case when x > 0 then 2 * x / (w + sqrt(w * w + 2 * slope * x)) else 0.0 end end as position from k
+"""
+
+
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 #: Components of a table l(a, b) of links in both directions, over documents or vectors n(id).
 _REACH = """
@@ -167,5 +203,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_context_mixing": op4_context_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_curriculum_mix": op12_curriculum_mix,
 }
-ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op10_jaccard_join": OP10_SQL, "op7_quality_rules": OP7_SQL, "op8_url_filter": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op10_jaccard_join": OP10_SQL, "op7_quality_rules": OP7_SQL, "op8_url_filter": OP8_SQL, "op12_curriculum_mix": OP12_SQL}
