@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatescan.llm import bpe, curriculum, jaccard, language, mixing, packing, quality, secrets, substrings, urls, vectors
+from gatescan.llm import bpe, curriculum, jaccard, language, mixing, packing, quality, secrets, substrings, urls, vectors, whitening
 from gatescan.operators.scans import number_rows
 
 
@@ -131,6 +131,10 @@ def op12_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.curriculum(docs, schedule).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 OP12_SQL = r"""
 with recursive d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as h from documents
@@ -204,5 +208,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
     "op12_curriculum_mix": op12_curriculum_mix,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op10_jaccard_join": OP10_SQL, "op7_quality_rules": OP7_SQL, "op8_url_filter": OP8_SQL, "op12_curriculum_mix": OP12_SQL}
