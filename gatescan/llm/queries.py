@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatescan.llm import bpe, curriculum, jaccard, language, mixing, packing, quality, secrets, substrings, urls, vectors, whitening
+from gatescan.llm import bpe, curriculum, jaccard, language, mixing, packing, quality, retrieval, secrets, substrings, urls, vectors, whitening
 from gatescan.operators.scans import number_rows
 
 
@@ -131,6 +131,25 @@ def op12_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.curriculum(docs, schedule).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+with d as (select doc_id, row_number() over () as r, {_TERMS} as w from documents),
+b as (select item_id, row_number() over () as i, {_TERMS} as w from benchmark),
+k as (select cast(count(*) as bigint) as nn, cast(sum(len(w)) as bigint) as ll from d where len(w) > 0),
+q as (select i, term, count(*) as q from (select i, unnest(w) as term from b) group by all),
+t as (select r, term, count(*) as tf from (select r, unnest(w) as term from d) group by all),
+f as (select term, cast(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) as bigint) as wt from t, k group by term, nn),
+m as (select r, doc_id, 75 + (25 * len(w) * nn) // ll as m from d, k where len(w) > 0),
+s as (select i, r, cast(sum(q * wt * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score from q join t using (term) join f using (term) join m using (r) group by i, r),
+o as (select i, doc_id, score, row_number() over (partition by i order by score desc, doc_id) as rank from s join m using (r) where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from o join b using (i) where rank <= 20
+"""
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -207,7 +226,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_context_mixing": op4_context_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_lexical_search": op11_lexical_search,
     "op12_curriculum_mix": op12_curriculum_mix,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
-ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op10_jaccard_join": OP10_SQL, "op7_quality_rules": OP7_SQL, "op8_url_filter": OP8_SQL, "op12_curriculum_mix": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op10_jaccard_join": OP10_SQL, "op7_quality_rules": OP7_SQL, "op8_url_filter": OP8_SQL, "op11_lexical_search": OP11_SQL, "op12_curriculum_mix": OP12_SQL}
