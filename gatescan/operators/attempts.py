@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatescan.functions.text import rounded
@@ -35,6 +35,13 @@ def apply_fallback(primary: DataFrame, fallback: DataFrame, frames: DataFrame, k
     return primary.unionByName(fallback.join(needs_fallback(primary, frames, key), key, "left_semi"), allowMissingColumns=True)
 
 
+def gate_fallback(attempts: DataFrame, fallback_stage: int = FALLBACK_STAGE, key: str = "frame_id") -> DataFrame:
+    """apply_fallback() where all stages are in one table: fallback attempts of frames with a complete primary attempt go. One shuffle."""
+    primary = F.col("stage_index") < fallback_stage
+    done = F.coalesce(F.bool_or(primary & F.col("is_complete")).over(Window.partitionBy(key)), F.lit(False))
+    return attempts.withColumn("__done", done).where(primary | ~F.col("__done")).drop("__done")
+
+
 def _best(columns: list[str]):
     """Of a group the attempt of highest score, the earliest stage on ties."""
     return F.max_by(F.struct(*columns), F.struct(F.col("score"), -F.col("stage_index")))
@@ -81,13 +88,14 @@ def fused_best(attempts: DataFrame, frames: DataFrame, fallback_stage: int, colu
     both = attempts.groupBy(key).agg(
         F.coalesce(F.bool_or(primary & F.col("is_complete")), F.lit(False)).alias("done"),
         F.max_by(F.when(primary, picked), F.when(primary, order)).alias("p"), F.max_by(picked, order).alias("a"),
+        F.count_if(primary).alias("n_primary"), F.count("*").alias("n_all"), F.count_if(primary & F.col("is_complete")).alias("accepted_primary"), F.count_if(F.col("is_complete")).alias("accepted_all"),
         F.coalesce(F.sum(F.when(primary, F.col("ocr_ms"))), F.lit(0.0)).alias("mobile_ocr_ms"), F.coalesce(F.sum(F.when(~primary, F.col("ocr_ms"))), F.lit(0.0)).alias("all_fallback_ms"), _failure(attempts, fallback_stage).alias("f"),
     )
-    both = both.select(key, F.when(F.col("done"), F.col("p")).otherwise(F.col("a")).alias("b"), "mobile_ocr_ms", F.when(F.col("done"), 0.0).otherwise(F.col("all_fallback_ms")).alias("fallback_ocr_ms"), F.when(~F.col("done"), F.col("f")).alias("error"))
+    both = both.select(key, F.when(F.col("done"), F.col("p")).otherwise(F.col("a")).alias("b"), "mobile_ocr_ms", F.when(F.col("done"), 0.0).otherwise(F.col("all_fallback_ms")).alias("fallback_ocr_ms"), F.when(~F.col("done"), F.col("f")).alias("error"), *[F.when(F.col("done"), F.col(f"{a}_primary")).otherwise(F.col(f"{a}_all")).alias(f"n_{b}") for a, b in (("n", "attempts"), ("accepted", "accepted"))])
     found = frames.select(key).join(both, key, "left")
     own = lambda x: F.when(F.col("error").isNull(), x)
     zero = lambda c: own(F.coalesce(c, F.lit(0.0)))
-    return found.select(key, own(F.coalesce("b.stage", F.lit(NO_ATTEMPT))).alias("path"), zero("b.score").alias("score"), *[own(F.col(f"b.{c}")).alias(c) for c in columns], zero("mobile_ocr_ms").alias("mobile_ocr_ms"), zero("fallback_ocr_ms").alias("fallback_ocr_ms"), "error")
+    return found.select(key, own(F.coalesce("b.stage", F.lit(NO_ATTEMPT))).alias("path"), zero("b.score").alias("score"), *[own(F.col(f"b.{c}")).alias(c) for c in columns], zero("mobile_ocr_ms").alias("mobile_ocr_ms"), zero("fallback_ocr_ms").alias("fallback_ocr_ms"), "error", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_attempts", "n_accepted")])
 
 
 def select_label_region(regions: DataFrame, frames: DataFrame, key: str = "frame_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatescan.functions import text as X
+from gatescan.operators.prefilter import bloom_filter, might_contain
 from gatescan.operators.scoring import score_ocr_items
 from gatescan.schemas import RAW_ITEM
 
@@ -29,6 +30,7 @@ def coalesce_aliases(rows: DataFrame, first_present: bool = False) -> DataFrame:
 
 def require_image(cases: DataFrame) -> DataFrame:
     """Fails on a case without an image, naming its row."""
+    # the message is a fixed value
     message = F.concat(F.lit("Manifest row "), F.col("row_number").cast("string"), F.lit(" is missing image/image_path/path"))
     return cases.where(F.when(F.col("image") == "", F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
@@ -37,9 +39,11 @@ def attach_responses(cases: DataFrame, responses: DataFrame, images: DataFrame)
     """Every case, duplicates too, with the response of its image. found tells whether the image exists.
 
     responses: image, results (JSON text or item array), latency_ms, error and more; one response is kept per image (the smallest
-    by latency). Images are found by their paths without scheme and host. A case without an image gets the error `image not found: <path>`; results that are no list are empty.
+    by latency). Responses of other images are left out where they are read, by a Bloom filter of the cases' images, before their
+    results are parsed or moved. Images are found by their paths without scheme and host. A case without an image gets the error `image not found: <path>`; results that are no list are empty.
     """
     items = f"array<{RAW_ITEM}>"
+    responses = responses.where(might_contain(bloom_filter(cases, "image"), F.col("image")))
     parsed = responses
     if responses.schema["results"].dataType.typeName() == "string":
         parsed = responses.withColumn("results", F.when(F.ltrim("results").startswith("["), F.from_json("results", items)))
@@ -49,7 +53,7 @@ def attach_responses(cases: DataFrame, responses: DataFrame, images: DataFrame)
     known = images.select(X.plain_path(F.col("image")).alias("__plain")).distinct().withColumn("found", F.lit(True))
     joined = cases.withColumn("__plain", X.plain_path(F.col("image"))).join(one, "image", "left").join(known, "__plain", "left").withColumn("found", F.coalesce("found", F.lit(False)))
     empty = F.array().cast(parsed.schema["results"].dataType)
-    missing = F.concat(F.lit("image not found: "), F.col("image"))
+    missing = F.concat(F.lit("image not found: "), F.col("image"))  # a fixed value
     error = F.when(~F.col("found"), missing).when(F.col("r").isNull(), F.lit("no response")).otherwise(F.col("r.error"))
     rest = [F.when(F.col("found"), F.col(f"r.{c}")).alias(c) for c in others if c not in ("results", "error")]
     return joined.select(*cases.columns, "found", F.when(error.isNull(), F.coalesce("r.results", empty)).otherwise(empty).alias("items"), error.alias("error"), *rest)

@@ -33,11 +33,26 @@ def list_page_items(page: Column, inv_scale: Column, dx: Column, dy: Column) ->
     return F.coalesce(F.filter(items, lambda x: x["text"] != ""), F.array().cast(_NONE))
 
 
+def variant_page_items(page: Column, inv_scale: Column, dx: Column, dy: Column) -> Column:
+    """Items of a page that is a variant of either shape: an object of parallel arrays, or a list of `[box, [text, score]]`. Nothing
+    is parsed again; values of another kind count as missing."""
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    parallel = F.struct(
+        F.transform(get(page, "$.dt_polys", "array<variant>"), lambda b: get(b, "$", POINTS)).alias("dt_polys"), F.transform(get(page, "$.rec_texts", "array<variant>"), lambda t: get(t, "$", "string")).alias("rec_texts"),
+        F.transform(get(page, "$.rec_scores", "array<variant>"), lambda s: get(s, "$", "double")).alias("rec_scores"),
+    )
+    lines = F.filter(get(page, "$", "array<variant>"), lambda x: F.size(get(x, "$", "array<variant>")) >= 2)
+    listed = F.transform(lines, lambda x: _item(get(x, "$[0]", POINTS), item_text(get(x, "$[1][0]", "string")), get(x, "$[1][1]", "double"), inv_scale, dx, dy))
+    return F.coalesce(F.filter(listed, lambda i: i["text"] != ""), dict_page_items(parallel, inv_scale, dx, dy))
+
+
 def pages_to_items(df: DataFrame, pages_col: str = "pages", inv_scale: Column | None = None, dx: Column | None = None, dy: Column | None = None) -> DataFrame:
-    """df with a column items: all pages' items in order. pages_col is an array of page structs, or of JSON texts of either shape."""
+    """df with a column items: all pages' items in order. pages_col is an array of page structs, or of variants or JSON texts of either shape."""
     inv_scale, dx, dy = F.lit(1.0) if inv_scale is None else inv_scale, F.lit(0.0) if dx is None else dx, F.lit(0.0) if dy is None else dy
-    text = df.schema[pages_col].dataType.elementType.typeName() == "string"
-    if text:
+    kind = df.schema[pages_col].dataType.elementType.typeName()
+    if kind == "variant":
+        one = lambda p: variant_page_items(p, inv_scale, dx, dy)
+    elif kind == "string":
         from gatescan.schemas import PAGE
 
         one = lambda p: F.when(F.ltrim(p).startswith("["), list_page_items(p, inv_scale, dx, dy)).otherwise(dict_page_items(F.from_json(p, PAGE), inv_scale, dx, dy))

@@ -20,7 +20,7 @@ def recognise(attempts: DataFrame, frames: DataFrame, fallback_stage: int = FALL
         key, "stage", "stage_index", "ocr_ms", "error", s["is_complete"].alias("is_complete"), s["score"].alias("score"), s["failure_reason"].alias("failure_reason"),
         s["selected_seat"]["text"].alias("seat"), s["selected_name"]["text"].alias("name"), F.size("items").alias("output_count"),
     )
-    return fused_best(rows, frames, fallback_stage, ["failure_reason", "seat", "name", "output_count"], key)
+    return fused_best(rows, frames, fallback_stage, ["failure_reason", "seat", "name", "output_count"], key).drop("n_attempts", "n_accepted")
 
 
 def evaluate_cases(cases: DataFrame, responses: DataFrame, images: DataFrame, exact: bool = True) -> tuple[DataFrame, DataFrame]:

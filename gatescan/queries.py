@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatescan.fixtures import sql, view
+from gatescan.fixtures import seat, sql, view
 from gatescan.functions import geometry as G
 from gatescan.functions import text as X
 from gatescan.operators import attempts as A
 from gatescan.operators import directory as D
 from gatescan.operators import evaluation as E
 from gatescan.operators import items as I
+from gatescan.operators import scans as SC
 from gatescan.operators import scoring as S
 from gatescan.operators import sequences as T
 from gatescan.plans import workflows as P
+from gatescan.sources import files as FILES
 from gatescan.sources import readers as IO
 from gatescan.sources import writers as OUT
 from gatescan.storage import shared_folder
@@ -324,11 +326,6 @@ best as (select *, row_number() over (partition by frame_id order by score desc,
 fail as (select frame_id, 'fallback failed' as failed from a where bad and stage_index = 2)"""
 
 
-def _gated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows, frames = scored_attempts(spark, sf_dir), view(spark, sf_dir, "fx_frames")
-    return A.apply_fallback(rows.where("stage_index < 2"), rows.where("stage_index = 2"), frames), frames
-
-
 @_register("a12_needs_fallback", _GATED + " select o_orderkey as frame_id from orders where o_orderkey not in (select frame_id from done)")
 def a12_needs_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.needs_fallback(scored_attempts(spark, sf_dir).where("stage_index < 2"), view(spark, sf_dir, "fx_frames"))
@@ -336,12 +333,15 @@ def a12_needs_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("a12_apply_fallback", _GATED + " select frame_id, stage_index, is_complete from a")
 def a12_apply_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gated(spark, sf_dir)[0].select("frame_id", "stage_index", "is_complete")
+    return A.gate_fallback(scored_attempts(spark, sf_dir)).select("frame_id", "stage_index", "is_complete")
 
 
 @_register("a13_select_best_attempt", _GATED + " select o_orderkey as frame_id, case when failed is null then coalesce(stage, 'no_ocr_attempts') end as path, case when failed is null then score end as score, case when failed is null then seat end as seat, case when failed is null then name end as name, case when failed is null then failure_reason end as failure_reason, coalesce(failed, case when bad then 'engine failed' end) as error from orders left join (select * from best where k = 1) b on b.frame_id = o_orderkey left join fail on fail.frame_id = o_orderkey")
 def a13_select_best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.select_best_attempt(*_gated(spark, sf_dir)).select("frame_id", "path", "score", "seat", "name", "failure_reason", "error")
+    rows = scored_attempts(spark, sf_dir).withColumn("own_error", c("error"))
+    best = A.fused_best(rows, view(spark, sf_dir, "fx_frames"), A.FALLBACK_STAGE, ["seat", "name", "failure_reason", "own_error"])
+    score = F.when(c("path") != A.NO_ATTEMPT, c("score"))  # a frame without attempts has no score here
+    return best.select("frame_id", "path", score.alias("score"), "seat", "name", "failure_reason", F.coalesce("error", "own_error").alias("error"))
 
 
 @_register("a14_profile_frames", _GATED + """,
@@ -350,7 +350,11 @@ select o_orderkey as frame_id, case when failed is null then coalesce(m + f, 0.0
   case when failed is null then coalesce(stage, 'no_ocr_attempts') end as path, case when failed is null then coalesce(round(score, 4), 0.0) end as selected_score, case when failed is null then coalesce(n_items, 0) end as output_count, failed as error
 from orders left join t on t.frame_id = o_orderkey left join (select * from best where k = 1) b on b.frame_id = o_orderkey left join fail on fail.frame_id = o_orderkey""")
 def a14_profile_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.profile_frames(*_gated(spark, sf_dir), 2)
+    best = A.fused_best(scored_attempts(spark, sf_dir), view(spark, sf_dir, "fx_frames"), A.FALLBACK_STAGE, ["output_count"])
+    two = lambda x: X.rounded(x, 2)
+    ms = [two(c("mobile_ocr_ms") + c("fallback_ocr_ms")).alias("ocr_ms"), two(c("mobile_ocr_ms")).alias("mobile_ocr_ms"), two(c("fallback_ocr_ms")).alias("fallback_ocr_ms")]
+    count = F.when(c("error").isNull(), F.coalesce("output_count", F.lit(0))).alias("output_count")
+    return best.select("frame_id", *ms, "n_attempts", "n_accepted", "path", X.rounded(c("score"), 4).alias("selected_score"), count, "error")
 
 
 @_register("w1_recognise", _GATED + """,
@@ -508,6 +512,31 @@ def t3_validate_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.validate_transitions(view(spark, sf_dir, "fx_requests")).select("event_id", "requested", "accepted", "state")
 
 
+#: Three sessions hold all events, in blocks of this many frames; times are whole hours, so that many are equal.
+LONG_BLOCK = 1000
+_HOURLY = "date_trunc('hour', ts)"
+
+
+def _long(df: DataFrame) -> DataFrame:
+    return df.withColumn("session_id", c("session_id") % 3).withColumn("ts", F.date_trunc("hour", "ts"))
+
+
+_LONG_KNOWN = _KNOWN.replace("partition by session_id order by ts rows", f"partition by session_id % 3 order by {_HOURLY}, event_id rows")
+
+
+@_register("t1_long_sessions", _LONG_KNOWN + " select event_id, resolved_seat, suppressed from sup")
+def t1_long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.suppress_repeats(_long(known_scans(spark, sf_dir)), order=["ts", "event_id"], block_rows=LONG_BLOCK).select("event_id", "resolved_seat", "suppressed")
+
+
+_LONG_REQUESTS = f"select session_id % 3 as session_id, event_id, {_HOURLY} as ts, requested from ({sql('fx_requests')}) r"
+
+
+@_register("t3_long_sessions", _fold_sql(_LONG_REQUESTS, "ts, event_id") + " select event_id, requested, accepted, state from f")
+def t3_long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.validate_transitions(_long(view(spark, sf_dir, "fx_requests")), order=["ts", "event_id"], block_rows=LONG_BLOCK).select("event_id", "requested", "accepted", "state")
+
+
 @_register("w3_continuous_scan", _KNOWN + f" select event_id, resolved_seat, outcome, {_DECISION} from sup")
 def w3_continuous_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = P.continuous_scan(view(spark, sf_dir, "fx_scans"), directory_of(spark, sf_dir), view(spark, sf_dir, "fx_audio"), exact=False)
@@ -541,6 +570,21 @@ def _plain_time(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", c("ts").cast("timestamp_ntz"))
 
 
+#: The queries compare with whole sessions, which no pause ends.
+_NO_PAUSE = "36500 days"
+
+
+def _frames_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """known_scans as a stream."""
+    R.use_state_store(spark)
+    return known_scans(spark, sf_dir, stream_of(spark, sf_dir, "fx_scans")).withColumn("ts", c("ts").cast("timestamp"))
+
+
+def _requests_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    R.use_state_store(spark)
+    return stream_of(spark, sf_dir, "fx_requests").withColumn("ts", c("ts").cast("timestamp"))
+
+
 @_register("r2_stream_resolve", _KNOWN + " select event_id, lookup_name, case when not failed then resolved_seat end as resolved_seat from known")
 def r2_stream_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_stream(spark, known_scans(spark, sf_dir, stream_of(spark, sf_dir, "fx_scans")).select("event_id", "lookup_name", "resolved_seat"))
@@ -548,21 +592,33 @@ def r2_stream_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("r3_stream_suppress", _KNOWN + " select session_id, ts, resolved_seat, suppressed from sup")
 def r3_stream_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain_time(run_stream(spark, R.stream_suppress(known_scans(spark, sf_dir, stream_of(spark, sf_dir, "fx_scans")).withColumn("ts", c("ts").cast("timestamp")))))
+    return _plain_time(run_stream(spark, R.stream_suppress(_frames_of(spark, sf_dir), idle=_NO_PAUSE)))
+
+
+@_register("r3_stream_ties", _LONG_KNOWN + f" select session_id % 3 as session_id, {_HOURLY} as ts, event_id, resolved_seat, suppressed from sup")
+def r3_stream_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain_time(run_stream(spark, R.stream_suppress(_long(_frames_of(spark, sf_dir)), idle=_NO_PAUSE, tie="event_id")))
 
 
 @_register("r4_stream_states", _fold_sql(sql("fx_requests"), "ts") + " select f.session_id, q.ts, f.requested, f.accepted, f.state from f join q using (event_id)")
 def r4_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain_time(run_stream(spark, R.stream_states(stream_of(spark, sf_dir, "fx_requests").withColumn("ts", c("ts").cast("timestamp")))))
+    return _plain_time(run_stream(spark, R.stream_states(_requests_of(spark, sf_dir), idle=_NO_PAUSE)))
+
+
+@_register("r4_stream_ties", _fold_sql(_LONG_REQUESTS, "ts, event_id") + " select f.session_id, q.ts, f.event_id, f.requested, f.accepted, f.state from f join q using (event_id)")
+def r4_stream_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain_time(run_stream(spark, R.stream_states(_long(_requests_of(spark, sf_dir)), idle=_NO_PAUSE, tie="event_id")))
 
 
 @_register("r1_stream_parse", _PLAIN + """
  select frame_id, stage_index, case when is_complete then seat end as seat_number, case when not is_complete then 'Scanning' when nc >= 0.8 and sc >= 0.9 then 'Recognized' else 'RetryNeeded' end as outcome from scored""")
 def r1_stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "responses")
-    items_of(spark, sf_dir).select("frame_id", "stage_index", F.to_json("items").alias("results"), F.lit(None).cast("string").alias("error")).write.parquet(folder)
-    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
-    return run_stream(spark, R.stream_parse(stream).select("frame_id", "stage_index", "seat_number", "outcome"))
+    key = F.struct(F.concat_ws(":", "frame_id", "stage_index").alias("request_id"))
+    items_of(spark, sf_dir).select(c("items").alias("results"), key.alias("debug")).repartition(4).write.json(folder)
+    keyed = IO.read_responses(spark, folder, stream=True, files_per_batch=2).withColumn("key", F.split("debug.request_id", ":"))
+    keyed = keyed.withColumn("frame_id", F.get("key", F.lit(0)).cast("long")).withColumn("stage_index", F.get("key", F.lit(1)).cast("long")).drop("key")
+    return run_stream(spark, R.stream_parse(keyed).select("frame_id", "stage_index", "seat_number", "outcome"))
 
 
 # -- sources and sinks: files written from the tables into the shared folder, and read back -------------------------------
@@ -602,6 +658,77 @@ def s3_read_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.read_directory(spark, path).select("line_no", "seat", "name")
 
 
+@_register("s2_read_manifest_files", _CASES_SQL)
+def s2_read_manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "manifest") + ".tsv"
+    rows = _cases(spark, sf_dir).repartitionByRange(5, "row_number").sortWithinPartitions("row_number")
+    rows.select(c("image").alias("file"), c("expected_name").alias("name"), c("expected_seat").alias("seat_number")).write.csv(path, header=True, sep="\t", escape='"')
+    return IO.read_manifest(spark, path, multiline=False).select("row_number", "image", "expected_name", "expected_seat")
+
+
+#: Directory files have a header each, which takes a line number.
+@_register("s3_read_directory_files", f"select row_number() over (order by line_no) as place, seat, name from ({sql('fx_directory')}) v")
+def s3_read_directory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "directory")
+    rows = view(spark, sf_dir, "fx_directory").repartitionByRange(5, "line_no").sortWithinPartitions("line_no")
+    rows.select(c("seat").alias("Seat No"), c("name").alias("Name")).write.csv(path, header=True)
+    found = SC.number_rows(IO.read_directory(spark, path), ["line_no"], "place", 4)
+    return found.select("place", "seat", "name")
+
+
+def _page_text() -> Column:
+    """Stored OCR output of a frame and stage: an object, or for odd frames a list of pages of lines, with a line of one part."""
+    box = F.lit("[[1.5, 2]]")
+    line = lambda i: F.concat(F.lit("["), box, F.lit(", "), F.regexp_replace(F.to_json(F.array(i["text"])), r"\]$", ""), F.lit(", "), i["confidence"].cast("string"), F.lit("]]"))
+    listed = F.concat(F.lit("[[[[]], "), F.array_join(F.transform("items", line), ", "), F.lit("]]"))
+    parallel = F.struct(F.transform("items", lambda i: i["box"]).alias("dt_polys"), F.transform("items", lambda i: i["text"]).alias("rec_texts"), F.transform("items", lambda i: i["confidence"]).alias("rec_scores"))
+    return F.when(c("frame_id") % 2 == 1, listed).otherwise(F.to_json(parallel))
+
+
+@_register("s5_read_pages", f"""
+with v as ({sql("fx_items")}), n as (select frame_id, stage_index, row_number() over (order by frame_id, stage_index) as document from (select distinct frame_id, stage_index from v) d)
+select document, row_number() over (partition by document order by item_index) - 1 as pos, {_RAW} as text, confidence, case when frame_id % 2 = 1 then 1.5::double end as x
+from v join n using (frame_id, stage_index) where {_RAW} <> ''""")
+def s5_read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "pages")
+    items_of(spark, sf_dir).repartitionByRange(6, "frame_id", "stage_index").sortWithinPartitions("frame_id", "stage_index").select(_page_text().alias("value")).write.text(path)
+    found = I.pages_to_items(IO.read_pages(spark, path, lines=True)).select(c("row_number").alias("document"), F.posexplode("items").alias("pos", "i"))
+    return found.select("document", "pos", "i.text", "i.confidence", F.get(F.get("i.box", F.lit(0)), F.lit(0)).alias("x"))
+
+
+@_register("s6_read_diagnostics", "select c_custkey + 1 as attempt_no, 'r' || cast(c_custkey as string) as request_id, '2024-05-06T07:08:09Z' as timestamp_utc, case when c_custkey % 5 = 0 then 'engine failed' end as error, 3 as n_artifacts from customer")
+def s6_read_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, k = shared_folder(spark, "attempts"), c("c_custkey")
+    artifacts = F.map_from_arrays(F.array(*map(F.lit, "abc")), F.array(*[F.struct(F.lit(f"{x}.png").alias("filename")) for x in "abc"]))
+    record = F.struct(F.concat(F.lit("r"), k.cast("string")).alias("request_id"), F.lit("2024-05-06T07:08:09Z").alias("timestamp_utc"), artifacts.alias("artifacts"), F.when(k % 5 == 0, "engine failed").alias("error"))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(X.attempt_label(k + 1), F.lit("/diag.json")).alias("name"), F.to_json(record).alias("content"))
+    FILES.write_named(rows.repartition(8), root)
+    OUT.compact_diagnostics(spark, root, root + "-compact", bin_bytes=1 << 16)
+    return IO.read_compacted(spark, root + "-compact").select(c("attempt_no").cast("long").alias("attempt_no"), "request_id", "timestamp_utc", "error", F.size("artifacts").alias("n_artifacts"))
+
+
+def _listed(spark: SparkSession, sf_dir: str, name: Column) -> str:
+    """A folder of files, one a seat, with c_custkey % 3 bytes (of the largest key)."""
+    root = shared_folder(spark, "files")
+    seats = spark.sql(_SEATS_SQL.replace("from customer", "from {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    FILES.write_named(seats.select(name.alias("name"), F.substring(F.lit("xx"), 1, c("length").cast("int")).alias("content")).repartition(8), root)
+    return root
+
+
+_SEATS_SQL = f"select {seat('c_custkey')} as seat, max(c_custkey) % 3 as length from customer group by 1"
+
+
+@_register("s7_list_audio", f"select * from ({_SEATS_SQL}) s where length < 2")
+def s7_list_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return IO.list_audio(spark, _listed(spark, sf_dir, F.concat(F.substring("seat", 1, 1), F.lit("/"), c("seat"), F.when(c("length") == 2, ".txt").otherwise(".wav")))).select("seat", "length")
+
+
+@_register("s8_list_images", f"select substr(seat, 1, 1) || '/' || seat || case length when 0 then '.JPG' when 1 then '' else '.tif' end as image, length from ({_SEATS_SQL}) s")
+def s8_list_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _listed(spark, sf_dir, F.concat(F.substring("seat", 1, 1), F.lit("/"), c("seat"), F.when(c("length") == 0, ".JPG").when(c("length") == 1, "").otherwise(".tif")))
+    return IO.list_images(spark, root).select(F.regexp_extract("image", r"([^/]+/[^/]+)$", 1).alias("image"), "length")
+
+
 @_register("s4_read_responses", f"select frame_id, count(*) as n_items, case when frame_id % 33 = 0 then 'HTTP 503: busy' end as error from ({sql('fx_items')}) v where stage_index = 0 group by frame_id")
 def s4_read_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "responses")
@@ -619,12 +746,30 @@ def s9_write_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("image string, passed boolean, error string").json(f"{path}/records")
 
 
-@_register("s10_write_diagnostics", _ATTEMPTS + f" select frame_id * 3 + stage_index as request_id, strftime(timestamp '1970-01-01' + to_seconds(frame_id * 86413), '%Y-%m') as month, n_items, {_ERROR_SQL} as error from scored")
-def s10_write_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_folder(spark, "diagnostics")
+def _diagnostics_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.union_attempts(attempts_of(spark, sf_dir))
     number = (c("frame_id") * 3 + c("stage_index")).cast("string")
     at = F.concat(F.substring(X.utc_timestamp(c("frame_id") * 86413), 1, 8), F.lit("01T00:00:00Z"))  # a folder a month
-    OUT.write_diagnostics(rows.select(number.alias("request_id"), at.alias("timestamp_utc"), F.struct(F.size("items").alias("output_count")).alias("ocr"), "error"), path)
+    return rows.select(number.alias("request_id"), at.alias("timestamp_utc"), F.struct(F.size("items").alias("output_count")).alias("ocr"), "error")
+
+
+def _written_diagnostics(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.schema("request_id string, ocr struct<output_count:int>, error string, date string").json(path)
     return found.select(c("request_id").cast("long").alias("request_id"), F.substring("date", 1, 7).alias("month"), c("ocr.output_count").alias("n_items"), "error")
+
+
+@_register("s10_write_diagnostics", _ATTEMPTS + f" select frame_id * 3 + stage_index as request_id, strftime(timestamp '1970-01-01' + to_seconds(frame_id * 86413), '%Y-%m') as month, n_items, {_ERROR_SQL} as error from scored")
+def s10_write_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "diagnostics")
+    OUT.write_diagnostics(_diagnostics_of(spark, sf_dir), path)
+    return _written_diagnostics(spark, path)
+
+
+@_register("s10_stream_diagnostics", ORACLES["s10_write_diagnostics"])
+def s10_stream_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "diagnostics")
+    rows = _diagnostics_of(spark, sf_dir)
+    rows.repartition(4).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    OUT.write_diagnostics(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return _written_diagnostics(spark, f"{folder}/out")

@@ -9,10 +9,12 @@ from gatescan.functions import text as X
 from gatescan.operators.directory import parse_directory_row
 from gatescan.operators.evaluation import ALIASES, coalesce_aliases, require_image
 from gatescan.schemas import DIAGNOSTIC, RESPONSE
+from gatescan.sources.files import list_files, number_lines
 
-#: The headers that a seat directory may have. Fixed values.
+#: The headers that a seat directory may have, and the message about others. Fixed values.
 HEADERS = ("Seat No,Name", "Seat No,Chinese Name")
-#: Their messages are fixed values too.
+_EMPTY, _UNEXPECTED, _EXPECTED = "names.csv is empty", "Unexpected names.csv header: ", ". Expected Seat No,Name"
+#: The keys of a JSON manifest that may hold its cases. Fixed values.
 _LISTS = ("cases", "images", "records")
 _BOM = "﻿"
 
@@ -34,70 +36,91 @@ def _json_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((F.col("k") + 1).alias("row_number"), F.from_json("case", schema).alias("c")).select("row_number", "c.*")
 
 
-def _delimited_manifest(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
-    df = spark.read.csv(path, header=True, sep=delimiter, quote='"', escape='"', multiLine=True, encoding="UTF-8")
-    df = df.toDF(*[c.removeprefix(_BOM) for c in df.columns])
-    return df.withColumn("__id", F.monotonically_increasing_id()).withColumn("row_number", (F.col("__id") + 1).cast("int")).drop("__id")
+def _delimited_manifest(spark: SparkSession, path: str, delimiter: str, multiline: bool) -> DataFrame:
+    df = spark.read.csv(path, header=True, sep=delimiter, quote='"', escape='"', multiLine=multiline, encoding="UTF-8")
+    numbered = number_lines(df)[0].drop("in_file")
+    return numbered.toDF(*[c.removeprefix(_BOM) for c in numbered.columns])
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """image, expected_name, expected_seat (and row_number) from a .json, .csv or .tsv file; relative images are taken from its
-    folder. In JSON the first of cases, images and records that isn't empty counts. A row without an image is an error."""
+    folder. In JSON the first of cases, images and records that isn't empty counts. A row without an image is an error.
+
+    Quoted values of a CSV or TSV file may hold line ends, so one task reads a file; with multiline=False they may not, and a large
+    file is read in splits. Rows are numbered over several files (a folder with such a name) in the order of their paths."""
     suffix = path.rsplit(".", 1)[-1].casefold() if "." in path.rsplit("/", 1)[-1] else ""
     if suffix == "json":
         cases = coalesce_aliases(_json_manifest(spark, path))
     elif suffix in ("csv", "tsv"):
-        cases = coalesce_aliases(_delimited_manifest(spark, path, "\t" if suffix == "tsv" else ","), first_present=True)
+        cases = coalesce_aliases(_delimited_manifest(spark, path, "\t" if suffix == "tsv" else ",", multiline), first_present=True)
     else:
         raise ValueError("Manifest must be .json, .csv, or .tsv")
     return require_image(cases).withColumn("image", X.resolve_path(F.col("image"), path.rsplit("/", 1)[0] if "/" in path else "."))
 
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, seat, name of a seat directory. Quotes are plain characters and only the first comma splits. The file is read
-    whole, as the line order decides between equal names; an empty file or an unknown header is an error."""
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: X.strip(x)), lambda x: x != "")
-    # an empty file gives no row at all, so the one file's text goes through an aggregate, which always gives one
-    whole = _whole(spark, path).agg(F.coalesce(F.max("value"), F.lit("")).alias("value")).select(lines.alias("lines"))
-    header = F.get("lines", F.lit(0))
-    checked = F.when(header.isNull(), F.raise_error(F.lit("names.csv is empty")).cast("array<string>")).when(~header.isin(*HEADERS), F.raise_error(F.concat(F.lit("Unexpected names.csv header: "), header, F.lit(". Expected Seat No,Name"))).cast("array<string>")).otherwise(F.col("lines"))
-    rows = whole.select(F.posexplode(checked).alias("k", "line")).where("k > 0")
-    parsed = rows.select((F.col("k") + 1).alias("line_no"), parse_directory_row(F.col("line")).alias("r"))
+    """line_no, seat, name of a seat directory. Quotes are plain characters and only the first comma splits. Each file begins with
+    its header; no line at all, or an unknown header in any file, is an error.
+
+    Lines that aren't blank are numbered over the splits of a file, and over several files in the order of their paths, so the
+    line order that decides between equal names is kept whatever the size."""
+    line = X.strip(F.regexp_replace("value", f"^{_BOM}", ""))
+    rows, splits = number_lines(spark.read.option("lineSep", "\n").text(path).withColumn("value", line), F.col("value") != "")
+    other = F.raise_error(F.concat(F.lit(_UNEXPECTED), F.col("value"), F.lit(_EXPECTED))).cast("boolean")
+    rows = rows.where(F.when(F.col("in_file") > 1, True).when(F.col("value").isin(*HEADERS), False).otherwise(other))
+    # no line gives no row at all, so their number goes through an aggregate, which always gives one
+    total = splits.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_number"))
+    none = total.withColumn("value", F.when(F.col("row_number") == 0, F.raise_error(F.lit(_EMPTY)).cast("string")).otherwise(""))
+    parsed = rows.select("row_number", "value").unionByName(none).select(F.col("row_number").alias("line_no"), parse_directory_row(F.col("value")).alias("r"))
     return parsed.where("r is not null").select("line_no", "r.seat", "r.name")
 
 
-def read_responses(spark: SparkSession, path: str, stream: bool = False, lines: bool = True) -> DataFrame:
+def read_responses(spark: SparkSession, path: str, stream: bool = False, lines: bool = True, files_per_batch: int | None = None, bytes_per_batch: str | None = None) -> DataFrame:
     """One row per response document: a JSON object a line, or with lines=False (batch only) one document a file, over as many
-    lines as it has. results stays JSON text. source is the file's path."""
+    lines as it has. results stays JSON text. source is the file's path. files_per_batch or bytes_per_batch (such as "256m") bound
+    a stream's micro-batches, and with them the memory of what is done with them."""
     if stream:
-        return spark.readStream.schema(RESPONSE).json(path).withColumn("source", F.col("_metadata.file_path"))
+        reader = spark.readStream.schema(RESPONSE)
+        for name, value in (("maxFilesPerTrigger", files_per_batch), ("maxBytesPerTrigger", bytes_per_batch)):
+            reader = reader if value is None else reader.option(name, value)
+        return reader.json(path).withColumn("source", F.col("_metadata.file_path"))
     return spark.read.schema(RESPONSE).json(path, multiLine=not lines).withColumn("source", F.col("_metadata.file_path"))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """source and pages (array of JSON texts, each a page of either shape) of stored OCR output, one file a frame and stage."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value"))
-    value = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
-    pages = F.when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(value))
-    return text.select("source", F.coalesce(pages, F.array().cast("array<string>")).alias("pages"))
+def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """source and pages (array of variants, each a page of either shape) of stored OCR output, one file a frame and stage; with
+    lines=True one document a line, with row_number over all files. A document is parsed once; what is no JSON has no pages."""
+    if lines:
+        scan = spark.read.option("lineSep", "\n").text(path).withColumn("source", F.col("_metadata.file_path"))
+        text = number_lines(scan)[0].select("source", "row_number", "value")
+    else:
+        text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value"))
+    document = F.try_parse_json("value")
+    pages = F.coalesce(F.try_variant_get(document, "$", "array<variant>"), F.when(document.isNotNull(), F.array(document)), F.array().cast("array<variant>"))
+    return text.withColumn("pages", pages).drop("value")
 
 
-def read_diagnostics(spark: SparkSession, root: str) -> DataFrame:
+def read_diagnostics(spark: SparkSession, root: str, files: str = "try_*/diag.json") -> DataFrame:
     """The records of a diagnostics folder (try_NNNN/diag.json) with attempt_no from the folder's name; no schema inference."""
-    df = spark.read.schema(DIAGNOSTIC).option("multiLine", True).json(f"{root}/try_*/diag.json")
-    return df.withColumn("attempt_no", X.attempt_number(F.col("_metadata.file_path"))).withColumn("timestamp", F.to_timestamp("timestamp_utc", "yyyy-MM-dd'T'HH:mm:ssX"))
+    df = spark.read.schema(DIAGNOSTIC).option("multiLine", True).json(f"{root}/{files}")
+    return _dated(df.withColumn("attempt_no", X.attempt_number(F.col("_metadata.file_path"))))
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumn("timestamp", F.to_timestamp("timestamp_utc", "yyyy-MM-dd'T'HH:mm:ssX"))
 
 
-def _listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root).select("path", "length")
+def read_compacted(spark: SparkSession, path: str) -> DataFrame:
+    """What compact_diagnostics() has written, as read_diagnostics() gives it."""
+    return _dated(spark.read.schema(f"{DIAGNOSTIC}, attempt_no int").parquet(path))
 
 
 def list_audio(spark: SparkSession, root: str) -> DataFrame:
-    """seat, path, length of every recording below root; the seat is the file's name. Contents aren't read."""
-    return _listing(spark, root, "*.wav").select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("seat"), "path", "length")
+    """seat, path, length of every recording below root, empty ones too; the seat is the file's name. Contents aren't read."""
+    name = F.regexp_extract("path", r"([^/]+)\.wav$", 1)
+    return list_files(spark, root).where(name != "").select(name.alias("seat"), "path", "length")
 
 
-def list_images(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """image (path without scheme and host), length of every file below root, whatever its suffix. Contents aren't read. Spark
-    lists no empty files, so an empty image counts as not found."""
-    return _listing(spark, root, pattern).select(X.plain_path(F.col("path")).alias("image"), "length")
+def list_images(spark: SparkSession, root: str) -> DataFrame:
+    """image (path without scheme and host), length of every file below root, whatever its suffix, empty ones too. Contents aren't read."""
+    return list_files(spark, root).select(X.plain_path(F.col("path")).alias("image"), "length")

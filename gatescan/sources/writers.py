@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gatescan.functions import text as X
+from gatescan.operators.scans import BLOCK, in_range_partitions, starts_of
+from gatescan.schemas import DIAGNOSTIC
+from gatescan.sources.files import list_files
+
+#: Bytes of the small files that go to one file.
+BIN_BYTES = 256 << 20
+
 
 def write_report(summary: DataFrame, records: DataFrame, path: str) -> None:
     """The records as JSON lines in path/records and the summary's row in path/summary; text outside ASCII stays as it is."""
@@ -13,10 +21,48 @@ def write_report(summary: DataFrame, records: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(f"{path}/summary", ignoreNullFields=False)
 
 
+def _write_batch(batch: DataFrame, number: int, root: str) -> None:
+    """Writes a micro-batch to folders of its dates and its number, in place of what an earlier try of it has left."""
+    batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").json(root)
+
+
 def write_diagnostics(df: DataFrame, root: str, checkpoint: str | None = None) -> StreamingQuery | None:
-    """Diagnostic records as JSON, partitioned by the date of timestamp_utc. A stream needs a checkpoint folder."""
+    """Diagnostic records as JSON, partitioned by the date of timestamp_utc.
+
+    A stream needs a checkpoint folder. Each of its micro-batches is written once, to date=.../batch=<its number>: a batch that
+    is tried again, after a restart too, has the same rows and takes the place of its own folders. So any reader of the
+    folder sees no row twice.
+    """
     dated = df.withColumn("date", F.substring("timestamp_utc", 1, 10))
     if df.isStreaming:
-        return dated.writeStream.format("json").partitionBy("date").option("path", root).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if not checkpoint:
+            raise ValueError("a stream needs a checkpoint folder")
+        return dated.writeStream.foreachBatch(lambda batch, number: _write_batch(batch, number, root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     dated.write.mode("append").partitionBy("date").json(root)
     return None
+
+
+def pack_files(files: DataFrame, order: list[str], bin_bytes: int = BIN_BYTES) -> DataFrame:
+    """files (length) with bin: files in their order fill bins of bin_bytes, the file that crosses a bin's end belonging to it. So a
+    bin has at most bin_bytes and one file more, and there are at most the sum of lengths / bin_bytes bins and one more."""
+    ranged = in_range_partitions(files, order, 64)
+    starts = starts_of(ranged.groupBy(BLOCK).agg(F.sum("length").alias("n")), [BLOCK]).select(BLOCK, "before")
+    own = F.coalesce(F.sum("length").over(Window.partitionBy(BLOCK).orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("own", own).join(starts, BLOCK)
+    return placed.select(*files.columns, F.floor((F.col("before") + F.col("own")) / bin_bytes).cast("int").alias("bin"))
+
+
+def compact_diagnostics(spark: SparkSession, root: str, path: str, bin_bytes: int = BIN_BYTES) -> int:
+    """Writes the records of root/try_NNNN/diag.json, however many small files there are, to Parquet files of about equal shares in
+    path, in the order of their attempts, and returns how many. read_compacted() reads them.
+
+    The files' sizes come from a listing and are packed into bins; records are read with their schema given, so no pass infers it.
+    """
+    listed = list_files(spark, root).where(F.col("path").rlike(r"/try_[0-9]+/diag\.json$")).withColumn("attempt_no", X.attempt_number(F.regexp_extract("path", r"(try_[0-9]+)/diag\.json$", 1)))
+    bins = pack_files(listed.select("attempt_no", "length"), ["attempt_no"], bin_bytes)
+    n = (bins.agg(F.max("bin")).first()[0] or 0) + 1
+    records = spark.read.schema(DIAGNOSTIC).option("multiLine", True).json(root, pathGlobFilter="diag.json", recursiveFileLookup=True)
+    found = records.withColumn("attempt_no", X.attempt_number(F.regexp_extract(F.col("_metadata.file_path"), r"(try_[0-9]+)/diag\.json$", 1))).where(F.col("attempt_no").isNotNull())
+    placed = found.join(bins.groupBy("attempt_no").agg(F.min("bin").alias("bin")), "attempt_no")
+    placed.repartitionById(n, F.col("bin")).sortWithinPartitions("attempt_no").drop("bin").write.mode("overwrite").parquet(path)
+    return n

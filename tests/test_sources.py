@@ -9,6 +9,7 @@ from gatescan.operators import attempts as A
 from gatescan.operators import directory as D
 from gatescan.operators import evaluation as E
 from gatescan.operators import items as I
+from gatescan.operators.prefilter import bloom_filter, might_contain
 from gatescan.plans.workflows import evaluate_cases
 from gatescan.sources import readers as R
 from gatescan.sources import writers as W
@@ -147,3 +148,130 @@ def test_any_file_counts_as_an_image(spark, tmp_path):
     responses = spark.createDataFrame([], "image string, results string, latency_ms double, error string")
     got = {r.image[-5:]: r.found for r in E.attach_responses(cases, responses, found).collect()}
     assert got == {"A.JPG": True, "b.tif": True, "o.jpg": False}
+
+
+# -- listings, several and split files, compaction, sinks that write once ---------------------------------------------------
+
+
+def test_empty_and_hidden_files_are_listed(spark, tmp_path):
+    (tmp_path / "a/b/c").mkdir(parents=True)
+    (tmp_path / "none").mkdir()
+    for name, text in (("x.jpg", ""), ("a/y.png", "12"), ("a/b/c/z", "123"), ("a/.hid", "1"), ("a/_u.wav", ""), ("a/b/10AC13.wav", "")):
+        write(tmp_path / name, text)
+    got = sorted((r.image.removeprefix(f"{tmp_path}/"), r.length) for r in R.list_images(spark, str(tmp_path)).collect())
+    assert got == [("a/.hid", 1), ("a/_u.wav", 0), ("a/b/10AC13.wav", 0), ("a/b/c/z", 3), ("a/y.png", 2), ("x.jpg", 0)]
+    assert sorted(r.seat for r in R.list_audio(spark, f"file://{tmp_path}").collect()) == ["10AC13", "_u"]
+    assert R.list_images(spark, f"{tmp_path}/none").count() == 0 and R.list_images(spark, f"{tmp_path}/missing").count() == 0
+    cases = spark.createDataFrame([(f"{tmp_path}/x.jpg",)], "image string")
+    responses = spark.createDataFrame([(f"{tmp_path}/x.jpg", "[]", 1.0, None)], "image string, results string, latency_ms double, error string")
+    assert E.attach_responses(cases, responses, R.list_images(spark, str(tmp_path))).first().found
+
+
+def test_directory_of_several_files(spark, tmp_path):
+    write(tmp_path / "a.csv", "Seat No,Name\n1A,Ann\n2B,Bob\n")
+    write(tmp_path / "b.csv", "\n\ufeffSeat No,Chinese Name\n\n3C,ann\n")
+    rows = R.read_directory(spark, str(tmp_path))
+    assert [(r.line_no, r.seat, r.name) for r in rows.orderBy("line_no").collect()] == [(2, "1A", "Ann"), (3, "2B", "Bob"), (5, "3C", "ann")]
+    assert {r.name_key: r.seat for r in D.build_directory(rows).collect()} == {"ann": "3C", "bob": "2B"}
+    write(tmp_path / "c.csv", "4D,Dan\n")
+    with pytest.raises(Exception, match="Unexpected names.csv header: 4D,Dan"):
+        R.read_directory(spark, str(tmp_path)).collect()
+
+
+def test_numbers_over_splits_and_files(spark, tmp_path):
+    want, k = [], 0
+    for name in ("m1", "m2", "m3"):
+        lines = [f"/i{k + n}.jpg,N{'x' * (n % 50)},S" for n in range(700)]
+        k += 700
+        want += [x.split(",")[0] for x in lines]
+        (tmp_path / "m.csv").mkdir(exist_ok=True)
+        write(tmp_path / f"m.csv/{name}.csv", "image,name,seat\n" + "\n".join(lines) + "\n")
+    write(tmp_path / "names.csv", "Seat No,Name\n" + "".join(f"S{n},name {n}\n\n" for n in range(2000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = R.read_manifest(spark, str(tmp_path / "m.csv"), multiline=False)
+        assert got.rdd.getNumPartitions() > 5
+        rows = R.read_directory(spark, str(tmp_path / "names.csv")).orderBy("line_no").collect()
+        assert [(r.row_number, r.image) for r in got.orderBy("row_number").collect()] == [(n + 1, x) for n, x in enumerate(want)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.line_no, r.seat) for r in rows] == [(n + 2, f"S{n}") for n in range(2000)]
+    whole = R.read_manifest(spark, str(tmp_path / "m.csv")).orderBy("row_number").collect()
+    assert [(r.row_number, r.image) for r in whole] == [(n + 1, x) for n, x in enumerate(want)]
+
+
+def test_pages_that_are_no_pages(spark, tmp_path):
+    texts = ["", "no json", "null", "5", '{"rec_texts": 5, "rec_scores": [1]}', '{"rec_texts": ["a", null, 7, "b"], "rec_scores": ["0.5", 1, 2]}', '[{"rec_texts": ["p"], "rec_scores": [1]}, [[[[1, 2]], ["q", "0.5"]], [null, [8]]]]']
+    write(tmp_path / "pages.txt", "\n".join(texts))
+    df = I.pages_to_items(R.read_pages(spark, str(tmp_path), lines=True)).orderBy("row_number")
+    assert [[(i.text, i.confidence) for i in r["items"]] for r in df.collect()] == [[], [], [], [], [], [("a", 0.5), ("7", 2.0)], [("p", 1.0), ("q", 0.5), ("8", None)]]
+
+
+def test_compaction_of_small_files(spark, tmp_path):
+    want = {}
+    for k in range(1, 60):
+        want[k] = "x" * (k * 37 % 400)
+        (tmp_path / f"in/try_{k:04d}").mkdir(parents=True)
+        write(tmp_path / f"in/try_{k:04d}/diag.json", json.dumps({"request_id": str(k), "timestamp_utc": "2024-05-06T07:08:09Z", "error": want[k]}, indent=1))
+    write(tmp_path / "in/try_0001/mask.png", "x")
+    size = sum(p.stat().st_size for p in (tmp_path / "in").rglob("diag.json"))
+    n = W.compact_diagnostics(spark, str(tmp_path / "in"), str(tmp_path / "out"), bin_bytes=4000)
+    files = sorted((tmp_path / "out").glob("part-*.parquet"))
+    assert len(files) == n and size // 4000 <= n <= size // 4000 + 1
+    back = R.read_compacted(spark, str(tmp_path / "out"))
+    assert {r.attempt_no: r.error for r in back.collect()} == want
+    assert sorted(map(str, back.collect())) == sorted(map(str, R.read_diagnostics(spark, str(tmp_path / "in")).select(*back.columns).collect()))
+    (tmp_path / "empty").mkdir()
+    assert W.compact_diagnostics(spark, str(tmp_path / "empty"), str(tmp_path / "out2")) == 1 and R.read_compacted(spark, str(tmp_path / "out2")).count() == 0
+
+
+def test_a_batch_that_is_tried_again_is_written_once(spark, tmp_path):
+    schema = "request_id string, timestamp_utc string"
+    for k in range(3):
+        spark.createDataFrame([(f"{k}-{n}", f"2024-05-{6 + n % 2:02d}T00:00:00Z") for n in range(5)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    start = lambda: W.write_diagnostics(stream(), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    rows = lambda: sorted(r.request_id for r in spark.read.json(f"{tmp_path}/out").collect())
+    start()
+    want = sorted(f"{k}-{n}" for k in range(3) for n in range(5))
+    assert rows() == want
+    for name in ("2", ".2.crc"):  # as if the query had died after writing its last batch and before noting so
+        (tmp_path / "state/commits" / name).unlink()
+    start()
+    assert rows() == want
+    assert {p.parent.name for p in (tmp_path / "out").glob("date=*/batch=*")} == {"date=2024-05-06", "date=2024-05-07"}
+    with pytest.raises(ValueError, match="checkpoint"):
+        W.write_diagnostics(stream(), f"{tmp_path}/out")
+
+
+def test_responses_as_a_stream_of_bounded_batches(spark, tmp_path):
+    for k in range(4):
+        write(tmp_path / f"r{k}.json", "".join(json.dumps({"results": [{"text": "10AC13", "confidence": 0.5}], "debug": {"request_id": f"{k}{n}"}}) + "\n" for n in range(3)))
+    stream = R.read_responses(spark, str(tmp_path), stream=True, files_per_batch=1)
+    q = stream.writeStream.format("memory").queryName("bounded").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(q.recentProgress) == 4 and spark.table("bounded").count() == 12
+
+
+def test_responses_are_filtered_below_the_shuffle(spark, tmp_path):
+    images = [f"/d/{k}.jpg" for k in range(300)]
+    cases = spark.createDataFrame([(i,) for i in images], "image string")
+    keep = spark.createDataFrame([(f"/d/{k}.jpg", "[]", 1.0, None) for k in range(20_000)], "image string, results string, latency_ms double, error string")
+    keep.write.parquet(str(tmp_path / "r"))
+    responses = spark.read.parquet(str(tmp_path / "r"))
+    passed = responses.where(might_contain(bloom_filter(cases, "image"), F.col("image")))
+    assert passed.join(cases, "image").count() == 300 and passed.count() < 600
+    plan = E.attach_responses(cases, responses, cases)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    at = next(k for k, x in enumerate(lines) if "getbit" in x.lower() or "bit_get" in x.lower())
+    assert not any("Exchange" in x for x in lines[at:] if len(x) - len(x.lstrip(" :+-|*()0123456789")) > len(lines[at]) - len(lines[at].lstrip(" :+-|*()0123456789")))
+    assert spark.range(0).select(F.col("id").cast("string")).select(might_contain(bloom_filter(cases.where("false"), "image"), F.col("id"))).count() == 0
+
+
+def test_gate_in_one_shuffle(spark):
+    rows = [(f, s, (f * 7 + s) % 3 == 0 if f % 5 else None) for f in range(40) for s in range(3) if (f + s) % 4]
+    attempts = spark.createDataFrame(rows, "frame_id int, stage_index int, is_complete boolean")
+    frames = attempts.select("frame_id").distinct()
+    want = A.apply_fallback(attempts.where("stage_index < 2"), attempts.where("stage_index = 2"), frames)
+    assert sorted(map(str, A.gate_fallback(attempts).collect())) == sorted(map(str, want.collect()))
