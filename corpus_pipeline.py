@@ -1,7 +1,7 @@
 """A training-data pipeline over the documents table, each stage one operator of gatescan.llm.
 
 A stage is a function of (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
-columns of documents. run() writes each stage as Parquet in the shared checkpoint folder and reads it again for the next.
+columns of documents (and any others that the table has). An empty table gives an empty result. run() writes each stage as Parquet in the shared checkpoint folder and reads it again for the next.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays. Rows with a null id stay."""
+    """Of each group of near-duplicates the document of the smallest id stays. Rows with a null id stay. Rows of one id are one
+    document: all of them stay or go."""
     found = jaccard.link_components(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(chunks.checkpoint(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -149,8 +151,12 @@ def request_failure_message(status: Column, error: Column) -> Column:
 
 
 def resolve_path(path: Column, folder: str) -> Column:
-    """Relative paths are taken from the folder of the manifest."""
-    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path))
+    """Relative paths are taken from the folder of the manifest. A leading `~` is the home of whoever starts the job; repeated
+    slashes and parts that are a single dot go."""
+    home = os.path.expanduser("~")
+    at_home = F.when(path == "~", F.lit(home)).when(path.startswith("~/"), F.concat(F.lit(home), F.substr(path, F.lit(2)))).otherwise(path)
+    plain = F.regexp_replace(F.regexp_replace(at_home, r"/(?:\.?/)+", "/"), r"^(?:\./)+|(?<=.)/\.?$", "")
+    return F.when(plain.startswith("/"), plain).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), plain))
 
 
 def plain_path(path: Column) -> Column:

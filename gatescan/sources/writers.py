@@ -21,9 +21,14 @@ def write_report(summary: DataFrame, records: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(f"{path}/summary", ignoreNullFields=False)
 
 
+def _by_date(df: DataFrame) -> DataFrame:
+    """Rows of a date in few files; where Spark may adapt the plan, a date of many rows is split again."""
+    return df.hint("rebalance", F.col("date"))
+
+
 def _write_batch(batch: DataFrame, number: int, root: str) -> None:
     """Writes a micro-batch to folders of its dates and its number, in place of what an earlier try of it has left."""
-    batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").json(root)
+    _by_date(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").json(root)
 
 
 def write_diagnostics(df: DataFrame, root: str, checkpoint: str | None = None) -> StreamingQuery | None:
@@ -38,7 +43,7 @@ def write_diagnostics(df: DataFrame, root: str, checkpoint: str | None = None) -
         if not checkpoint:
             raise ValueError("a stream needs a checkpoint folder")
         return dated.writeStream.foreachBatch(lambda batch, number: _write_batch(batch, number, root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    dated.write.mode("append").partitionBy("date").json(root)
+    _by_date(dated).write.mode("append").partitionBy("date").json(root)
     return None
 
 

@@ -275,3 +275,10 @@ def test_gate_in_one_shuffle(spark):
     frames = attempts.select("frame_id").distinct()
     want = A.apply_fallback(attempts.where("stage_index < 2"), attempts.where("stage_index = 2"), frames)
     assert sorted(map(str, A.gate_fallback(attempts).collect())) == sorted(map(str, want.collect()))
+
+
+def test_paths_of_a_manifest(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("HOME", "/home/me")
+    want = {"~": "/home/me", "~/a.jpg": "/home/me/a.jpg", "./b//c/./d.jpg": f"{tmp_path}/b/c/d.jpg", "/x//y.jpg": "/x/y.jpg", "e/../f.jpg": f"{tmp_path}/e/../f.jpg", "~x/g": f"{tmp_path}/~x/g", "h/": f"{tmp_path}/h", ".hid": f"{tmp_path}/.hid"}
+    p = write(tmp_path / "m.json", json.dumps([{"image": k} for k in want]))
+    assert [r.image for r in R.read_manifest(spark, p).orderBy("row_number").collect()] == list(want.values())
