@@ -8,6 +8,8 @@ first, which Spark counts over all documents. Shingles of frequency 1 can match
 2. Representatives with the same prefix and set size make one group. A prefix shingle has a list of groups; of lists with the
    same groups one is kept. Groups of a list are the candidates, filtered by size, by the positions of the shingle and by
    sketches of the sets.
+   Shingles of frequency 1 come first in a set's order and count as sure misses. A large list first loses the entries to which no
+   size and position in the list can be a partner.
 3. Surviving pairs of groups are expanded to members, which are tested by their sketches and then verified on the whole sets.
    The members of a group stand in packets beside it, so they are expanded inside the task and make no rows of their own.
 
@@ -48,7 +50,7 @@ LEADERS = 3
 FIRST = 4
 #: Bits of the smallest sketch, members of one side of a block, members of a packet and of a task, and parts that the pairs of one
 #: set are cut into.
-SKETCH_BITS, BLOCK, PACKET, TASK_ENTRIES, VERIFY_PARTS = 1024, 256, 64, 8192, 32
+SKETCH_BITS, BLOCK, PACKET, TASK_ENTRIES, VERIFY_PARTS = 1024, 1024, 64, 8192, 32
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +159,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, about: int) -> DataF
 
 
 def _compatible(percent: int):
-    """Size and position filter for rows with n, pos and n2, pos2: can the pair still reach the similarity?"""
-    most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) + F.least("pos", "pos2")
+    """Size and position filter for rows with n, pos, lone and n2, pos2, lone2: can the pair still reach the similarity? The lone
+    shingles of a set, those of no other document, come first in its order and match nothing."""
+    most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) + F.least(F.col("pos") - F.col("lone"), F.col("pos2") - F.col("lone2"))
     return most * F.lit(100 + percent) >= F.lit(percent) * (F.col("n") + F.col("n2"))  # most: shingles in common at most
 
 
@@ -178,7 +181,7 @@ def close_pairs(entries: DataFrame, percent: int, first: int | None = None) -> D
     """(a, b) with a < b, of the `first` smallest a for each b in a list (all if None): pairs of members of different groups in
     the same list, or of one group in its own list, that may reach the similarity and are not known to be connected.
 
-    entries: (list long, whole long, gid long, packet int, n long, pos int, comp long, within boolean, docs array<long>,
+    entries: (list long, whole long, gid long, packet int, n long, pos int, lone int, comp long, within boolean, docs array<long>,
     comps array<long>, sketches array<binary>), an entry for each packet of a group's members. comp is the component of the
     group, null for one of several; comps are those of the members. Pairs of groups are filtered by size, position and
     component, and only the members of those that are left by their sketches. `whole` is the number of members in the list: a
@@ -193,7 +196,7 @@ def close_pairs(entries: DataFrame, percent: int, first: int | None = None) -> D
 
     def run(table: pa.Table) -> pa.Table:
         table = table.take(np.lexsort([table.column(c).to_numpy() for c in ("packet", "gid", "list", "h")]))
-        h, lists, gid, n, pos, block = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "list", "gid", "n", "pos", "block"))
+        h, lists, gid, n, pos, lone, block = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "list", "gid", "n", "pos", "lone", "block"))
         mixed, within = np.array(table.column("comp").is_null()), np.array(table.column("within"))
         comp = np.array(table.column("comp").fill_null(0)).astype(np.int64)
         docs, comps, sketches = (pa.compute.list_flatten(table.column(c)) for c in ("docs", "comps", "sketches"))
@@ -215,7 +218,7 @@ def close_pairs(entries: DataFrame, percent: int, first: int | None = None) -> D
         def compare(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """The pairs of members of the groups i and j (each of one width of sketches), which are the same or differ all."""
             both = n[i][:, None] + n[j][None, :]
-            most = np.minimum((n[i] - pos[i])[:, None], (n[j] - pos[j])[None, :]) + np.minimum(pos[i][:, None], pos[j][None, :])
+            most = np.minimum((n[i] - pos[i])[:, None], (n[j] - pos[j])[None, :]) + np.minimum((pos - lone)[i][:, None], (pos - lone)[j][None, :])
             ok = (most * (100 + percent) >= percent * both) & (mixed[i][:, None] | mixed[j][None, :] | (comp[i][:, None] != comp[j][None, :]))
             ok &= (block[i][:, None] < 0) | (block[i][:, None] != block[j][None, :])
             ok &= within[i][:, None] | (gid[i][:, None] != gid[j][None, :])
@@ -253,6 +256,23 @@ def close_pairs(entries: DataFrame, percent: int, first: int | None = None) -> D
     return cut.withColumn("part", F.pmod(F.col("h"), F.lit(parts))).groupBy("part").applyInArrow(run, "a long, b long").distinct()
 
 
+def with_partners(entries: DataFrame, percent: int) -> DataFrame:
+    """Of lists above BLOCK, the entries (list, whole, gid, n, pos, lone, within) that may have a partner in the list by sizes and
+    positions; all entries of other lists.
+
+    An entry is held against the list's sizes, with the largest number of shingles that a group of each size has from the list's
+    shingle on, and before it. So what is compared are the kinds of entries of a list with its sizes, not its entries. A list of
+    texts that share a frame but too little else loses all entries here.
+    """
+    kind = ["list", "n", "pos", "lone"]
+    hot = entries.where(F.col("whole") > BLOCK)
+    kinds = hot.select(*kind).distinct()
+    sizes = kinds.groupBy("list", F.col("n").alias("n2")).agg(F.max(F.col("n") - F.col("pos")).alias("rest2"), F.max(F.col("pos") - F.col("lone")).alias("before2"))
+    most = F.least(F.col("n") - F.col("pos"), F.col("rest2")) + F.least(F.col("pos") - F.col("lone"), F.col("before2"))
+    fit = kinds.join(sizes, "list").where(most * F.lit(100 + percent) >= F.lit(percent) * (F.col("n") + F.col("n2")))
+    return entries.where(F.col("whole") <= BLOCK).unionByName(hot.join(C.stored(fit.select(*kind).distinct()), kind, "left_semi"))
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles long, component_id long): the smallest id reachable by links, for each row of docs."""
     rows = C.stored(documents_with_prefixes(docs, id_col, text_col, size, percent))
@@ -260,20 +280,22 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = C.stored(rows.where("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("position").alias("position"), F.first("sketch").alias("sketch")))
     reps = small.where(F.size("prefix") > 0).select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "prefix", "position", "sketch", F.xxhash64("prefix", F.lit(7)).alias("k1"), F.xxhash64("prefix", F.lit(8)).alias("k2"))
     groups = C.stored(reps.groupBy("n", "k1", "k2").agg(F.min("doc").alias("gid"), F.first("prefix").alias("prefix"), F.first("position").alias("position")))
-    members = C.stored(reps.join(groups.select("n", "k1", "k2", "gid"), ["n", "k1", "k2"]).select("gid", "doc", "n", "sketch"))
+    members = C.stored(reps.join(groups.select("n", "k1", "k2", "gid", F.get("position", F.lit(0)).alias("lone")), ["n", "k1", "k2"]).select("gid", "doc", "n", "lone", "sketch"))
 
     # the lists of groups, one of those that are equal (one token each), with their leaders
-    tokens = groups.select("gid", "n", F.explode(F.arrays_zip("prefix", "position")).alias("x")).select("gid", "n", F.col("x.prefix").alias("token"), F.col("x.position").alias("pos"))
-    leader = lambda k: F.min_by(F.struct("gid", "n", "pos"), F.col("gid") if not k else F.xxhash64("gid", F.lit(k))).alias(f"l{k}")
+    groups = groups.withColumn("lone", F.get("position", F.lit(0)))  # a prefix begins after the lone shingles
+    tokens = groups.select("gid", "n", "lone", F.explode(F.arrays_zip("prefix", "position")).alias("x")).select("gid", "n", "lone", F.col("x.prefix").alias("token"), F.col("x.position").alias("pos"))
+    leader = lambda k: F.min_by(F.struct("gid", "n", "pos", "lone"), F.col("gid") if not k else F.xxhash64("gid", F.lit(k))).alias(f"l{k}")
     lists = tokens.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("s1"), F.bit_xor(F.xxhash64("gid", F.lit(2))).alias("s2"), *[leader(k) for k in range(LEADERS)]).where("c > 1")
     lists = lists.withColumn("leads", F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))).groupBy("c", "s1", "s2").agg(F.min(F.struct("token", "leads")).alias("x"))
     lists = C.stored(lists.select(F.col("x.token").alias("token"), "c", "x.leads"))
     tokens = C.stored(tokens.join(lists, "token"))
 
     # each group with the leaders it shares most lists with, and each member with its group
-    led = tokens.select("gid", "n", "pos", F.posexplode("leads").alias("k", "l")).select("gid", "n", "pos", "k", F.col("l.gid").alias("lead"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"))
+    led = tokens.select("gid", "n", "pos", "lone", F.posexplode("leads").alias("k", "l")).select("gid", "n", "pos", "lone", "k", F.col("l.gid").alias("lead"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"), F.col("l.lone").alias("lone2"))
+    near = ((F.col("n") - F.col("lone")) * F.lit(100 + percent) >= F.lit(2 * percent) * F.col("n"))  # members of one group can be similar at all
     between = led.where("gid <> lead").where(_compatible(percent)).groupBy("lead", "gid", "k").count().groupBy("gid", "k").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
-    pairs = between.select(F.least("lead", "gid").alias("a"), F.greatest("lead", "gid").alias("b")).unionByName(members.where("gid <> doc").select(F.col("gid").alias("a"), F.col("doc").alias("b")))
+    pairs = between.select(F.least("lead", "gid").alias("a"), F.greatest("lead", "gid").alias("b")).unionByName(members.where("gid <> doc").where(near).select(F.col("gid").alias("a"), F.col("doc").alias("b")))
     tried, some = C.stored_with(pairs.distinct(), n=F.count(F.lit(1)))
     found = connected_components(verify(tried, sets, percent, some["n"]))
     for first in (FIRST, None):
@@ -283,12 +305,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         # the lists that are still open, and open groups as lists of their own, with the groups' members in packets
         several = tokens.select("token", "gid").join(held, "gid").groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(F.col("comp").isNull()).alias("mixed"), F.sum("m").alias("whole")).where("low <> high or mixed > 0").select("token", "whole")
-        open_lists = C.stored(tokens.select("token", "gid", "n", "pos").join(C.stored(several), "token").select(F.col("token").alias("list"), "whole", "gid", "n", "pos", F.lit(False).alias("within")))
+        open_lists = C.stored(tokens.select("token", "gid", "n", "pos", "lone").join(C.stored(several), "token").select(F.col("token").alias("list"), "whole", "gid", "n", "pos", "lone", F.lit(False).alias("within")))
         packets = placed.drop("n").join(held.withColumnRenamed("comp", "own"), "gid").withColumn("packet", F.pmod(F.xxhash64("doc", F.lit(5)), F.ceil(F.col("m") / PACKET)).cast("int"))
         packets = packets.groupBy("gid", "packet").agg(F.first("own").alias("comp"), F.collect_list(F.struct("doc", "comp", "sketch")).alias("x"))
         packets = C.stored(packets.select("gid", "packet", "comp", F.col("x.doc").alias("docs"), F.col("x.comp").alias("comps"), F.col("x.sketch").alias("sketches")))
-        alone = held.where("comp is null").join(groups.select("gid", "n"), "gid").select(F.xxhash64("gid", F.lit(6)).alias("list"), F.col("m").alias("whole"), "gid", "n", F.lit(0).alias("pos"), F.lit(True).alias("within"))
-        pairs = close_pairs(open_lists.unionByName(alone).join(packets, "gid"), percent, first).join(tried, ["a", "b"], "left_anti")
+        alone = held.where("comp is null").join(groups.select("gid", "n", "lone"), "gid").select(F.xxhash64("gid", F.lit(6)).alias("list"), F.col("m").alias("whole"), "gid", "n", F.col("lone").alias("pos"), "lone", F.lit(True).alias("within")).where(near)
+        pairs = close_pairs(with_partners(open_lists.unionByName(alone), percent).join(packets, "gid"), percent, first).join(tried, ["a", "b"], "left_anti")
         pairs, some = C.stored_with(pairs, n=F.count(F.lit(1)))
         if not some["n"]:
             continue

@@ -221,3 +221,25 @@ def test_prefix_join_reads_only_id_and_text(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, n_shingles int, token string")
     got = sorted((r.doc_id, r.component_id) for r in jaccard.link_components(df).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (5, 5)]
+
+
+def test_texts_that_share_a_frame_leave_no_candidates(spark, monkeypatch):
+    """Twelve common words and two own ones: no pair reaches the similarity, and no list is cut into pairs of blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    dealt, real = [], jaccard.C.stored_with
+
+    def watch(df, **measures):
+        out = real(df, **measures)
+        if "block" in df.columns:
+            dealt.append(out[1]["n"])
+        return out
+
+    monkeypatch.setattr(jaccard.C, "stored_with", watch)
+    frame = " ".join(f"c{k}" for k in range(12))
+    docs = [(k, f"{frame} x{k} y{k}") for k in range(200)]
+    got = jaccard.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k for k in range(200)}
+    assert max(dealt) < 40  # but for hashes that meet in so small a table; 1,400 were all entries in all pairs of blocks
+    docs += [(300 + k, frame) for k in range(40)]  # this is similar to each of them
+    got = jaccard.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and brute_components(docs)[0][2] == "0"
