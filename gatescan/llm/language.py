@@ -8,7 +8,8 @@ of (distinct bytes + 1)**3 numbers a language (at most 68 MB; a few MB for alpha
 a sum over it. The language of the smallest cost wins; the score is its posterior under equal priors.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; so is everything if there are no training rows. Ties
-go to the language first in order. Bytes unseen in training cost their escapes and the uniform rest. Rows are independent.
+go to the language first in order. Bytes unseen in training cost their escapes and the uniform rest. Rows are independent, repeated
+ones repeat their results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -149,8 +150,11 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, suffix: str = "") -> DataFrame:
-    """The columns in keep (id_col if none), lang_pred string, score double in [0, 1] and bits_per_byte double of each row."""
+    """The columns in keep (id_col if none), lang_pred string, score double in [0, 1] and bits_per_byte double of each row, each with
+    the suffix; with an empty one, underscores are added until no kept column has such a name."""
     keep = keep or [id_col]
+    while not suffix.strip("_") and {c + suffix for c in ("lang_pred", "score", "bits_per_byte")} & set(keep):
+        suffix += "_"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

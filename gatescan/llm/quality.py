@@ -1,8 +1,9 @@
 """Operator 7 [native]: quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Each rule is a yes/no test of one text, an expression of its own. What it costs (seconds over the sample, the least of REPEATS
-runs, less those of the least costly rule) and how many texts it rejects are measured on a bounded sample (SAMPLE_ROWS rows as
-the table gives them, which bears on the order alone). Rules are then tried in the order of rejections per cost.
+Each rule is a yes/no test of one text, an expression of its own. How many texts it rejects, and how long the texts are that it would
+search, is measured on a bounded sample (SAMPLE_ROWS rows as the table gives them, which bears on the order alone); its cost is its
+price for a character times that length. Costs are no times of a clock, so the order is the same whenever the sample is. Rules
+are then tried in the order of rejections per cost.
 The cascade is one CASE expression, of which Spark evaluates a branch only for texts that no rule before it has rejected; rules
 beyond those of the returned statistics work on the text inside their branches, so rejected texts skip their cost. The order
 changes the work and the reported `rejected_by`, never the verdict: a text is kept if no rule rejects it.
@@ -17,14 +18,13 @@ added to it until no column of docs has such a name. Columns that begin with `__
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample on which costs and rejections are measured, and runs of each rule.
-SAMPLE_ROWS, REPEATS = 400, 3
+#: Rows of the sample on which sizes and rejections are measured, and what any test costs, in the unit of Rule.price.
+SAMPLE_ROWS, TEST_COST = 400, 1.0
 WINDOW = 8
 
 
@@ -66,10 +66,12 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects is true for a bad text; it reads the statistics by stat() and the text by the name `__q_text`."""
+    """rejects is true for a bad text; it reads the statistics by stat() and the text by the name `__q_text`. price is what it costs
+    for each character of the text, in readings of one character by a pattern; rules over statistics alone cost none."""
 
     name: str
     rejects: Column
+    price: float = 0.0
 
 
 def stat(name: str) -> Column:
@@ -90,29 +92,18 @@ def rules() -> list[Rule]:
         Rule("symbols", 10 * stat("n_symbols") > stat("word_chars")),
         Rule("duplicate_lines", (stat("n_lines") > 3) & (100 * stat("n_dup_lines") > 50 * stat("n_lines"))),
         Rule("word_length", (stat("word_chars") < 2 * stat("n_words")) | (stat("word_chars") > 20 * stat("n_words"))),
-        Rule("ellipses", (stat("n_lines") > 3) & (100 * found(r"(?:\.\.\.|\u2026)(?=[ \t]*(?:\n|$))") > 30 * stat("n_lines"))),
-        Rule("bullets", (stat("n_lines") > 3) & (100 * found(r"(?:^|\n)[ \t]*[-*\u2022][ \t]") > 90 * stat("n_lines"))),
-        Rule("digits", 100 * found("[0-9]") > 50 * stat("word_chars")),
+        Rule("ellipses", (stat("n_lines") > 3) & (100 * found(r"(?:\.\.\.|\u2026)(?=[ \t]*(?:\n|$))") > 30 * stat("n_lines")), price=1.0),
+        Rule("bullets", (stat("n_lines") > 3) & (100 * found(r"(?:^|\n)[ \t]*[-*\u2022][ \t]") > 90 * stat("n_lines")), price=1.0),
+        Rule("digits", 100 * found("[0-9]") > 50 * stat("word_chars"), price=1.0),
     ]
 
 
 def order_rules(docs: DataFrame, found: list[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) on a bounded sample, by rejections per cost; equal figures keep the given order."""
-    sample = docs.select(F.col(text_col).alias("__q_text")).limit(rows).repartition(1).persist()
-    try:
-        n = max(1, sample.count())
-        measured = []
-        for rule in found:
-            seconds = []
-            for _ in range(REPEATS):  # the first one also compiles
-                began = time.perf_counter()
-                rejected = with_statistics(sample, "__q_text").agg(F.count_if(rule.rejects)).first()[0]
-                seconds.append(time.perf_counter() - began)
-            measured.append((rule, min(seconds), rejected / n))
-        least = min((x[1] for x in measured), default=0.0)
-        return sorted(((r, s - least + 1e-3, share) for r, s, share in measured), key=lambda x: -x[2] / x[1])
-    finally:
-        sample.unpersist()
+    """(rule, cost a text, share rejected) on a bounded sample, by rejections per cost; equal figures keep the given order. One job."""
+    sample = with_statistics(docs.select(F.col(text_col).alias("__q_text")).limit(rows), "__q_text")
+    n, size, *rejected = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("__q_text")), F.lit(0)), *[F.count_if(r.rejects) for r in found]).first()
+    n = max(1, n)
+    return sorted(((r, TEST_COST + r.price * size / n, k / n) for r, k in zip(found, rejected, strict=True)), key=lambda x: -x[2] / x[1])
 
 
 def cascade(ordered: list[Rule]) -> Column:

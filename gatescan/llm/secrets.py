@@ -2,12 +2,13 @@
 
 Base spans come from three plain patterns (kinds assign, access and hex). The method adds spans of kind entropy: candidate
 strings are maximal runs of characters that keys are made of; over each, a window of fixed size slides, its entropy kept up by
-counts that change by one character a step. Windows above the threshold of their character class are merged. Allow-listed
-path segments (identifiers of known harmless shape, placeholders), paths of short segments and spans that lie within a base span
-are suppressed. Strings of letters alone are judged by their entropy like all others.
+counts that change by one character a step. Windows above the threshold of their character class are merged. Windows that touch
+a mark of the allow-list (placeholders, identifiers of known harmless shape), paths of short plain segments and spans that lie
+within a base span are suppressed. Strings of letters alone are judged by their entropy like all others.
 
 Candidates are found for a whole block of texts at once, so texts without any cost little. Spans are (kind, start, end) in
-code points, end exclusive. Defined cases: null text is empty and has no spans; a null id stays; rows are independent.
+code points, end exclusive. Defined cases: null text is empty and has no spans; a null id stays; rows are independent, repeated
+ones repeat their spans; an empty table gives an empty result; other columns are not read by scan() and stay in redact_secrets().
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 #: Characters of a sliding window, and the entropy in bits that a window of each class needs.
 WINDOW = 20
 THRESHOLDS = {"hex": 3.0, "digit": math.inf, "alpha": 4.1, "mixed": 3.7}
-#: Path segments that are harmless in whole, and paths of short lower-case segments.
+#: Marks of harmless strings: placeholders and identifiers of version 1 to 5 form. A window that touches one is no secret.
 _MARKS = re.compile(rb"EXAMPLE|example|placeholder|xxxx|XXXX|0123456789|abcdefgh|ABCDEFGH|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-_UUID = re.compile(rb"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-_PLACEHOLDER = re.compile(rb"EXAMPLE|example|placeholder|xxxx|XXXX|0123456789|abcdefgh|ABCDEFGH")
-_PATH = re.compile(rb"(?:https?)?/{0,2}[a-z0-9_-]{1,15}(?:/[a-z0-9_-]{0,15})+")
+#: Harmless paths: short segments that are a number, or up to three names with a number behind each.
+_SEGMENT = rb"(?=[a-z0-9_-]{0,20}(?:/|\Z))(?:(?:[a-z_-]+[0-9]{0,4}){0,3}|[0-9]{1,8})"
+_PATH = re.compile(rb"(?:https?)?/{0,2}" + _SEGMENT + rb"(?:/" + _SEGMENT + rb")+")
 
 
 def _class_table(chars: bytes) -> np.ndarray:
@@ -95,18 +96,10 @@ def entropy_spans(s: bytes) -> list[tuple[int, int]]:
 
 
 def _suspicious(s: bytes) -> list[tuple[int, bytes]]:
-    """Where the parts of a candidate string begin that no allow-listed path segment covers, and the parts."""
-    if not _MARKS.search(s):
-        return [] if _PATH.fullmatch(s) else [(0, s)]
-    out, begin, at = [], 0, 0
-    for segment in [*s.split(b"/"), None]:
-        if segment is None or _UUID.fullmatch(segment) or _PLACEHOLDER.search(segment):
-            part = s[begin:at]
-            if len(part) >= WINDOW and not _PATH.fullmatch(part):
-                out.append((begin, part))
-            begin = at + len(segment or b"") + 1
-        at += len(segment or b"") + 1
-    return out
+    """The parts of a candidate string that lie between marks, with their places; none of a harmless path."""
+    cuts = [(m.start(), m.end()) for m in _MARKS.finditer(s)]
+    parts = [(a, s[a:b]) for a, b in zip([0, *(e for _, e in cuts)], [*(b for b, _ in cuts), len(s)], strict=True)]
+    return [(a, part) for a, part in parts if len(part) >= WINDOW and not _PATH.fullmatch(part)]
 
 
 def scan_block(texts: list[bytes]) -> list[list[tuple[int, str, int]]]:

@@ -10,7 +10,8 @@ Bits grow with the largest label and tables with the bits, so that a pair at the
 The random planes come from a fixed seed and the dimension.
 
 Defined cases: a null label, a null vector, null or non-finite components or a zero vector links with nothing; rows with the
-same id are counted as separate vectors of one node; a null id never links; ties don't occur. Other columns are not read.
+same id are counted as separate vectors of one node; a null id never links; ties don't occur. Entries other than float are taken as
+double. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,8 +50,10 @@ def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _take(flat: tuple[np.ndarray, np.ndarray], at: np.ndarray, dim: int) -> np.ndarray:
-    """The lists at these places, all of length dim, as a matrix."""
-    return flat[0][flat[1][at][:, None] + np.arange(dim)]
+    """The lists at these places, all of length dim, as a matrix, each scaled by a power of two to entries below 1: directions stay
+    exactly the same, and squares neither overflow nor vanish."""
+    v = flat[0][flat[1][at][:, None] + np.arange(dim)]
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0.0))[1][:, None])
 
 
 def _signatures(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -73,7 +76,7 @@ def _signatures(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
                     lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * tables, own_sigs).take(pa.array(rep - at))
                     yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(np.full(n * tables, dim, dtype=np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(own_sigs), lists, own.column(3)], ["id", "copies", "label", "dim", "tab", "sig", "sigs", "vector"])
 
-    return vectors.select("id", "copies", "label", "vector").mapInArrow(run, f"id long, copies long, label {vectors.schema['label'].dataType.simpleString()}, dim int, tab int, sig int, sigs array<int>, vector array<float>")
+    return vectors.select("id", "copies", "label", "vector").mapInArrow(run, f"id long, copies long, label {vectors.schema['label'].dataType.simpleString()}, dim int, tab int, sig int, sigs array<int>, vector {vectors.schema['vector'].dataType.simpleString()}")
 
 
 def _compare(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, sigs: np.ndarray, unit: np.ndarray, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -130,11 +133,13 @@ def _links(rows: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """id_col, n_links long, component_id long, kept boolean for each row of vectors."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf))
-    v = F.col(vector_col).cast("array<float>")
+    own = vectors.schema[vector_col].dataType.simpleString()
+    v = F.col(vector_col).cast(own if own == "array<float>" else "array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("vector"))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0)
+    x_type = rows.schema["vector"].dataType.elementType
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    keys = [F.when(F.col("ok"), F.xxhash64(F.lit(k), "label", F.transform("vector", lambda x: x + F.lit(0).cast("float")))).alias(f"g{k}") for k in (1, 2)]
+    keys = [F.when(F.col("ok"), F.xxhash64(F.lit(k), "label", F.transform("vector", lambda x: x + F.lit(0).cast(x_type)))).alias(f"g{k}") for k in (1, 2)]
     rows = checkpoint(rows.select("*", *keys))
     distinct = checkpoint(rows.where("ok").groupBy("g1", "g2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")))
     sizes = distinct.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()

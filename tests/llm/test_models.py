@@ -245,7 +245,7 @@ def test_quality_own_rules_and_clashing_names(spark):
     rows = [(k, t, 1, "x", True) for k, t in enumerate([*texts, texts[0]])]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, rejected_by string, kept boolean")
     got = {r.doc_id: (r.rejected_by_, r.kept_, r.n_words, r.n_words_) for r in quality.judge(df).collect()}
-    assert {k: v[0] for k, v in got.items()} == {0: None, 1: "ellipses", 2: "bullets", 3: "digits", 4: "word_length", 5: None} and got[0] == got[5] == (None, True, 1, 40)
+    assert {k: v[0] for k, v in got.items()} == {0: None, 1: "ellipses", 2: "bullets", 3: "digits", 4: "repeated_words", 5: None} and got[0] == got[5] == (None, True, 1, 40)
 
 
 def test_quality_is_native(spark):
@@ -328,7 +328,183 @@ def test_pipeline_without_languages_keeps_lettered_documents(spark):
 def test_allowed_parts_do_not_hide_keys():
     letters = "QwErTyUiOpAsDfGhJkLzXcVbNmqWeRtY"
     low = "k3j9x2m7q8w1z5v4b6n0p2r8t3y7u1a5s9d4f6g2"
-    for text in (letters, f"{low}/", f"{low}/v1", f"/example/{low}", f"{low}/example/x"):
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefghijkmnpqrstuvwyzABCDEFGHJKLMN23456789") for _ in range(2000))
+    for text in (letters, f"{low}/", f"{low}/v1", f"/example/{low}", f"{low}/example/x", f"{low}example", "6ovps1r2i4v8l7/72de019sdpyyne/x6nd95h1y9xa"):
         assert any(kind == "entropy" for _, kind, _ in secrets.scan_block([text.encode()])[0]), text
-    for text in ("api/v1/users/list/all/items", "123e4567-e89b-12d3-a456-426614174000", "get_user_account_name_and_address", f"{low}example"):
+    for text in ("api/v1/users/list/all/items", "123e4567-e89b-12d3-a456-426614174000", "get_user_account_name_and_address", "usr/lib/x86_64-linux-gnu/python3", "example" * 8, "2024/01/15/12345678/item-7"):
         assert not any(kind == "entropy" for _, kind, _ in secrets.scan_block([text.encode()])[0]), text
+    assert secrets.scan_block([long.encode()])[0] == [(0, "entropy", 2000)]
+    marked = f"{long[:1000]}xxxx{long[1000:]}".encode()
+    assert secrets.scan_block([marked])[0] == [(0, "entropy", 1000), (1004, "entropy", 2004)]
+
+
+def brute_spans(t):
+    """Spans of a text of ASCII, window by window."""
+    base = [(m.start(), 0, m.end()) for m in re.finditer(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 12]
+    base += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 18]
+    base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if m.end() - m.start() >= 16]
+    out, size = list(base), secrets.WINDOW
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t):
+        marks = [x.span() for x in secrets._MARKS.finditer(m[0].encode())]
+        begins, ends = [0, *(e for _, e in marks)], [*(b for b, _ in marks), len(m[0])]
+        for a, e in zip(begins, ends, strict=True):
+            if secrets._PATH.fullmatch(m[0][a:e].encode()):
+                continue
+            high = []
+            for k in range(a, e - size + 1):
+                w = m[0][k : k + size]
+                digits = sum(c.isdigit() for c in w)
+                kind = "digit" if digits == size else "hex" if digits and all(c in "0123456789abcdef" for c in w) else "mixed" if digits else "alpha"
+                if entropy(w) >= secrets.THRESHOLDS[kind] - 1e-12:
+                    high.append(k)
+            spans = []
+            for k in high:
+                if spans and k <= spans[-1][1]:
+                    spans[-1][1] = k + size
+                else:
+                    spans.append([k, k + size])
+            out += [(m.start() + x, 3, m.start() + y) for x, y in spans if not any(p <= m.start() + x and m.start() + y <= q for p, _, q in base)]
+    return sorted(out)
+
+
+def test_spans_equal_each_window(spark):
+    rng = random.Random(12)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "0123456789", "abc/", "AKI"]
+    texts = []
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            parts.append("".join(rng.choice(rng.choice(alphabets) if rng.random() < 0.2 else alphabets[rng.randrange(6)]) for _ in range(rng.randrange(70))))
+            parts.append(rng.choice([" ", "/", "xxxx", "example", " token=", " AKIA", "123e4567-e89b-12d3-a456-426614174000", "\n"]))
+        texts.append("".join(parts))
+    rows = [(k, t, 1, 2) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, spans int, kind int")
+    got = [(r.doc_id, [(s.start, secrets.KINDS.index(s.kind), s.end) for s in r.spans]) for r in secrets.scan(df).collect()]
+    assert len(got) == 305 and all(spans == brute_spans(texts[k]) for k, spans in got)
+    assert secrets.scan(df.where("false")).count() == 0 and secrets.redact_secrets(df).columns == df.columns
+
+
+class SlowCoder:
+    """Prediction by partial matching of one language, a symbol at a time, with exclusion and escapes of method C."""
+
+    def __init__(self, texts, known, order=2):
+        """known: all bytes of all languages; others stand for the text's start in a context."""
+        self.order, self.known, self.seen = order, known, Counter()
+        for t in texts:
+            for k in range(len(t)):
+                for n in range(order + 1):
+                    self.seen[self.context(t, k, n), t[k]] += 1
+        self.after = {}
+        for (context, symbol), n in self.seen.items():
+            self.after.setdefault(context, {})[symbol] = n
+
+    def context(self, t, k, n):
+        return tuple(t[j] if j >= 0 and t[j] in self.known else 256 for j in range(k - n, k))
+
+    def bits(self, t, alphabet=256):
+        total = 0.0
+        for k, symbol in enumerate(t):
+            gone = set()
+            for n in range(self.order, -1, -1):
+                left = {s: c for s, c in self.after.get(self.context(t, k, n), {}).items() if s not in gone}
+                if not left:
+                    continue
+                whole = sum(left.values()) + len(left)
+                if symbol in left:
+                    total += math.log2(whole / left[symbol])
+                    break
+                total += math.log2(whole / len(left))
+                gone |= set(left)
+            else:
+                total += math.log2(max(1, alphabet - len(self.after.get((), {}))))
+        return total
+
+
+def test_code_lengths_equal_a_slow_coder(spark):
+    rng = random.Random(13)
+    rows = [(k, "".join(rng.choice("abé " if k % 2 else "abcd") for _ in range(rng.randrange(1, 30))), "xy"[k % 2]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    known = {b for _, t, _ in rows for b in t.encode()}
+    coders = {lang: SlowCoder([t.encode() for _, t, x in rows if x == lang], known) for lang in "xy"}
+    texts = [t.encode() for _, t, _ in rows[:10]] + [b"", b"a", b"zz", "éa日".encode(), b"abcd" * 500]
+    costs = model.costs(texts)
+    for k, t in enumerate(texts):
+        assert costs[k].tolist() == pytest.approx([coders[lang].bits(t) for lang in model.languages], rel=1e-5)
+
+
+def test_language_names_that_clash(spark):
+    rows = [(1, "kala moro", "aa", 5, 0.5), (1, "kala moro", "aa", 5, 0.5), (2, "xylph " * 100_000, "bb", 6, 0.25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred int, score double")
+    got = language.predict(df, language.train(df), keep=["doc_id", "lang_pred", "score"]).collect()
+    assert sorted((r.doc_id, r.lang_pred, r.lang_pred_, r.score) for r in got) == [(1, 5, "aa", 0.5), (1, 5, "aa", 0.5), (2, 6, "bb", 0.25)]
+
+
+def slow_bits(text, tree, tables, bits):
+    """Context mixing of one text, a bit at a time; the contexts' hashes are those of the module."""
+    own = [h.astype(int).tolist() for h in mixing.contexts([text], bits)[2]]
+    weights = [list(mixing.FIRST_WEIGHTS) for _ in range(mixing.GATES)]
+    total, low, ends = 0.0, 0, [*mixing.BLOCK_ENDS]
+    while low < len(text):
+        high = min(len(text), ends.pop(0) if ends else low + mixing.LAST_BLOCK)
+        gradient, energy = [[0.0] * 4 for _ in weights], [0.0] * len(weights)
+        for k in range(low, high):
+            for d in range(int(tree.depth[text[k]])):
+                gate, sign = min(d, mixing.GATES - 1), 2 * int(tree.bit[d, text[k]]) - 1
+                odds = [int(tables[j][(own[j][k] + int(tree.node[d, text[k]])) % (1 << bits)]) for j in range(4)]
+                p = 1 / (1 + math.exp(-sign * mixing.STEP * sum(w * o for w, o in zip(weights[gate], odds, strict=True))))
+                total -= math.log2(p)
+                for j in range(4):
+                    gradient[gate][j] += (1 - p) * sign * odds[j]
+                energy[gate] += p * (1 - p) * (odds[1] ** 2 + odds[3] ** 2)
+        for g, row in enumerate(weights):
+            for j in range(4):
+                row[j] += mixing.RATE * gradient[g][j] * mixing.STEP / (energy[g] * mixing.STEP**2 + 8)
+        low = high
+    return total
+
+
+def test_context_mixing_scores_equal_single_bits():
+    rng = random.Random(14)
+    vocabulary = ["the", "cat", "sat", "mat", "on", "a", "longerword"]
+    texts = [mixing.normal_form(" ".join(rng.choice(vocabulary) for _ in range(n)).encode()) for n in (0, 1, 5, 40, 300, 1200)]
+    bits = mixing.LEAST_TABLE_BITS
+    tree = mixing.CodeTree(np.bincount(np.frombuffer(b"".join(texts), dtype=np.uint8), minlength=256))
+    counts = [np.zeros(2 << bits, dtype=np.uint32) for _ in range(mixing.PREDICTORS)]
+    mixing.count_bits(texts[:5], tree, counts, bits)
+    tables = [mixing.log_odds(c[: 1 << bits], c[1 << bits :]) for c in counts]
+    got = mixing.code_bits(texts, tree, tables, bits)
+    assert got.tolist() == pytest.approx([slow_bits(t, tree, tables, bits) for t in texts], rel=1e-4)
+
+
+def test_context_mixing_of_null_ids_and_repeated_rows(spark):
+    rows = [(None, "red green blue"), (None, None), (5, "red red"), (5, "red red")]
+    got = mixing.score(spark.createDataFrame([(*r, 1.5) for r in rows], "doc_id long, text string, base_score double")).collect()
+    assert len(got) == 4 and len({(r.n_tokens, r.score) for r in got if r.doc_id == 5}) == 1
+    assert {r.held_out for r in got if r.doc_id is None} == {zlib.crc32(b"") % 7 == 2}
+
+
+def test_vectors_in_double_precision(spark):
+    rows = [(1, [1e300, 2e300], 0, 9), (2, [1e300, 2e300], 0, 9), (3, [1e-200, 2e-200], 0, 9), (4, [2e300, -1e300], 0, 9), (4, [2e300, -1e300], 0, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (4, 1, 4)]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard int, lang_pred string"
+    rng = random.Random(15)
+    prose = " ".join(rng.choice([f"wort{j}" for j in range(500)]) for _ in range(40))
+    rows = [(1, prose, "en", None, 1, 2, "x"), (1, prose, "en", None, 1, 2, "x"), (2, prose + " more", "en", "s", 1, 2, "x"), (None, "no id", None, None, None, None, None), (3, None, "en", "s", 0, 1, "y"), (4, "", "en", "s", 0, 1, "y"), (5, "w" * 300_000 + " end", "en", "s", 1, 1, "y")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    ends = [r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/a").where("start = 0").collect()]
+    assert sorted(ends, key=str) == [1, 1, 5, None]
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_urls_of_repeated_rows_and_other_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.net/es/x", "r"), (1, "http://a.net/es/x", "r"), (None, None, None)], "page_id long, url string, rule string")
+    got = sorted(((r.page_id, r.host, r.rule, r.verdict) for r in urls.judge_urls(df, ALLOW_RULES, BLOCK_RULES).collect()), key=str)
+    assert got == [(1, "a.net", "net/es/", "block")] * 2 + [(None, "", None, "allow")]
