@@ -85,8 +85,9 @@ def from_ipc(data: bytes) -> pa.Table:
         return r.read_all()
 
 
-def pack(docs: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk_id long, n_rows long, n_bytes long, payload binary): all rows and columns of docs in compressed blocks."""
+def pack(docs: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES, prepare: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """(chunk_id long, n_rows long, n_bytes long, payload binary): all rows and columns of docs in compressed blocks, as prepare()
+    makes them of docs' own."""
     n_text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +101,7 @@ def pack(docs: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> Data
         for b in batches:
             if not b.num_rows:
                 continue
+            b = prepare(b) if prepare else b
             lengths = np.array(pa.compute.fill_null(pa.compute.binary_length(b.column(n_text)), 0), dtype=np.int64) + 16
             part = (np.cumsum(lengths) + size) // chunk_bytes
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]

@@ -71,6 +71,11 @@ class CodeTree:
         self.sign = (2 * self.bit - 1).astype(np.float32)
 
 
+    def cells(self, bits: int) -> np.ndarray:
+        """What each branch changes in the number of a context's cell."""
+        return self.node >> _U32(32 - bits)
+
+
 def normal_form(text: bytes) -> bytes:
     return b" ".join(text.lower().split()) + b"\n"
 
@@ -109,7 +114,7 @@ def count_bits(texts: list[bytes], tree: CodeTree, counts: list[np.ndarray], bit
     """Adds the bits of the texts to counts[predictor][cell + 2**bits * bit]. Equal (context, byte) pairs are counted first, by
     sorting, and each distinct pair then goes down the tree once."""
     data, _, own = contexts(texts, bits)
-    mask = _U32((1 << bits) - 1)
+    cells = tree.cells(bits) | tree.bit.astype(_U32) << _U32(bits)
     for k in range(PREDICTORS):
         pair = np.sort(own[k] << _U32(8) | data if bits <= 24 else own[k].astype(np.uint64) << np.uint64(8) | data)
         starts = group_starts(pair)
@@ -118,11 +123,10 @@ def count_bits(texts: list[bytes], tree: CodeTree, counts: list[np.ndarray], bit
         sym, context = (pair & 255).astype(np.uint8), (pair >> 8).astype(_U32)
         depth = tree.depth[sym]
         for d in range(int(depth.max()) if len(sym) else 0):
-            if d:
-                use = np.flatnonzero(depth > d)
+            use = np.flatnonzero(depth > d)
+            if len(use) < len(sym):
                 depth, sym, context, times = depth[use], sym[use], context[use], times[use]
-            bit = tree.bit[d].take(sym).astype(_U32) << _U32(bits)
-            np.add.at(counts[k], ((context + tree.node[d].take(sym)) & mask | bit).astype(np.int64), times)
+            np.add.at(counts[k], (context ^ cells[d].take(sym)).astype(np.int64), times)
 
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -135,7 +139,7 @@ def code_bits(texts: list[bytes], tree: CodeTree, tables: list[np.ndarray], bits
     data, begins, hashes = contexts(texts, bits)
     hashes = [h.astype(np.int64) for h in hashes]
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    mask = (1 << bits) - 1
+    cells = tree.cells(bits).astype(np.int64)
     weights = np.tile(np.array(FIRST_WEIGHTS, dtype=np.float32), (len(texts), GATES, 1))
     total = np.zeros(len(texts))
     low, block = 0, 0
@@ -153,13 +157,13 @@ def code_bits(texts: list[bytes], tree: CodeTree, tables: list[np.ndarray], bits
         gradient = np.zeros((len(docs), GATES, PREDICTORS), dtype=np.float32)
         energy = np.zeros((len(docs), GATES, 1), dtype=np.float32)
         for d in range(int(depth.max())):
-            if d:
-                use = np.flatnonzero(depth > d)
+            use = np.flatnonzero(depth > d)
+            if len(use) < len(sym):
                 sym, owner, depth = sym[use], owner[use], depth[use]
                 own = [h[use] for h in own]
             gate = min(d, GATES - 1)
-            node, sign = tree.node[d].astype(np.int64).take(sym), tree.sign[d].take(sym)
-            odds = [tables[k].take((own[k] + node) & mask, mode="clip").astype(np.float32) for k in range(PREDICTORS)]
+            node, sign = cells[d].take(sym), tree.sign[d].take(sym)
+            odds = [tables[k].take(own[k] ^ node, mode="clip").astype(np.float32) for k in range(PREDICTORS)]
             starts = group_starts(owner)
             present = owner[starts]
             w = weights[docs[present], gate] * np.float32(STEP)
@@ -181,9 +185,15 @@ def code_bits(texts: list[bytes], tree: CodeTree, tables: list[np.ndarray], bits
         low, block = high, block + 1
 
 
+def _normal(b: pa.RecordBatch) -> pa.RecordBatch:
+    """A block of rows with its texts in normal form, once for all passes."""
+    n = b.schema.get_field_index("t")
+    return b.set_column(n, "t", pa.array([normal_form(t) for t in raw_texts(b.column(n))], pa.binary()))
+
+
 def _training(rows: pa.Table) -> list[bytes]:
     train = np.array(rows.column("train").combine_chunks())
-    return [normal_form(t) for t, use in zip(raw_texts(rows.column("t").combine_chunks()), train.tolist(), strict=True) if use]
+    return [t for t, use in zip(raw_texts(rows.column("t").combine_chunks()), train.tolist(), strict=True) if use]
 
 
 def _sliced(texts: list[bytes], most: int = 1 << 20):
@@ -248,12 +258,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), n_bytes, bits_per_byte for every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col, parts, part).alias("held"), F.col(text_col).alias("t")).withColumn("train", ~F.col("held"))
-    chunks = C.checkpoint(C.pack(rows, "t"))
+    chunks = C.checkpoint(C.pack(rows, "t", prepare=_normal))
     size = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
     bits = min(TABLE_BITS, max(LEAST_TABLE_BITS, math.ceil(math.log2(max(1, size[0]))) - 6))
 
     def tokens(table: pa.Table):
-        words = find_words([t.lower() for t in raw_texts(table.column("t").combine_chunks())])
+        words = find_words(raw_texts(table.column("t").combine_chunks()))
         keys, number = np.unique(words.hashes, return_inverse=True)
         train = np.array(table.column("train").combine_chunks())
         owner = words.owner()
@@ -268,7 +278,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
 
     answers = C.checkpoint(C.answer(C.scatter(chunks, keys_of, C.bucket_bits(size[0])), judge, tally=lambda count, starts: (int((np.add.reduceat(count, starts) > 0).sum()), int(count.sum()))))
     distinct, running = answers.agg(F.coalesce(F.sum("tally.a"), F.lit(0)), F.coalesce(F.sum("tally.b"), F.lit(0))).first()
-    ends = chunks.select("payload").mapInArrow(C.each_payload(lambda t: {"n": [int(np.array(t.column("train").combine_chunks()).sum())]}, pa.schema([("n", pa.int64())])), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ends = rows.agg(F.count_if("train")).first()[0]
     total, vocabulary = running + ends, distinct + (1 if ends else 0)
     tree = CodeTree(byte_counts(chunks))
     model = docs.sparkSession.sparkContext.broadcast((tree, train_tables(chunks, tree, bits)))
@@ -280,7 +290,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
         n_known = np.bincount(owner, weights=c > 0, minlength=len(n_tokens)).astype(np.int64) + (1 if ends else 0)
         base = np.bincount(owner, weights=np.log10(c + 1), minlength=len(n_tokens)) + math.log10(ends + 1) - n_tokens * math.log10(total + vocabulary + 1)
         own_tree, tables = model.value
-        texts = [normal_form(t) for t in raw_texts(table.column("t").combine_chunks())]
+        texts = raw_texts(table.column("t").combine_chunks())
         length = np.array([len(t) for t in texts])
         coded = np.concatenate([code_bits(part, own_tree, tables, bits) for part in _sliced(texts)])
         return pa.table({

@@ -125,7 +125,7 @@ def test_counts_equal_those_of_single_bits():
     for at, byte in enumerate(data.tolist()):
         for d in range(int(tree.depth[byte])):
             for k in range(mixing.PREDICTORS):
-                want[k][(int(own[k][at]) + int(tree.node[d, byte])) % (1 << bits) + (int(tree.bit[d, byte]) << bits)] += 1
+                want[k][(int(own[k][at]) ^ int(tree.cells(bits)[d, byte])) + (int(tree.bit[d, byte]) << bits)] += 1
     assert all((a == b).all() for a, b in zip(counts, want, strict=True))
     assert len({int(own[3][k]) for k in (5, 9, 13)}) > 1  # words of other beginnings have other contexts
     word = [k for k in range(len(data)) if bytes(data[k : k + 12]) == b"verylongword"]
@@ -452,7 +452,7 @@ def slow_bits(text, tree, tables, bits):
         for k in range(low, high):
             for d in range(int(tree.depth[text[k]])):
                 gate, sign = min(d, mixing.GATES - 1), 2 * int(tree.bit[d, text[k]]) - 1
-                odds = [int(tables[j][(own[j][k] + int(tree.node[d, text[k]])) % (1 << bits)]) for j in range(4)]
+                odds = [int(tables[j][own[j][k] ^ int(tree.cells(bits)[d, text[k]])]) for j in range(4)]
                 p = 1 / (1 + math.exp(-sign * mixing.STEP * sum(w * o for w, o in zip(weights[gate], odds, strict=True))))
                 total -= math.log2(p)
                 for j in range(4):
