@@ -14,6 +14,7 @@ entry a chunk, however often it occurs, so no key makes a large group.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import tempfile
@@ -73,6 +74,14 @@ def checkpoint_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]
     return checkpoint(df.observe(seen, *[c.alias(k) for k, c in measures.items()])), seen.get
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the system. Workers live on through later stages, several to an executor, and would
+    else each keep the most that any of their groups has needed."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C_LIBRARY := ctypes.CDLL(None), "malloc_trim"):
+        _C_LIBRARY.malloc_trim(0)
+
+
 def to_ipc(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -85,7 +94,7 @@ def from_ipc(data: bytes) -> pa.Table:
         return r.read_all()
 
 
-def pack(docs: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES, prepare: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+def pack(docs: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES, *, prepare: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
     """(chunk_id long, n_rows long, n_bytes long, payload binary): all rows and columns of docs in compressed blocks, as prepare()
     makes them of docs' own."""
     n_text = docs.columns.index(text_col)
@@ -147,6 +156,8 @@ def scatter(chunks: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, n
                     ],
                     ["bucket", "chunk_id", "base", "n", "keys", "extra"],
                 )
+                del keys, values, extra, rows
+                give_back()
 
     return chunks.select("chunk_id", "payload").mapInArrow(run, "bucket int, chunk_id long, base long, n int, keys binary, extra binary")
 
@@ -184,6 +195,8 @@ def answer(sent: DataFrame, judge: Callable[[np.ndarray, np.ndarray], np.ndarray
         about = [None] * len(packed)
         if tally:
             about[0] = dict(zip("ab", tally(sent_values[order], starts), strict=True))
+        del keys, extra, sent_values, order, values
+        give_back()
         return pa.table({"chunk_id": table.column("chunk_id"), "bucket": table.column("bucket"), "n": table.column("n"), "answer": pa.array(packed, pa.binary()), "tally": pa.array(about, pa.struct([("a", pa.int64()), ("b", pa.int64())]))})
 
     return sent.groupBy("bucket").applyInArrow(run, "chunk_id long, bucket int, n int, answer binary, tally struct<a:bigint,b:bigint>")
@@ -195,6 +208,8 @@ def gather(chunks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, np
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = sorted(zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column("answer").to_pylist(), strict=True))
         values = np.concatenate([unpack_ints(d, k) for _, k, d in rows]) if rows else np.empty(0, dtype=np.uint64)
-        return finish(from_ipc(left.column("payload")[0].as_py()), values)
+        out = finish(from_ipc(left.column("payload")[0].as_py()), values)
+        give_back()
+        return out
 
     return chunks.select("chunk_id", "payload").groupBy("chunk_id").cogroup(answers.select("chunk_id", "bucket", "n", "answer").groupBy("chunk_id")).applyInArrow(run, schema)

@@ -50,7 +50,7 @@ LEADERS = 3
 FIRST = 4
 #: Bits of the smallest sketch, members of one side of a block, members of a packet and of a task, and parts that the pairs of one
 #: set are cut into.
-SKETCH_BITS, BLOCK, PACKET, TASK_ENTRIES, VERIFY_PARTS = 1024, 1024, 64, 8192, 32
+SKETCH_BITS, BLOCK, PACKET, TASK_ENTRIES, VERIFY_PARTS = 1024, 512, 64, 8192, 32
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +153,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, about: int) -> DataF
             joined = np.sort(np.concatenate((x, y)))
             common = int((joined[1:] == joined[:-1]).sum())
             keep.append(100 * common >= percent * (len(x) + len(y) - common))
+        C.give_back()
         return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return by_b.groupBy("part").cogroup(by_a.groupBy("part")).applyInArrow(run, "a long, b long")
@@ -251,7 +252,10 @@ def close_pairs(entries: DataFrame, percent: int, first: int | None = None) -> D
         x, y = x[order], y[order]
         new = np.ones(len(x), dtype=bool)
         new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        return pa.table({"a": x[new], "b": y[new]})
+        out = pa.table({"a": x[new], "b": y[new]})
+        del found, sketches, docs, comps
+        C.give_back()
+        return out
 
     return cut.withColumn("part", F.pmod(F.col("h"), F.lit(parts))).groupBy("part").applyInArrow(run, "a long, b long").distinct()
 
