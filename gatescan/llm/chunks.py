@@ -14,6 +14,7 @@ entry a chunk, however often it occurs, so no key makes a large group.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import math
 import re
@@ -54,10 +55,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: The tables stored in each open scope of temporary_tables().
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored within go at its end. What is used afterwards must be checkpointed, or computed anew, by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for name in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """checkpoint() as a Parquet table in the same folder: later reads take only the columns they need, and plans of many
     rounds don't inherit each other's constraints, which makes planning slow."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

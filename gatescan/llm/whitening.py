@@ -4,7 +4,7 @@ The covariance is gathered in Spark: a first pass sums each dimension, a second
 with one another, block by block. Entries are integers, x = floor(1024 c) + 100000, and are centred by the nearest integer to their
 mean before multiplying; products of a block stay below 2^53, so its matrix is exact, and sums travel as two 64-bit integers. What is
 left of the mean is taken off exactly afterwards, so the covariance doesn't depend on how the rows lie over tasks or on tasks that
-run twice. (Entries further than 2^26 from the mean are rounded in their products, to double precision.)
+run twice. (If entries reach 2^25, all are scaled by a power of two, and products are rounded to double precision.)
 
 The matrix, of the size of one vector squared whatever the corpus, is solved on the driver: eigenvectors in float32, then iterations
 of Ogita and Aishima, which are matrix multiplications, in float64. Eigenvalues that lie closer than the iteration can tell apart are
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from gatescan.llm.sums import collected
 
 SCALE, SHIFT, COMPONENTS = 1024, 100_000, 8
-#: Largest rows of a block, and the part of a 64-bit sum that travels on its own.
-BLOCK, LOW = 4096, 1 << 26
+#: Most rows of a block, the part of a sum that travels in an integer of its own, and its bits behind the point.
+BLOCK, LOW, POINT = 4096, 1 << 26, 10
+#: Eigenvalues nearer than this part of the largest are a cluster: products in float64 can't tell their vectors apart well enough.
+NEAR = 1e-7
 #: A component whose eigenvalue is at most this part of the largest has no variance.
 NO_VARIANCE = 1e-12
 
@@ -91,13 +93,14 @@ def _gathered(rows: DataFrame, parts_of) -> DataFrame:
 
 
 def _two(exact: np.ndarray) -> np.ndarray:
-    """Whole numbers in float64 as two int64 vectors behind one another: multiples of LOW, and the rest."""
+    """Numbers in float64 as two int64 vectors behind one another: multiples of LOW, and the rest in units of 2^-POINT."""
     high = np.floor(exact / LOW)
-    return np.concatenate([high.ravel(), (exact - high * LOW).ravel()]).astype(np.int64)
+    return np.concatenate([high.ravel(), np.rint((exact - high * LOW) * (1 << POINT)).ravel()]).astype(np.int64)
 
 
-def covariance(rows: DataFrame, dim: int) -> tuple[int, list[int], np.ndarray]:
-    """(n, S, V): V is exact but for its last rounding."""
+def covariance(rows: DataFrame, dim: int, largest: float = 0.0) -> tuple[int, list[int], np.ndarray]:
+    """(n, S, V) of rows whose entries c are at most `largest`: V is exact but for its last rounding, if they are below 2^15."""
+    shift = max(0, math.ceil(math.log2(2 * largest * SCALE + 2)) - 26)
 
     def sums(blocks) -> dict:
         n, high, low = 0, np.zeros(dim, dtype=np.int64), np.zeros(dim, dtype=np.int64)
@@ -114,9 +117,9 @@ def covariance(rows: DataFrame, dim: int) -> tuple[int, list[int], np.ndarray]:
     def products(blocks) -> dict:
         total = None
         for x in blocks:
-            y = (x - whole).astype(np.float64)
-            largest = float(np.abs(y).max(initial=0.0))
-            step = int(min(BLOCK, max(1, (1 << 53) // max(1.0, largest * largest))))
+            y = np.ldexp((x - whole).astype(np.float64), -shift)
+            most = float(np.abs(y).max(initial=0.0))
+            step = int(min(BLOCK, max(1, (1 << 53) // max(1.0, most * most))))
             for at in range(0, len(y), step):
                 part = y[at : at + step]
                 two = _two(part.T @ part).reshape(2, dim, dim)
@@ -128,24 +131,29 @@ def covariance(rows: DataFrame, dim: int) -> tuple[int, list[int], np.ndarray]:
     v = np.empty((dim, dim))
     for i in range(dim):
         for j in range(dim):
-            exact = int(got[i][j]) * LOW + int(got[i][dim + j])
-            v[i, j] = (n * exact - extra[i] * extra[j]) / (n * n)  # whole numbers, divided with one rounding
+            exact = (int(got[i][j]) * (LOW << POINT) + int(got[i][dim + j])) << 2 * shift
+            v[i, j] = (n * exact - (extra[i] * extra[j] << POINT)) / (n * n << POINT)  # whole numbers, divided with one rounding
     return n, s, v
 
 
 def _step(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """One iteration: (x corrected, eigenvalues, clustered pairs, size of the correction)."""
+    """One iteration: (x corrected, eigenvalues, pairs too near to tell apart, size of the correction). a has norm about 1."""
     r = np.eye(len(a)) - x.T @ x
     s = x.T @ (a @ x)
     value = np.diag(s) / (1 - np.diag(r))
     off = s - np.diag(value)
-    limit = 2 * (np.linalg.norm(off, 2) + np.linalg.norm(a, 2) * np.linalg.norm(r, 2))
+    limit = max(NEAR, 2 * (np.linalg.norm(off) + np.linalg.norm(a) * np.linalg.norm(r)))  # Frobenius norms bound the others
     gap = value[None, :] - value[:, None]
     near = np.abs(gap) <= limit
     e = np.where(near, r / 2, (s + value[None, :] * r) / np.where(near, 1.0, gap))
     return x + x @ e, value, near & ~np.eye(len(a), dtype=bool), float(np.abs(e).max())
 
 
+def _orthonormal(x: np.ndarray) -> np.ndarray:
+    """Nearly orthonormal columns made so, by a step of Newton and Schulz."""
+    return x @ (1.5 * np.eye(len(x)) - 0.5 * (x.T @ x))
+
+
 def _clusters(value: np.ndarray, near: np.ndarray) -> list[np.ndarray]:
     """Groups of eigenvalues that are linked by pairs too near to tell apart."""
     order = np.argsort(value)
@@ -168,23 +176,23 @@ def eigen(v: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(rounds):
         x, value, near, size = _step(a, x)
         if near.any():
-            x = x @ (1.5 * np.eye(len(a)) - 0.5 * (x.T @ x))  # orthonormal, as the sub-solves need it
+            x = _orthonormal(x)
             value = np.einsum("ij,ij->j", x, a @ x)
             for g in _clusters(value, near):
                 own, mean = x[:, g], value[g].mean()
                 small = own.T @ (a @ own - mean * own)
                 x[:, g] = own @ np.linalg.eigh((small + small.T) / 2)[1]
-        elif size <= 4 * eps * len(a):
+        if size <= 4 * eps * len(a):
             break
-    x /= np.linalg.norm(x, axis=0)
+    x = _orthonormal(_orthonormal(x))
     value = np.einsum("ij,ij->j", x, a @ x)
     order = np.argsort(-value, kind="stable")
     return np.maximum(value[order] * scale, 0.0), x[:, order].T
 
 
-def fit(rows: DataFrame, dim: int, components: int = COMPONENTS) -> Fit:
-    """The fit of rows (vector) that are all of length dim."""
-    n, s, v = covariance(rows, dim)
+def fit(rows: DataFrame, dim: int, largest: float, components: int = COMPONENTS) -> Fit:
+    """The fit of rows (vector) that are all of length dim, with entries of at most `largest`."""
+    n, s, v = covariance(rows, dim, largest)
     values, vectors = eigen(v)
     return Fit(n, s, vectors[:components], values[:components], float(np.trace(v)))
 
@@ -217,12 +225,12 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     rows = usable(vectors, id_col, vector_col)
     kind = vectors.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
-    sizes = rows.where(F.size("vector") > 0).groupBy(F.size("vector").alias("dim")).count()
-    most = sizes.agg(F.max_by("dim", F.struct("count", "dim"))).first()[0]
+    sizes = rows.where(F.size("vector") > 0).groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vector", F.abs))).alias("largest"))
+    most, largest = sizes.agg(F.max_by("dim", F.struct("n", "dim")), F.max_by("largest", F.struct("n", "dim"))).first()
     if most is None:
         return rows.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
     rows = rows.where(F.size("vector") == most)
-    model = fit(rows, most, components)
+    model = fit(rows, most, largest, components)
     error, k = identity_error(rows, model), len(model.values)
     explained = model.values / model.trace if model.trace else np.zeros(k)
     sums = np.array(model.sums, dtype=object)
