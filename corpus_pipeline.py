@@ -29,9 +29,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays. Rows with a null id stay. Rows of one id are one
     document: all of them stay or go."""
-    found = jaccard.link_components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(chunks.checkpoint(gone), "doc_id", "left_anti").select(*docs.columns)
+    with chunks.temporary_tables(spark):
+        gone = chunks.checkpoint(jaccard.link_components(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
