@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from gatescan.llm import arrays, components, jaccard, substrings
+from gatescan.llm import arrays, chunks, components, jaccard, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -243,3 +243,13 @@ def test_texts_that_share_a_frame_leave_no_candidates(spark, monkeypatch):
     docs += [(300 + k, frame) for k in range(40)]  # this is similar to each of them
     got = jaccard.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0} and brute_components(docs)[0][2] == "0"
+
+
+def test_tables_of_a_scope_go_at_its_end(spark):
+    with chunks.temporary_tables(spark):
+        inner = chunks.stored(spark.range(5).toDF("x"))
+        kept = chunks.checkpoint(inner.where("x > 1"))
+    outer = chunks.stored(spark.range(3).toDF("x"))
+    assert kept.count() == 3 and outer.count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND|FileNotFound"):
+        inner.count()
