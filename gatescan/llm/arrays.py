@@ -84,6 +84,11 @@ def find_words(texts: list[bytes]) -> Words:
     starts, ends = edges[0::2], edges[1::2]
     first = np.cumsum([1] + [len(t) + 1 for t in texts])
     offsets = np.searchsorted(starts, first)
+    return Words(buf, starts, ends, slice_hashes(data, starts, ends), offsets)
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end] for ascending slices that don't overlap; equal bytes have equal hashes."""
     hashes = np.empty(len(starts), dtype=_U)
     w = 0
     while w < len(starts):
@@ -99,7 +104,7 @@ def find_words(texts: list[bytes]) -> Words:
         a, b = starts[w:stop] - begin, ends[w:stop] - begin
         hashes[w:stop] = (total[b] - total[a]) * inverse[a]
         w = stop
-    return Words(buf, starts, ends, mix64(hashes), offsets)
+    return mix64(hashes)
 
 
 def prefix_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatescan.llm.arrays import group_starts, slice_hashes
+
 #: The pattern of byte-level pre-splitting that belongs to such vocabularies (fixed value).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A word of ASCII letters and U+00C0 to U+00FF without the two signs there, after a space or none: one piece of that pattern.
@@ -34,6 +36,8 @@ _NO_RANK = np.uint32(0xFFFFFFFF)
 #: are encoded each time, so the memory of the others (at most 64 + 4 * 64 bytes and their objects) is bounded by their number.
 CACHED_FRAGMENTS, CACHED_BYTES = 400_000, 64
 BLOCK_BYTES = 4 << 20
+#: New fragments whose merges are done together, so that their arrays stay in a processor's cache.
+MERGED_AT_ONCE = 1 << 14
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -68,6 +72,24 @@ class _Lookup:
         return out
 
 
+def distinct_slices(buf: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """buf is cut before each start (the first is 0). Which slices are the distinct ones, and for each slice its number among them.
+    Slices of one hash are compared byte by byte; should they differ, every slice counts as distinct."""
+    data, every = np.frombuffer(buf, dtype=np.uint8), np.arange(len(starts))
+    ends = np.append(starts[1:], len(buf))
+    size, bits = ends - starts, np.uint64(max(1, (len(starts) - 1).bit_length()))
+    key = slice_hashes(data, starts, ends) >> bits << bits | every.astype(np.uint64)  # hash and slice in one integer, which sorts fastest
+    key.sort()
+    order = (key & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
+    at = group_starts(key >> bits)
+    first, number = order[at], np.empty(len(starts), dtype=np.int64)
+    number[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
+    same = first[number]
+    if (size != size[same]).any() or (data[np.arange(len(data)) - np.repeat(starts - starts[same], size)] != data).any():
+        return every, every
+    return first, number
+
+
 class Codec:
     """Encoder and decoder of one byte-level vocabulary file (JSON, BPE with merges). Lives in a worker process."""
 
@@ -101,30 +123,25 @@ class Codec:
         self.special = regex.compile(b"|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.known: dict[bytes, bytes] = {}
 
-    def fragments(self, sections: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        """All fragments of the sections in order, and how many each section has. An empty section has none."""
-        full = [s for s in sections if s]
-        counts = np.zeros(len(sections), dtype=np.int64)
-        if not full:
-            return [], counts
-        data = np.frombuffer(b"".join(full), dtype=np.uint8)
+    def fragments(self, sections: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The sections joined, where each fragment begins in order, and how many each section has. An empty section has none."""
+        lengths = np.array(list(map(len, sections)), dtype=np.int64)
+        counts, full = np.zeros(len(sections), dtype=np.int64), np.flatnonzero(lengths)
+        buf = b"".join(sections)
+        if not buf:
+            return buf, np.empty(0, dtype=np.int64), counts
+        data = np.frombuffer(buf, dtype=np.uint8)
         kind = self.cut[data[:-1].astype(np.uint16) << 8 | data[1:]]
         cut = np.empty(len(data), dtype=bool)  # before this byte
         cut[1:] = kind == 1
         perhaps = np.flatnonzero(kind == 2)
         lead = data[perhaps - 1]
         cut[perhaps[(lead >= 0xC3) & (lead <= 0xDF)] + 1] = True
-        lengths = np.array([len(s) for s in full])
-        begins = np.cumsum(lengths) - lengths
+        begins = (np.cumsum(lengths) - lengths)[full]
         cut[begins] = True
         at = np.flatnonzero(cut)
-        marked = np.empty(len(data) + len(at), dtype=np.uint8)  # 0xFF occurs in no UTF-8 text
-        marked[at + np.arange(len(at))] = 0xFF
-        place = np.ones(len(marked), dtype=bool)
-        place[at + np.arange(len(at))] = False
-        marked[place] = data
-        counts[[i for i, s in enumerate(sections) if s]] = np.diff(np.append(np.searchsorted(at, begins), len(at)))
-        return marked.tobytes().split(b"\xff")[1:], counts
+        counts[full] = np.diff(np.append(np.searchsorted(at, begins), len(at)))
+        return buf, at, counts
 
     def pieces(self, fragment: bytes) -> list[bytes]:
         return [fragment] if _ONE_WORD(fragment) else [p.encode() for p in self.split.findall(fragment.decode())]
@@ -211,22 +228,27 @@ class Codec:
         return self._encode(texts)
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        if not texts:
-            return []
-        found, counts = self.fragments(texts)
+        buf, starts, counts = self.fragments(texts)
+        if not len(starts):
+            return [b""] * len(texts)
+        first, number = distinct_slices(buf, starts)
+        begin, end = starts[first].tolist(), np.append(starts, len(buf))[first + 1].tolist()
+        found = [buf[a:b] for a, b in zip(begin, end, strict=True)]
         ids = list(map(self.known.get, found))
-        if None in ids:
-            new = list({f for f, i in zip(found, ids, strict=True) if i is None})
-            if len(self.known) + len(new) > CACHED_FRAGMENTS:  # those of this block stay
-                self.known = {f: i for f, i in zip(found, ids, strict=True) if i is not None}
-            made: dict[bytes, bytes] = {}
-            for at in range(0, len(new), 1 << 14):
-                part = new[at : at + (1 << 14)]
-                made.update(zip(part, self.merge(part), strict=True))
-            ids = [made[f] if i is None else i for f, i in zip(found, ids, strict=True)]
-            self.known.update((f, i) for f, i in made.items() if len(f) <= CACHED_BYTES)
-        ends = np.cumsum(counts).tolist()
-        return [b"".join(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        new = [f for f, i in zip(found, ids, strict=True) if i is None]
+        if len(self.known) + len(new) > CACHED_FRAGMENTS:  # those of this block stay
+            self.known = {f: i for f, i in zip(found, ids, strict=True) if i is not None}
+        if new:
+            made = [i for at in range(0, len(new), MERGED_AT_ONCE) for i in self.merge(new[at : at + MERGED_AT_ONCE])]
+            self.known.update((f, i) for f, i in zip(new, made, strict=True) if len(f) <= CACHED_BYTES)
+            left = iter(made)
+            ids = [next(left) if i is None else i for i in ids]
+        sizes = np.array(list(map(len, ids)), dtype=np.int64) // 4
+        tokens, at, size = np.frombuffer(b"".join(ids), dtype="<u4"), (np.cumsum(sizes) - sizes)[number], sizes[number]
+        ends = np.cumsum(size)
+        raw = tokens[np.repeat(at - ends + size, size) + np.arange(ends[-1])].tobytes()
+        ends = (4 * np.append(0, ends)[np.cumsum(counts)]).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the ids' text; bytes that form no character become U+FFFD. Special tokens keep their strings."""

@@ -57,6 +57,11 @@ def postings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return terms[at], docs[at].astype(np.int64), np.diff(np.append(at, len(terms))), length
 
 
+def by_text(docs: np.ndarray, n: int) -> np.ndarray:
+    """The order of postings (by term, then text) by text, then term."""
+    return np.argsort(docs.astype(np.uint16) if n <= 1 << 16 else docs, kind="stable")
+
+
 class Statistics:
     """Document frequencies (ascending terms, the MOST_TERMS most frequent of two documents or more), number of documents, their words
     and bytes. If these are all terms of two documents or more (whole), the frequency of any other is 1."""
@@ -90,14 +95,14 @@ class Index:
             wide = np.repeat(corpus.frequency(terms[starts]), df)
         else:
             wide = np.empty(len(terms), dtype=np.int64)
-            wide[np.argsort(docs, kind="stable")] = carried
+            wide[by_text(docs, self.n)] = carried
         keep = np.repeat(df > 1, df)  # a term of one document finds no neighbour
         docs, tf, df = docs[keep], tf[keep], df[df > 1]
         self.ends = np.cumsum(df)
         self.begins = self.ends - df
         self.docs = docs
         self.weight = corpus.weight(wide[keep], tf, length[docs])
-        by_doc = np.argsort(docs, kind="stable")
+        by_doc = by_text(docs, self.n)
         self.term_of = np.repeat(np.arange(len(df)), df)[by_doc]
         self.doc_ends = np.cumsum(np.bincount(docs, minlength=self.n))
         heavy = HEAVY * df > self.n
@@ -228,7 +233,7 @@ def shards_of(texts: list[bytes], row_hash: np.ndarray, corpus: Statistics, shar
     df = corpus.frequency(terms) if df is None else df
     use = df > 1
     terms, docs, tf, df = terms[use], docs[use], tf[use], df[use]
-    order = np.argsort(docs.astype(np.uint16) if len(texts) <= 1 << 16 else docs, kind="stable")  # terms stay ascending within a text
+    order = by_text(docs, len(texts))
     weight, starts = corpus.weight(df, tf, length[docs])[order], group_starts(docs[order])
     best = order[weight == np.repeat(np.maximum.reduceat(weight, starts), np.diff(np.append(starts, len(order))))] if len(order) else order
     first = best[group_starts(docs[best])]
@@ -277,7 +282,7 @@ def exchanged(rows: DataFrame, model) -> DataFrame:
         df[df == 0] = values.astype(np.int64)
         df, docs = np.repeat(df, times), found[1]
         shard = shards_of([b""] * table.num_rows, table.column("h").combine_chunks().to_numpy().view(np.uint64), model.value, max(1, -(-model.value.size // SHARD_BYTES)), found, df)
-        by_doc, ends = df[np.argsort(docs, kind="stable")], np.cumsum(np.bincount(docs, minlength=table.num_rows)).tolist()
+        by_doc, ends = df[by_text(docs, table.num_rows)], np.cumsum(np.bincount(docs, minlength=table.num_rows)).tolist()
         packed = [pack_ints(by_doc[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return pa.table({"id": table.column("id"), "t": table.column("t"), "shard": pa.array(shard), "n": pa.array(np.diff([0, *ends])), "df": pa.array(packed, pa.binary())})
 

@@ -55,6 +55,28 @@ def test_a_small_cache_gives_the_same(monkeypatch):
         assert own.encode([t.encode()]) == CODEC.encode([t.encode()])
 
 
+def test_each_distinct_fragment_is_looked_up_once():
+    """op2's CPU time: a block's repeated fragments cost no lookup of their own."""
+    own, asked = bpe.Codec(vocabulary()), []
+
+    class Known(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    own.known = Known()
+    texts = [" the cat, the dog! The cat." * 50, "", " the dog! the cat,"]
+    assert list(map(ids, own.encode([t.encode() for t in texts]))) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked)) > 3
+
+
+@pytest.mark.parametrize("shift", [0, 60, 63])
+def test_fragments_of_one_hash_are_told_apart(monkeypatch, shift):
+    hashes = bpe.slice_hashes
+    monkeypatch.setattr(bpe, "slice_hashes", lambda *a: hashes(*a) >> np.uint64(shift) << np.uint64(shift) if shift else np.zeros_like(hashes(*a)))
+    check([*ODD, " ".join(ODD) * 3])
+
+
 def test_bytes_that_are_no_text_decode_as_in_the_library():
     for one in ([222], [222, 222, 64], [50256, 0]):
         assert CODEC.decode(np.array(one, "<u4").tobytes()).decode() == LIBRARY.decode(one, skip_special_tokens=False)
