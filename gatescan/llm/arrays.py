@@ -18,7 +18,7 @@ _U = np.uint64
 _BASE_BYTE = _U(0x9E3779B97F4A7C15)
 _BASE_WORD = _U(0xD6E8FEB86659FD93)
 #: Bytes hashed at once; a segment ends at a word's end, so one longer word makes a longer segment.
-_SEGMENT = 1 << 18
+_SEGMENT = 1 << 16
 
 
 def _random_bytes_table() -> np.ndarray:
@@ -79,7 +79,7 @@ def find_words(texts: list[bytes]) -> Words:
     """Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r. Null texts must come as b''."""
     buf = b"\n" + b"\n".join(texts) + b"\n"
     data = np.frombuffer(buf, dtype=np.uint8)
-    space = _SPACE[data]
+    space = np.frombuffer(buf.translate(_SPACE.tobytes()), dtype=bool)
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edges[0::2], edges[1::2]
     first = np.cumsum([1] + [len(t) + 1 for t in texts])
@@ -96,7 +96,7 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         stop = max(w + 1, int(np.searchsorted(ends, begin + _SEGMENT, side="right")))
         end = int(ends[stop - 1])
         power, inverse = _BYTE_POWERS.get(end - begin + 1)
-        terms = _BYTE_VALUE[data[begin:end]]
+        terms = _BYTE_VALUE.take(data[begin:end], mode="clip")
         terms *= power[: end - begin]
         total = np.empty(end - begin + 1, dtype=_U)
         total[0] = 0

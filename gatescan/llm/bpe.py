@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from gatescan.llm.arrays import group_starts, slice_hashes
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A word of ASCII letters and U+00C0 to U+00FF without the two signs there, after a space or none: one piece of that pattern.
 _ONE_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
-_NO_RANK = np.uint32(0xFFFFFFFF)
+_NO_RANK, _NO_KEY = np.uint32(0xFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Fragments remembered in a worker between blocks, the longest of them in bytes, and bytes of text encoded at once. Longer ones
 #: are encoded each time, so the memory of the others (at most 64 + 4 * 64 bytes and their objects) is bounded by their number.
 CACHED_FRAGMENTS, CACHED_BYTES = 400_000, 64
@@ -57,7 +58,7 @@ class _Lookup:
             factor = np.uint64((0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * salt) & 0xFFFFFFFFFFFFFFFF | 1)
             shift = np.uint64(64 - bits)
             slot = (keys[left] * factor) >> shift
-            table_keys, table_values = np.full(1 << bits, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64), np.full(1 << bits, _NO_RANK)
+            table_keys, table_values = np.full(1 << bits, _NO_KEY), np.full(1 << bits, _NO_RANK)
             _, first = np.unique(slot, return_index=True)
             table_keys[slot[first]], table_values[slot[first]] = keys[left[first]], values[left[first]]
             self.levels.append((factor, shift, table_keys, table_values))
@@ -65,10 +66,15 @@ class _Lookup:
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), _NO_RANK)
+        left = None  # the keys not found yet whose slots were taken by others on each level so far
         for factor, shift, table_keys, table_values in self.levels:
-            slot = (keys * factor) >> shift
-            hit = table_keys[slot] == keys
-            out[hit] = table_values[slot[hit]]
+            own = keys if left is None else keys[left]
+            slot = ((own * factor) >> shift).view(np.int64)
+            there = table_keys.take(slot, mode="clip")
+            hit = np.flatnonzero(there == own)
+            out[hit if left is None else left[hit]] = table_values[slot[hit]]
+            more = np.flatnonzero((there != own) & (there != _NO_KEY))
+            left = more if left is None else left[more]
         return out
 
 
@@ -85,8 +91,15 @@ def distinct_slices(buf: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     first, number = order[at], np.empty(len(starts), dtype=np.int64)
     number[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
     same = first[number]
-    if (size != size[same]).any() or (data[np.arange(len(data)) - np.repeat(starts - starts[same], size)] != data).any():
+    if (size != size[same]).any():
         return every, every
+    back = starts - starts[same]
+    for a in range(0, len(starts), 1 << 13):  # parts that stay in a processor's cache
+        low, high = starts[a], ends[a : a + (1 << 13)][-1]
+        place = np.arange(low, high)
+        place -= np.repeat(back[a : a + (1 << 13)], size[a : a + (1 << 13)])
+        if (data.take(place, mode="clip") != data[low:high]).any():
+            return every, every
     return first, number
 
 
@@ -268,7 +281,7 @@ def codec(path: str) -> Codec:
 
 def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about `most` bytes together."""
-    sizes = np.array([len(x) if x is not None else 0 for x in batch.column(column).cast(pa.large_binary()).to_pylist()], dtype=np.int64)
+    sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     part = np.cumsum(sizes) // most if len(sizes) else sizes
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:], strict=False):

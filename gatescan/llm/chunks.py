@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -130,7 +131,7 @@ def pack(docs: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES, *, prep
             if not b.num_rows:
                 continue
             b = prepare(b) if prepare else b
-            lengths = np.array(pa.compute.fill_null(pa.compute.binary_length(b.column(n_text)), 0), dtype=np.int64) + 16
+            lengths = np.array(pc.fill_null(pc.binary_length(b.column(n_text)), 0), dtype=np.int64) + 16
             part = (np.cumsum(lengths) + size) // chunk_bytes
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
             for a, e in zip(cuts, cuts[1:], strict=False):

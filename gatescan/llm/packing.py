@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +114,9 @@ class Index:
 
     def neighbours(self, doc: int, used: np.ndarray) -> list[int]:
         """All unused documents that share a term, best first."""
+        return self.ranked(doc, used).tolist()
+
+    def ranked(self, doc: int, used: np.ndarray) -> np.ndarray:
         terms = self.term_of[int(self.doc_ends[doc - 1]) if doc else 0 : int(self.doc_ends[doc])]
         row = self.row[terms]
         score = self.rows[row[row >= 0]].sum(axis=0)
@@ -125,7 +129,7 @@ class Index:
             score += np.bincount(self.docs[at], weights=self.weight[at], minlength=self.n)
         score[used] = 0
         some = np.flatnonzero(score > 0)
-        return some[np.argsort(-score[some], kind="stable")].tolist()
+        return some[np.argsort(-score[some], kind="stable")]
 
 
 def fill(lengths: list[int], index: Index, window: int) -> list[tuple[int, int, int, int, int]]:
@@ -159,7 +163,7 @@ def fill(lengths: list[int], index: Index, window: int) -> list[tuple[int, int,
             start = place(seed, start, window - offset)
         if not offset:
             continue
-        ranked = np.array(index.neighbours(seed, used), dtype=np.int64)
+        ranked = index.ranked(seed, used)
         for doc in ranked[sizes[ranked] <= window - offset].tolist():
             if lengths[doc] <= window - offset:
                 used[doc] = True
@@ -216,7 +220,7 @@ def corpus_statistics(rows: DataFrame) -> Statistics:
         keys, df = keys[df > 1], df[df > 1]
         shared, kept = len(keys), np.sort(np.lexsort((keys, -df))[:most])
         keys, df = keys[kept], df[kept]
-        return pa.Table.from_pydict({"bucket": [table.column("bucket")[0].as_py()], "words": [pa.compute.sum(table.column("words")).as_py()], "n": [len(keys)], "shared": [shared], "keys": [pack_sorted(keys)], "df": [pack_ints(df)]}, schema=packed)
+        return pa.Table.from_pydict({"bucket": [table.column("bucket")[0].as_py()], "words": [pc.sum(table.column("words")).as_py()], "n": [len(keys)], "shared": [shared], "keys": [pack_sorted(keys)], "df": [pack_ints(df)]}, schema=packed)
 
     packed = pa.schema([("bucket", pa.int32()), ("words", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("keys", pa.binary()), ("df", pa.binary())])
     schema = "bucket int, words long, n long, shared long, keys binary, df binary"
@@ -230,7 +234,9 @@ def shards_of(texts: list[bytes], row_hash: np.ndarray, corpus: Statistics, shar
     """The shard of each text: by its shared term of highest weight, or by row_hash if it shares none. found: the texts' postings, and
     df the document frequency of each, if known already."""
     terms, docs, tf, length = found or postings(texts)
-    df = corpus.frequency(terms) if df is None else df
+    if df is None:
+        starts = group_starts(terms)
+        df = np.repeat(corpus.frequency(terms[starts]), np.diff(np.append(starts, len(terms))))
     use = df > 1
     terms, docs, tf, df = terms[use], docs[use], tf[use], df[use]
     order = by_text(docs, len(texts))
