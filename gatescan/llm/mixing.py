@@ -137,9 +137,8 @@ def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 def code_bits(texts: list[bytes], tree: CodeTree, tables: list[np.ndarray], bits: int) -> np.ndarray:
     """The code length in bits of each text (normal form)."""
     data, begins, hashes = contexts(texts, bits)
-    hashes = [h.astype(np.int64) for h in hashes]
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    cells = tree.cells(bits).astype(np.int64)
+    cells = tree.cells(bits)  # all of 32 bits: the loop below moves them more than it computes
     weights = np.tile(np.array(FIRST_WEIGHTS, dtype=np.float32), (len(texts), GATES, 1))
     total = np.zeros(len(texts))
     low, block = 0, 0

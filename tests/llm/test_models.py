@@ -132,6 +132,20 @@ def test_counts_equal_those_of_single_bits():
     assert (own[3][word[0] : word[0] + 26] == own[3][word[1] : word[1] + 26]).all()  # the same word, whole
 
 
+def test_scoring_looks_cells_up_by_32_bits():
+    """op4's CPU time: the loop over bits moves contexts and cells more than it computes."""
+    seen = set()
+
+    class Table:
+        def take(self, at, mode):
+            seen.add(at.dtype)
+            return np.zeros(len(at), dtype=np.int8)
+
+    tree = mixing.CodeTree(np.bincount(np.frombuffer(b"the cat", dtype=np.uint8), minlength=256))
+    assert mixing.code_bits([b"the cat\n", b"\n"], tree, [Table()] * mixing.PREDICTORS, 14).shape == (2,)
+    assert seen == {np.dtype(np.uint32)}
+
+
 def test_weights_adapt_within_a_text():
     tree = mixing.CodeTree(np.zeros(256, dtype=np.int64))
     tables = [np.full(1 << 14, 40, dtype=np.int8) for _ in range(mixing.PREDICTORS)]  # misleading odds
