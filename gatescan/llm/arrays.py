@@ -19,6 +19,8 @@ _BASE_BYTE = _U(0x9E3779B97F4A7C15)
 _BASE_WORD = _U(0xD6E8FEB86659FD93)
 #: Bytes hashed at once; a segment ends at a word's end, so one longer word makes a longer segment.
 _SEGMENT = 1 << 16
+#: Slices of up to so many bytes can be read eight bytes at a time, and so many slices at once, so that they stay in a processor's cache.
+SHORT, _PART = 64, 1 << 13
 
 
 def _random_bytes_table() -> np.ndarray:
@@ -75,8 +77,9 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
 
 
-def find_words(texts: list[bytes]) -> Words:
-    """Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r. Null texts must come as b''."""
+def find_words(texts: list[bytes], short: bool = False) -> Words:
+    """Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r. Null texts must come as b''. short: hashes of the second
+    kind of slice_hashes(), which cost less."""
     buf = b"\n" + b"\n".join(texts) + b"\n"
     data = np.frombuffer(buf, dtype=np.uint8)
     space = np.frombuffer(buf.translate(_SPACE.tobytes()), dtype=bool)
@@ -84,11 +87,43 @@ def find_words(texts: list[bytes]) -> Words:
     starts, ends = edges[0::2], edges[1::2]
     first = np.cumsum([1] + [len(t) + 1 for t in texts])
     offsets = np.searchsorted(starts, first)
-    return Words(buf, starts, ends, slice_hashes(data, starts, ends), offsets)
-
-
-def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end] for ascending slices that don't overlap; equal bytes have equal hashes."""
+    if not short:
+        return Words(buf, starts, ends, slice_hashes(data, starts, ends), offsets)
+    eight = eights(buf)
+    return Words(buf, starts, ends, slice_hashes(data, starts, ends, eight, heads(eight, starts, ends - starts)), offsets)
+
+
+def eights(buf: bytes) -> np.ndarray:
+    """The eight bytes from each position of buf on as one integer, the first one lowest; zeros follow the end."""
+    return np.ndarray(len(buf), "<u8", buf + bytes(8), strides=(1,))
+
+
+def heads(eight: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each slice, or all of a shorter one. No slice is empty; slices of one size are equal if these are,
+    as far as they reach."""
+    out = np.empty(len(starts), dtype=_U)
+    for a in range(0, len(starts), _PART):
+        part = slice(a, a + _PART)
+        np.left_shift(eight[starts[part]], (np.maximum(8 - size[part], 0) << 3).view(_U), out=out[part])
+    return out
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, eight: np.ndarray | None = None, head: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of data[start:end] for ascending slices that don't overlap; equal bytes have equal hashes. With eights() and heads(),
+    no slice may be empty, and the hashes are others: those of slices up to SHORT bytes come from eight bytes at a time."""
+    if eight is not None:
+        size, hashes = ends - starts, np.empty(len(starts), dtype=_U)
+        for a in range(0, len(starts), _PART):
+            part = slice(a, a + _PART)
+            hashes[part] = mix64(head[part] + size[part].view(_U) * _BASE_WORD)
+        left, done = np.flatnonzero(size > 8), 8
+        while len(left) and done < SHORT:
+            hashes[left] = mix64(hashes[left] * _BASE_BYTE + heads(eight, starts[left] + done, size[left] - done))
+            done += 8
+            left = left[size[left] > done]
+        if len(left):
+            hashes[left] = slice_hashes(data, starts[left], ends[left])
+        return hashes
     hashes = np.empty(len(starts), dtype=_U)
     w = 0
     while w < len(starts):

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatescan.llm.arrays import group_starts, slice_hashes
+from gatescan.llm.arrays import SHORT, eights, group_starts, heads, slice_hashes
 
 #: The pattern of byte-level pre-splitting that belongs to such vocabularies (fixed value).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -80,26 +80,29 @@ class _Lookup:
 
 def distinct_slices(buf: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """buf is cut before each start (the first is 0). Which slices are the distinct ones, and for each slice its number among them.
-    Slices of one hash are compared byte by byte; should they differ, every slice counts as distinct."""
-    data, every = np.frombuffer(buf, dtype=np.uint8), np.arange(len(starts))
+    All bytes of slices of one hash are compared; should they differ, every slice counts as distinct."""
+    data, every, eight = np.frombuffer(buf, dtype=np.uint8), np.arange(len(starts)), eights(buf)
     ends = np.append(starts[1:], len(buf))
     size, bits = ends - starts, np.uint64(max(1, (len(starts) - 1).bit_length()))
-    key = slice_hashes(data, starts, ends) >> bits << bits | every.astype(np.uint64)  # hash and slice in one integer, which sorts fastest
+    head = heads(eight, starts, size)
+    key = slice_hashes(data, starts, ends, eight, head) >> bits << bits | every.astype(np.uint64)  # hash and slice in one integer, which sorts fastest
     key.sort()
     order = (key & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
     at = group_starts(key >> bits)
     first, number = order[at], np.empty(len(starts), dtype=np.int64)
     number[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
     same = first[number]
-    if (size != size[same]).any():
+    if (size != size[same]).any() or (head != head[same]).any():
         return every, every
-    back = starts - starts[same]
-    for a in range(0, len(starts), 1 << 13):  # parts that stay in a processor's cache
-        low, high = starts[a], ends[a : a + (1 << 13)][-1]
-        place = np.arange(low, high)
-        place -= np.repeat(back[a : a + (1 << 13)], size[a : a + (1 << 13)])
-        if (data.take(place, mode="clip") != data[low:high]).any():
+    left, done = np.flatnonzero((size > 8) & (same != every)), 8
+    while len(left) and done < SHORT:
+        own, other, rest = starts[left] + done, starts[same[left]] + done, size[left] - done
+        if (heads(eight, own, rest) != heads(eight, other, rest)).any():
             return every, every
+        done += 8
+        left = left[size[left] > done]
+    if any(buf[a : a + n] != buf[b : b + n] for a, b, n in zip(starts[left].tolist(), starts[same[left]].tolist(), size[left].tolist(), strict=True)):
+        return every, every
     return first, number
 
 
@@ -157,15 +160,23 @@ class Codec:
         return buf, at, counts
 
     def pieces(self, fragment: bytes) -> list[bytes]:
-        return [fragment] if _ONE_WORD(fragment) else [p.encode() for p in self.split.findall(fragment.decode())]
+        if _ONE_WORD(fragment):
+            return [fragment]
+        if fragment[:1] == b"\n" and _ONE_WORD(fragment[1:]):
+            return [b"\n", fragment[1:]]
+        return [p.encode() for p in self.split.findall(fragment.decode())]
 
     def merge(self, fragments: list[bytes]) -> list[bytes]:
         """The ids of each fragment. Rounds over all of them: in each piece the pair of lowest rank is merged wherever it stands.
 
         That equals merging one pair at a time, as a merge can only create pairs of higher rank.
         """
-        split = [[f] if _ONE_WORD(f) else self.pieces(f) for f in fragments]
-        pieces = [p for x in split for p in x]
+        pieces, counts, at = [], np.ones(len(fragments), dtype=np.int64), 0  # no list for each fragment, which the garbage collector would walk
+        for k in [k for k, f in enumerate(fragments) if not _ONE_WORD(f)]:
+            own = self.pieces(fragments[k])
+            pieces += fragments[at:k] + own
+            counts[k], at = len(own), k + 1
+        pieces += fragments[at:]
         tokens = self.byte_id[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
         sizes = np.array(list(map(len, pieces)), dtype=np.int64)
         final = np.zeros(len(pieces), dtype=np.int64)
@@ -183,12 +194,11 @@ class Codec:
                 starts = np.cumsum(sizes) - sizes
                 if not len(tokens):
                     break
-            join = rank == np.repeat(lowest, sizes)
-            if (join[1:] & join[:-1]).any():  # of overlapping pairs, every second one from the left
-                index = np.arange(len(join))
-                run = np.maximum.accumulate(np.where(join & ~np.concatenate(([False], join[:-1])), index, 0))
-                join &= (index - run) % 2 == 0
-            at = np.flatnonzero(join)
+            at = np.flatnonzero(rank == np.repeat(lowest, sizes))
+            apart = np.diff(at, prepend=-2) > 1
+            if not apart.all():  # of overlapping pairs, every second one from the left
+                index = np.arange(len(at))
+                at = at[(index - np.maximum.accumulate(np.where(apart, index, 0))) % 2 == 0]
             tokens[at] = self.made[rank[at]]
             rank[at] = rank[at + 1]  # a pair that ends a piece has no rank, and so ends it now
             keep = np.ones(len(tokens), dtype=bool)
@@ -196,14 +206,16 @@ class Codec:
             ends = np.zeros(len(tokens), dtype=bool)
             ends[starts + sizes - 1] = True
             ends[at] = ends[at + 1]
-            sizes = sizes - np.add.reduceat(join, starts, dtype=np.int64)
-            tokens, rank, ends = tokens[keep], rank[keep], ends[keep]
+            left = np.flatnonzero(keep)
+            tokens, rank, ends = tokens[left], rank[left], ends[left]
             at = at - np.arange(len(at))
             again = np.concatenate((at, at[at > 0] - 1))
             again = again[~ends[again]]
             rank[again] = self.rank.get(tokens[again] << np.uint64(32) | tokens[again + 1])
             rank[at[ends[at]]] = _NO_RANK
-            starts = np.cumsum(sizes) - sizes
+            stop = np.flatnonzero(ends) + 1
+            sizes = np.diff(stop, prepend=0)
+            starts = stop - sizes
         if not done:
             return [b""] * len(fragments)
         number, sizes = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
@@ -212,7 +224,7 @@ class Codec:
         target = np.cumsum(final) - final
         ids = np.empty(len(tokens), dtype="<u4")
         ids[np.repeat(target[number] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(tokens))] = tokens
-        per = np.cumsum(list(map(len, split)))
+        per = np.cumsum(counts)
         ends = np.append(0, np.cumsum(final))[per] * 4
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]

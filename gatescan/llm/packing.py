@@ -43,15 +43,20 @@ K1, B = 1.2, 0.75
 
 def postings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Term (48 bits of its hash), text and frequency of each distinct (term, text), in that order, and the words of each text."""
-    words = find_words([t.lower() for t in texts])
+    words = find_words([t.lower() for t in texts], short=True)
     length = np.diff(words.offsets)
-    terms, docs = words.hashes >> np.uint64(16), np.repeat(np.arange(len(texts), dtype=np.uint64), length)
+    docs = np.repeat(np.arange(len(texts), dtype=np.uint64), length)
     if len(texts) <= 1 << 16:  # both in one integer, which sorts fastest
-        both = np.sort(terms << np.uint64(16) | docs)
-        terms, docs = both >> np.uint64(16), both & np.uint64(0xFFFF)
-    else:
-        order = np.argsort(terms, kind="stable")
-        terms, docs = terms[order], docs[order]
+        both = words.hashes
+        both &= ~np.uint64(0xFFFF)
+        both |= docs
+        both.sort()
+        at = group_starts(both)
+        own = both[at]
+        return own >> np.uint64(16), (own & np.uint64(0xFFFF)).astype(np.int64), np.diff(np.append(at, len(both))), length
+    terms = words.hashes >> np.uint64(16)
+    order = np.argsort(terms, kind="stable")
+    terms, docs = terms[order], docs[order]
     new = np.ones(len(terms), dtype=bool)
     new[1:] = (terms[1:] != terms[:-1]) | (docs[1:] != docs[:-1])
     at = np.flatnonzero(new)
@@ -76,9 +81,16 @@ class Statistics:
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         return np.where(self.terms[at] == terms, self.df[at], others).astype(np.int64)
 
-    def weight(self, df: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
-        norm = K1 * (1 - B + B * length / max(1.0, self.words / self.n if self.n else 1.0))
-        return np.log1p((self.n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm)
+    def rarity(self, df: np.ndarray) -> np.ndarray:
+        return np.log1p((self.n - df + 0.5) / (df + 0.5))
+
+    def norm(self, length: np.ndarray) -> np.ndarray:
+        return K1 * (1 - B + B * length / max(1.0, self.words / self.n if self.n else 1.0))
+
+
+def weights(rarity: np.ndarray, tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """BM25 weights of postings, given the rarity of their terms and the norm of their texts."""
+    return rarity * tf * (K1 + 1) / (tf + norm)
 
 
 class Index:
@@ -93,16 +105,17 @@ class Index:
         df = np.diff(np.append(starts, len(terms)))
         corpus = corpus or Statistics(terms[starts], df, self.n, int(length.sum()), 0)
         if carried is None:
-            wide = np.repeat(corpus.frequency(terms[starts]), df)
+            wide = corpus.frequency(terms[starts])
         else:
             wide = np.empty(len(terms), dtype=np.int64)
             wide[by_text(docs, self.n)] = carried
+            wide = wide[starts]
         keep = np.repeat(df > 1, df)  # a term of one document finds no neighbour
-        docs, tf, df = docs[keep], tf[keep], df[df > 1]
+        docs, tf, wide, df = docs[keep], tf[keep], wide[df > 1], df[df > 1]
         self.ends = np.cumsum(df)
         self.begins = self.ends - df
         self.docs = docs
-        self.weight = corpus.weight(wide[keep], tf, length[docs])
+        self.weight = weights(np.repeat(corpus.rarity(wide), df), tf, corpus.norm(length)[docs])
         by_doc = by_text(docs, self.n)
         self.term_of = np.repeat(np.arange(len(df)), df)[by_doc]
         self.doc_ends = np.cumsum(np.bincount(docs, minlength=self.n))
@@ -234,17 +247,17 @@ def shards_of(texts: list[bytes], row_hash: np.ndarray, corpus: Statistics, shar
     """The shard of each text: by its shared term of highest weight, or by row_hash if it shares none. found: the texts' postings, and
     df the document frequency of each, if known already."""
     terms, docs, tf, length = found or postings(texts)
-    if df is None:
-        starts = group_starts(terms)
-        df = np.repeat(corpus.frequency(terms[starts]), np.diff(np.append(starts, len(terms))))
-    use = df > 1
-    terms, docs, tf, df = terms[use], docs[use], tf[use], df[use]
+    starts = group_starts(terms)
+    times = np.diff(np.append(starts, len(terms)))
+    per = corpus.frequency(terms[starts]) if df is None else df[starts]
+    use = np.repeat(per > 1, times)
+    terms, docs, tf, per, times = terms[use], docs[use], tf[use], per[per > 1], times[per > 1]
     order = by_text(docs, len(texts))
-    weight, starts = corpus.weight(df, tf, length[docs])[order], group_starts(docs[order])
+    weight, starts = weights(np.repeat(corpus.rarity(per), times), tf, corpus.norm(length)[docs])[order], group_starts(docs[order])
     best = order[weight == np.repeat(np.maximum.reduceat(weight, starts), np.diff(np.append(starts, len(order))))] if len(order) else order
     first = best[group_starts(docs[best])]
     key = row_hash.astype(np.uint64, copy=True)
-    splits = np.maximum(1, np.ceil(df[first] * (corpus.size / max(1, corpus.n)) / SHARD_BYTES)).astype(np.uint64)
+    splits = np.maximum(1, np.ceil(np.repeat(per, times)[first] * (corpus.size / max(1, corpus.n)) / SHARD_BYTES)).astype(np.uint64)
     key[docs[first]] = terms[first] + row_hash[docs[first]] % splits * np.uint64(0x9E3779B97F4A7C15)
     return (mix64(key) % np.uint64(shards)).astype(np.int64)
 
