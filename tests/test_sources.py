@@ -282,3 +282,11 @@ def test_paths_of_a_manifest(spark, tmp_path, monkeypatch):
     want = {"~": "/home/me", "~/a.jpg": "/home/me/a.jpg", "./b//c/./d.jpg": f"{tmp_path}/b/c/d.jpg", "/x//y.jpg": "/x/y.jpg", "e/../f.jpg": f"{tmp_path}/e/../f.jpg", "~x/g": f"{tmp_path}/~x/g", "h/": f"{tmp_path}/h", ".hid": f"{tmp_path}/.hid"}
     p = write(tmp_path / "m.json", json.dumps([{"image": k} for k in want]))
     assert [r.image for r in R.read_manifest(spark, p).orderBy("row_number").collect()] == list(want.values())
+
+
+def test_the_filter_stands_in_no_plan(spark):
+    cases = spark.range(150_000).select(F.concat(F.lit("/d/"), F.col("id").cast("string")).alias("image"))
+    responses = cases.select("image", F.lit("[]").alias("results"), F.lit(1.0).alias("latency_ms"), F.lit(None).cast("string").alias("error"))
+    filtered = cases.where(might_contain(bloom_filter(cases, "image"), F.col("image")))
+    assert filtered.count() == 150_000 and spark.range(150_000, 200_000).where(might_contain(bloom_filter(cases, "image"), F.concat(F.lit("/d/"), F.col("id").cast("string")))).count() < 1500
+    assert len(E.attach_responses(cases, responses, cases)._jdf.queryExecution().toString()) < 200_000  # the filter's words alone had 600,000 letters
