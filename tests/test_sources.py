@@ -290,3 +290,16 @@ def test_the_filter_stands_in_no_plan(spark):
     filtered = cases.where(might_contain(bloom_filter(cases, "image"), F.col("image")))
     assert filtered.count() == 150_000 and spark.range(150_000, 200_000).where(might_contain(bloom_filter(cases, "image"), F.concat(F.lit("/d/"), F.col("id").cast("string")))).count() < 1500
     assert len(E.attach_responses(cases, responses, cases)._jdf.queryExecution().toString()) < 200_000  # the filter's words alone had 600,000 letters
+
+
+def _many_cases(spark):
+    cases = spark.range(150_000).select(F.concat(F.lit("/d/"), F.col("id").cast("string")).alias("image"), F.lit("x").alias("expected_name"), F.lit("10AC13").alias("expected_seat"))
+    return cases, cases.select("image", F.lit("[]").alias("results"), F.lit(1.0).alias("latency_ms"), F.lit(None).cast("string").alias("error")), cases
+
+
+def _plan_text(df):
+    return len(df._jdf.queryExecution().toString())
+
+
+def test_the_plan_of_an_evaluation_does_not_grow_with_its_cases(spark):
+    assert _plan_text(E.evaluate(*_many_cases(spark))) < 200_000
