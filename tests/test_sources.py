@@ -303,3 +303,8 @@ def _plan_text(df):
 
 def test_the_plan_of_an_evaluation_does_not_grow_with_its_cases(spark):
     assert _plan_text(E.evaluate(*_many_cases(spark))) < 200_000
+
+
+def test_the_plan_of_a_summary_does_not_grow_with_its_cases(spark):
+    summary, _ = evaluate_cases(*_many_cases(spark))
+    assert _plan_text(summary) < 200_000 and summary.first().total == 150_000
