@@ -308,3 +308,10 @@ def test_the_plan_of_an_evaluation_does_not_grow_with_its_cases(spark):
 def test_the_plan_of_a_summary_does_not_grow_with_its_cases(spark):
     summary, _ = evaluate_cases(*_many_cases(spark))
     assert _plan_text(summary) < 200_000 and summary.first().total == 150_000
+
+
+def test_a_report_of_many_cases(spark, tmp_path):
+    summary, records = evaluate_cases(*_many_cases(spark))
+    assert _plan_text(records) < 200_000
+    W.write_report(summary, records, str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/records").count() == 150_000
