@@ -105,9 +105,11 @@ def rounded(c: Column, places: int) -> Column:
 
 
 def utc_timestamp(c: Column) -> Column:
-    """Epoch seconds as yyyy-MM-ddTHH:mm:ssZ in UTC, cut to whole seconds, whatever the session's time zone is."""
-    at = F.to_utc_timestamp(F.timestamp_seconds(F.floor(c)), F.current_timezone())
-    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Epoch seconds as yyyy-MM-ddTHH:mm:ssZ in UTC, cut to whole seconds, whatever the session's time zone is. Years beyond 9999
+    have all their digits and no sign."""
+    day = F.floor(c / 86400)
+    at = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(day.cast("int"), secs=F.floor(c) - day * 86400)
+    return F.concat(F.replace(F.ltrim(at.cast("string"), F.lit("+")), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def audio_url(seat: Column) -> Column:

@@ -107,7 +107,8 @@ def read_diagnostics(spark: SparkSession, root: str, files: str = "try_*/diag.js
 
 
 def _dated(df: DataFrame) -> DataFrame:
-    return df.withColumn("timestamp", F.to_timestamp("timestamp_utc", "yyyy-MM-dd'T'HH:mm:ssX"))
+    signed = F.regexp_replace("timestamp_utc", "^([0-9]{5,}-)", "+$1")  # as the pattern has years beyond 9999
+    return df.withColumn("timestamp", F.to_timestamp(signed, "yyyy-MM-dd'T'HH:mm:ssX"))
 
 
 def read_compacted(spark: SparkSession, path: str) -> DataFrame:

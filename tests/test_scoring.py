@@ -153,3 +153,15 @@ def test_a_failed_fallback_fails_the_frame(spark):
     gated = A.apply_fallback(attempts.where("stage_index < 2"), attempts.where("stage_index = 2"), frames)
     assert {r.frame_id: (r.path, r.score or (0.0 if r.frame_id == 4 else None), r.error) for r in A.select_best_attempt(gated, frames).collect()} == want
     assert {r.frame_id: (r.path, r.selected_score, r.error) for r in A.profile_frames(gated, frames, 2).collect()} == want
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_timestamps_of_late_years_and_in_the_gap_of_a_zone(spark, zone):
+    want = {253402300799.9: "9999-12-31T23:59:59Z", 253402300800.0: "10000-01-01T00:00:00Z", 777720000000.7: "26614-12-19T21:20:00Z", 9.2e12: "293506-05-25T11:33:20Z", 1710037800.0: "2024-03-10T02:30:00Z", -0.5: "1969-12-31T23:59:59Z"}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = spark.createDataFrame([(k,) for k in want], "k double").select("k", X.utc_timestamp(F.col("k")).alias("at"))
+        assert {r.k: r["at"] for r in rows.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -315,3 +315,10 @@ def test_a_report_of_many_cases(spark, tmp_path):
     assert _plan_text(records) < 200_000
     W.write_report(summary, records, str(tmp_path))
     assert spark.read.json(f"{tmp_path}/records").count() == 150_000
+
+
+def test_records_of_late_years_have_a_timestamp(spark, tmp_path):
+    (tmp_path / "try_0001").mkdir()
+    write(tmp_path / "try_0001/diag.json", json.dumps({"timestamp_utc": "10000-01-02T03:04:05Z"}))
+    row = R.read_diagnostics(spark, str(tmp_path)).select(F.unix_timestamp("timestamp").alias("s")).first()
+    assert row.s == 253402300800 + 86400 + 3 * 3600 + 4 * 60 + 5
