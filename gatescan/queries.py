@@ -749,13 +749,13 @@ def s9_write_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _diagnostics_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.union_attempts(attempts_of(spark, sf_dir))
     number = (c("frame_id") * 3 + c("stage_index")).cast("string")
-    at = F.concat(F.substring(X.utc_timestamp(c("frame_id") * 86413), 1, 8), F.lit("01T00:00:00Z"))  # a folder a month
+    at = F.regexp_replace(X.utc_timestamp(c("frame_id") * 86413), "-[0-9]{2}T.*$", "-01T00:00:00Z")  # a folder a month
     return rows.select(number.alias("request_id"), at.alias("timestamp_utc"), F.struct(F.size("items").alias("output_count")).alias("ocr"), "error")
 
 
 def _written_diagnostics(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.schema("request_id string, ocr struct<output_count:int>, error string, date string").json(path)
-    return found.select(c("request_id").cast("long").alias("request_id"), F.substring("date", 1, 7).alias("month"), c("ocr.output_count").alias("n_items"), "error")
+    return found.select(c("request_id").cast("long").alias("request_id"), F.regexp_replace("date", "-[0-9]{2}$", "").alias("month"), c("ocr.output_count").alias("n_items"), "error")
 
 
 @_register("s10_write_diagnostics", _ATTEMPTS + f" select frame_id * 3 + stage_index as request_id, strftime(timestamp '1970-01-01' + to_seconds(frame_id * 86413), '%Y-%m') as month, n_items, {_ERROR_SQL} as error from scored")

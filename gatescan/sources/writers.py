@@ -32,13 +32,14 @@ def _write_batch(batch: DataFrame, number: int, root: str) -> None:
 
 
 def write_diagnostics(df: DataFrame, root: str, checkpoint: str | None = None) -> StreamingQuery | None:
-    """Diagnostic records as JSON, partitioned by the date of timestamp_utc.
+    """Diagnostic records as JSON, partitioned by the date of timestamp_utc, all digits of its year included.
 
     A stream needs a checkpoint folder. Each of its micro-batches is written once, to date=.../batch=<its number>: a batch that
     is tried again, after a restart too, has the same rows and takes the place of its own folders. So any reader of the
     folder sees no row twice.
     """
-    dated = df.withColumn("date", F.substring("timestamp_utc", 1, 10))
+    late = F.regexp_extract("timestamp_utc", "^([0-9]{5,}-[0-9]{2}-[0-9]{2})", 1)  # beyond the year 9999
+    dated = df.withColumn("date", F.coalesce(F.nullif(late, F.lit("")), F.substring("timestamp_utc", 1, 10)))
     if df.isStreaming:
         if not checkpoint:
             raise ValueError("a stream needs a checkpoint folder")

@@ -322,3 +322,11 @@ def test_records_of_late_years_have_a_timestamp(spark, tmp_path):
     write(tmp_path / "try_0001/diag.json", json.dumps({"timestamp_utc": "10000-01-02T03:04:05Z"}))
     row = R.read_diagnostics(spark, str(tmp_path)).select(F.unix_timestamp("timestamp").alias("s")).first()
     assert row.s == 253402300800 + 86400 + 3 * 3600 + 4 * 60 + 5
+
+
+def test_late_years_keep_their_dates(spark, tmp_path):
+    at = ["9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "10000-01-12T00:00:00Z", "26614-12-19T21:20:00Z", None]
+    rows = spark.createDataFrame([(str(k), t) for k, t in enumerate(at)], "request_id string, timestamp_utc string")
+    W.write_diagnostics(rows, str(tmp_path / "out"))
+    got = spark.read.schema("request_id string, date string").json(str(tmp_path / "out")).orderBy("request_id").collect()
+    assert [r.date for r in got] == [t and t.split("T")[0] for t in at]
