@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,10 +12,14 @@ from pyspark.sql import functions as F
 from gatescan.operators.scans import starts_of
 from gatescan.storage import stored
 
-#: Folders that one task lists, at most about, and the most tasks of a level.
+#: Folders that one task lists where there are few, and the most tasks of a level.
 FOLDERS_A_TASK, MOST_TASKS = 64, 10_000
+#: Of many folders or small files a task takes so many, in as many tasks at least as keep all cores busy TURNS times; and bytes of files.
+MANY, TURNS, BYTES_A_TASK = 4096, 8, 64 << 20
 #: Files of a listing that travel at once.
 _BATCH = 10_000
+#: Characters of contents that travel at once, about.
+_TEXT = 4 << 20
 #: Schemes that PyArrow can open in the tasks; a path without a scheme is a file.
 SCHEMES = ("file", "hdfs", "s3", "gs")
 
@@ -23,6 +28,11 @@ def _scheme(path: str) -> str:
     return path.split(":", 1)[0] if "://" in path or path.startswith("file:") else "file"
 
 
+def opens(path: str) -> bool:
+    """Whether tasks can open a path themselves."""
+    return _scheme(path) in SCHEMES
+
+
 def _open(path: str):
     """(file system, its own path) of a path or URI."""
     from pyarrow import fs
@@ -49,23 +59,23 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     In a store that PyArrow can't open (SCHEMES) Spark's own listing is used, which leaves out empty and hidden files. A root that
     doesn't exist has no files there.
     """
-    if _scheme(root) not in SCHEMES:
+    if not opens(root):
         return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for b in batches:
             for folder in b.column(0).to_pylist():
-                held = []
                 for entry in _entries(folder):
                     held.append(entry)
                     if len(held) == _BATCH:
                         yield _rows(held)
                         held = []
-                yield _rows(held)
+        yield _rows(held)
 
     level, n, found = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), 1, None
     while n:
-        listed = stored(level.repartition(min(MOST_TASKS, -(-n // FOLDERS_A_TASK))).mapInArrow(run, "path string, length long, folder boolean"), "listing")
+        listed = stored(level.repartition(min(MOST_TASKS, -(-n // FOLDERS_A_TASK), _tasks(spark, n))).mapInArrow(run, "path string, length long, folder boolean"), "listing")
         files = listed.where(~F.col("folder")).select("path", "length")
         found = files if found is None else found.unionByName(files)
         level = listed.where("folder").select("path")
@@ -73,6 +83,45 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return found
 
 
+def _tasks(spark: SparkSession, n: int, size: int = 0) -> int:
+    """Tasks for n folders or small files of size bytes."""
+    return max(TURNS * spark.sparkContext.defaultParallelism, -(-n // MANY), -(-size // BYTES_A_TASK))
+
+
+def plain_names(path: Column, root: str) -> Column:
+    """Whether Spark's readers would read a file below root: no part of its name begins with a dot, or with _ and has no =."""
+    below = F.substring(path, len(root.rstrip("/")) + 1, 1 << 20)
+    return ~below.rlike(r"/\.|/_[^=/]*(/|$)|\._COPYING_$")
+
+
+def read_texts(files: DataFrame, n: int, size: int) -> DataFrame:
+    """files (path and more; n of size bytes together) with text, the whole file in the encoding that JSON is found in; blank files
+    are left out. Many small files are read by a task, where Spark's readers would list them on the driver and open few a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, texts, held = [], [], 0
+            for k, path in enumerate(b.column("path").to_pylist()):
+                store, own = _open(path)
+                with store.open_input_stream(own) as found:
+                    raw = found.read()
+                text = raw.decode(json.detect_encoding(raw), "replace")
+                if text.strip(" \t\r\n"):
+                    at.append(k)
+                    texts.append(text)
+                    held += len(text)
+                if held >= _TEXT:
+                    yield taken(b, at, texts)
+                    at, texts, held = [], [], 0
+            yield taken(b, at, texts)
+
+    def taken(b: pa.RecordBatch, at: list[int], texts: list[str]) -> pa.RecordBatch:
+        rows = b.take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*rows.schema.names, "text"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    return files.repartition(_tasks(files.sparkSession, n, size), "path").mapInArrow(run, f"{fields}, text string")
+
+
 def _rows(entries: list[tuple[str, int, bool]]) -> pa.RecordBatch:
     columns = list(zip(*entries, strict=True)) or [(), (), ()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_()), strict=True)], ["path", "length", "folder"])

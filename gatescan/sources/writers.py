@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from gatescan.functions import text as X
 from gatescan.operators.scans import BLOCK, in_range_partitions, starts_of
 from gatescan.schemas import DIAGNOSTIC
-from gatescan.sources.files import list_files
+from gatescan.sources.files import list_files, opens, plain_names, read_texts
+from gatescan.storage import stored
 
 #: Bytes of the small files that go to one file.
 BIN_BYTES = 256 << 20
@@ -62,13 +63,24 @@ def compact_diagnostics(spark: SparkSession, root: str, path: str, bin_bytes: in
     """Writes the records of root/try_NNNN/diag.json, however many small files there are, to Parquet files of about equal shares in
     path, in the order of their attempts, and returns how many. read_compacted() reads them.
 
-    The files' sizes come from a listing and are packed into bins; records are read with their schema given, so no pass infers it.
+    The files' sizes come from a listing and are packed into bins; records are read with their schema given, so no pass infers it,
+    and many files by a task, which no driver lists once more.
     """
-    listed = list_files(spark, root).where(F.col("path").rlike(r"/try_[0-9]+/diag\.json$")).withColumn("attempt_no", X.attempt_number(F.regexp_extract("path", r"(try_[0-9]+)/diag\.json$", 1)))
-    bins = pack_files(listed.select("attempt_no", "length"), ["attempt_no"], bin_bytes)
-    n = (bins.agg(F.max("bin")).first()[0] or 0) + 1
-    records = spark.read.schema(DIAGNOSTIC).option("multiLine", True).json(root, pathGlobFilter="diag.json", recursiveFileLookup=True)
-    found = records.withColumn("attempt_no", X.attempt_number(F.regexp_extract(F.col("_metadata.file_path"), r"(try_[0-9]+)/diag\.json$", 1))).where(F.col("attempt_no").isNotNull())
-    placed = found.join(bins.groupBy("attempt_no").agg(F.min("bin").alias("bin")), "attempt_no")
-    placed.repartitionById(n, F.col("bin")).sortWithinPartitions("attempt_no").drop("bin").write.mode("overwrite").parquet(path)
-    return n
+    listed = list_files(spark, root).where(F.col("path").rlike(r"/try_[0-9]+/diag\.json$") & plain_names(F.col("path"), root)).withColumn("attempt_no", X.attempt_number(F.regexp_extract("path", r"(try_[0-9]+)/diag\.json$", 1)))
+    bins = stored(pack_files(listed, ["attempt_no"], bin_bytes), "bins")
+    total = bins.agg((F.coalesce(F.max("bin"), F.lit(0)) + 1).alias("bins"), F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    if opens(root):
+        placed = records_of(read_texts(bins.withColumn("bin", F.min("bin").over(Window.partitionBy("attempt_no"))), total.files, total.bytes))
+    else:
+        records = spark.read.schema(DIAGNOSTIC).option("multiLine", True).json(root, pathGlobFilter="diag.json", recursiveFileLookup=True)
+        found = records.withColumn("attempt_no", X.attempt_number(F.regexp_extract(F.col("_metadata.file_path"), r"(try_[0-9]+)/diag\.json$", 1))).where(F.col("attempt_no").isNotNull())
+        placed = found.join(bins.groupBy("attempt_no").agg(F.min("bin").alias("bin")), "attempt_no")
+    placed.repartitionById(total.bins, F.col("bin")).sortWithinPartitions("attempt_no").drop("bin").write.mode("overwrite").parquet(path)
+    return total.bins
+
+
+def records_of(texts: DataFrame) -> DataFrame:
+    """The diagnostic records of whole files (text, bin, attempt_no), as Spark's reader gives them: an object or a list of them; what is no JSON is a row of nulls."""
+    none = F.array(F.lit(None).cast(f"struct<{DIAGNOSTIC}>"))
+    rows = texts.select("bin", "attempt_no", F.explode(F.coalesce(F.from_json("text", f"array<struct<{DIAGNOSTIC}>>"), none)).alias("r"))
+    return rows.select("attempt_no", "bin", "r.*")

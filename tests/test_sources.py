@@ -330,3 +330,26 @@ def test_late_years_keep_their_dates(spark, tmp_path):
     W.write_diagnostics(rows, str(tmp_path / "out"))
     got = spark.read.schema("request_id string, date string").json(str(tmp_path / "out")).orderBy("request_id").collect()
     assert [r.date for r in got] == [t and t.split("T")[0] for t in at]
+
+
+def test_compaction_keeps_what_the_reader_reads(spark, tmp_path):
+    texts = ['{"request_id": "a"}', '[{"request_id": "b"}, {"request_id": "c"}]', "", " \n", "null", "no json", '{"request_id": 5, "ocr": "x"}', "[]", '{"request_id": "d"} tail', '{"request_id": "ü陳"}']
+    for k, text in enumerate(texts):
+        (tmp_path / f"in/try_{k:04d}").mkdir(parents=True)
+        write(tmp_path / f"in/try_{k:04d}/diag.json", text)
+    for k, (name, code) in enumerate((("a/try_0020", "utf-8-sig"), ("try_0021", "utf-16-le"), ("try_0022", "utf-32-be"), ("_x/try_0023", "utf-8"), (".y/try_0024", "utf-8"))):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "diag.json").write_bytes(json.dumps({"request_id": f"e{k}"}).encode(code))
+    W.compact_diagnostics(spark, str(tmp_path / "in"), str(tmp_path / "out"), bin_bytes=40)
+    back = R.read_compacted(spark, str(tmp_path / "out"))
+    plain = spark.read.schema(R.DIAGNOSTIC).option("multiLine", True).json(str(tmp_path / "in"), pathGlobFilter="diag.json", recursiveFileLookup=True)
+    want = plain.withColumn("attempt_no", F.regexp_extract("_metadata.file_path", r"try_([0-9]+)/", 1).cast("int"))
+    rows = lambda df: sorted((r.attempt_no, r.request_id or "") for r in df.select("attempt_no", "request_id").collect())
+    assert rows(back) == rows(want) and (21, "e1") in rows(back)
+
+
+def test_many_files_are_read_by_few_tasks(spark, tmp_path):
+    from gatescan.sources import files
+
+    paths = spark.range(100_000).select(F.concat(F.lit(f"{tmp_path}/"), F.col("id").cast("string")).alias("path"))
+    assert files.read_texts(paths, 100_000, 0).rdd.getNumPartitions() <= max(files.TURNS * spark.sparkContext.defaultParallelism, 25)
