@@ -754,7 +754,7 @@ def _diagnostics_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written_diagnostics(spark: SparkSession, path: str) -> DataFrame:
-    found = spark.read.schema("request_id string, ocr struct<output_count:int>, error string, date string").json(path)
+    found = IO.read_written(spark, path, "request_id string, ocr struct<output_count:int>, error string")
     return found.select(c("request_id").cast("long").alias("request_id"), F.regexp_replace("date", "-[0-9]{2}$", "").alias("month"), c("ocr.output_count").alias("n_items"), "error")
 
 

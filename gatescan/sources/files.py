@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -122,6 +124,97 @@ def read_texts(files: DataFrame, n: int, size: int) -> DataFrame:
     return files.repartition(_tasks(files.sparkSession, n, size), "path").mapInArrow(run, f"{fields}, text string")
 
 
+def read_lines(files: DataFrame, n: int, size: int) -> DataFrame:
+    """files (path and more; n of size bytes together) with line, one row a line, however many small files there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, lines, held = [], [], 0
+            for k, path in enumerate(b.column("path").to_pylist()):
+                store, own = _open(path)
+                with store.open_input_stream(own) as found:
+                    for line in io.BufferedReader(found):
+                        at.append(k)
+                        lines.append(line.rstrip(b"\n"))
+                        held += len(line)
+                        if held >= _TEXT:
+                            yield taken(b, at, lines)
+                            at, lines, held = [], [], 0
+            yield taken(b, at, lines)
+
+    def taken(b: pa.RecordBatch, at: list[int], lines: list[bytes]) -> pa.RecordBatch:
+        rows = b.take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(lines, pa.binary())], [*rows.schema.names, "line"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    read = files.repartition(_tasks(files.sparkSession, n, size), "path").mapInArrow(run, f"{fields}, line binary")
+    return read.withColumn("line", F.col("line").cast("string"))
+
+
+def folder_of(name: str, value: Column) -> Column:
+    """name=value, escaped as Spark's writers name the folder of a partition."""
+    escaped = value
+    for x in "%" + "".join(map(chr, range(1, 32))) + "\"#'*/:=?\\\x7f{[]^":
+        escaped = F.replace(escaped, F.lit(x), F.lit(f"%{ord(x):02X}"))
+    return F.concat(F.lit(f"{name}="), F.coalesce(F.nullif(escaped, F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")))
+
+
+def write_folders(rows: DataFrame, root: str, replace: bool = False) -> None:
+    """Writes rows (folder, line; a task's rows of a folder beside each other) to files root/folder/part-*.json in tasks, however many
+    folders there are. A task writes its files to one hidden folder, and they are moved to their own when all are there; only
+    what tasks that succeeded have written is moved, and a move that is tried again goes on. With replace a folder loses what it had."""
+    run_id = uuid.uuid4().hex
+    hidden = f"{root.rstrip('/')}/_staging-{run_id}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, at, out, done, n = TaskContext.get(), None, None, [], 0
+        store, top = _open(f"{hidden}/{task.partitionId():05d}-{task.taskAttemptId()}")
+        store.create_dir(top, recursive=True)
+        for b in batches:
+            for folder, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if folder != at:
+                    if out:
+                        out.close()
+                    at, n = folder, n + 1
+                    out = store.open_output_stream(f"{top}/{n}")
+                    done.append((folder, f"{top}/{n}", f"part-{task.partitionId():05d}-{n}-{run_id}.json"))
+                out.write(line.encode() + b"\n")
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*done, strict=True)], ["folder", "source", "name"])
+            done = []
+        if out:
+            out.close()
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, own = _open(root.rstrip("/"))
+        there = lambda path: store.get_file_info(path).type == fs.FileType.File
+        for b in batches:
+            for folder, files in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                names = {x["name"] for x in files}
+                store.create_dir(f"{own}/{folder}", recursive=True)
+                for e in store.get_file_info(fs.FileSelector(f"{own}/{folder}")) if replace else []:
+                    if e.type == fs.FileType.File and e.base_name not in names:
+                        store.delete_file(e.path)
+                for x in files:
+                    if there(x["source"]):
+                        store.move(x["source"], f"{own}/{folder}/{x['name']}")
+                    elif not there(f"{own}/{folder}/{x['name']}"):
+                        raise FileNotFoundError(x["source"])
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    written = stored(rows.select("folder", "line").mapInArrow(write, "folder string, source string, name string"), "written")
+    parts = _tasks(rows.sparkSession, written.count())
+    moved = written.repartition(parts, "folder").groupBy("folder").agg(F.collect_list(F.struct("source", "name")).alias("files"))
+    moved.mapInArrow(move, "n long").agg(F.sum("n")).collect()
+    store, top = _open(hidden)
+    store.create_dir(top, recursive=True)
+    store.delete_dir(top)
+
+
 def _rows(entries: list[tuple[str, int, bool]]) -> pa.RecordBatch:
     columns = list(zip(*entries, strict=True)) or [(), (), ()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_()), strict=True)], ["path", "length", "folder"])

@@ -9,7 +9,7 @@ from gatescan.functions import text as X
 from gatescan.operators.directory import parse_directory_row
 from gatescan.operators.evaluation import ALIASES, coalesce_aliases, require_image
 from gatescan.schemas import DIAGNOSTIC, RESPONSE
-from gatescan.sources.files import list_files, number_lines
+from gatescan.sources.files import list_files, number_lines, opens, plain_names, read_lines
 
 #: The headers that a seat directory may have, and the message about others. Fixed values.
 HEADERS = ("Seat No,Name", "Seat No,Chinese Name")
@@ -106,6 +106,20 @@ def read_diagnostics(spark: SparkSession, root: str, files: str = "try_*/diag.js
     return _dated(df.withColumn("attempt_no", X.attempt_number(F.col("_metadata.file_path"))))
 
 
+def read_written(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Records that write_diagnostics() has written, of a schema given, with the date of their folders. Files are listed and read
+    in tasks, as there may be a folder or more for each date."""
+    if not opens(root):
+        return spark.read.schema(f"{schema}, date string").json(root)
+    path = F.col("path")
+    files = list_files(spark, root).where(plain_names(path, root) & path.endswith(".json"))
+    total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("size")).first()
+    named = F.regexp_extract("path", "/date=([^/]*)/", 1)
+    date = F.when(named != "__HIVE_DEFAULT_PARTITION__", F.url_decode(F.replace(named, F.lit("+"), F.lit("%2B"))))
+    rows = read_lines(files, total.n, total.size)
+    return rows.select(F.from_json("line", schema).alias("r"), date.alias("date")).select("r.*", "date")
+
+
 def _dated(df: DataFrame) -> DataFrame:
     signed = F.regexp_replace("timestamp_utc", "^([0-9]{5,}-)", "+$1")  # as the pattern has years beyond 9999
     return df.withColumn("timestamp", F.to_timestamp(signed, "yyyy-MM-dd'T'HH:mm:ssX"))

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gatescan.functions import text as X
 from gatescan.operators.scans import BLOCK, in_range_partitions, starts_of
 from gatescan.schemas import DIAGNOSTIC
-from gatescan.sources.files import list_files, opens, plain_names, read_texts
+from gatescan.sources.files import folder_of, list_files, opens, plain_names, read_texts, write_folders
 from gatescan.storage import stored
 
 #: Bytes of the small files that go to one file.
@@ -27,8 +27,17 @@ def _by_date(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", F.col("date"))
 
 
+def _lines(dated: DataFrame, below: str = "") -> DataFrame:
+    """(folder of the date, JSON line) of records, by folder."""
+    value = F.to_json(F.struct(*[c for c in dated.columns if c != "date"]))
+    rows = _by_date(dated).select(F.concat(folder_of("date", F.col("date")), F.lit(below)).alias("folder"), value.alias("line"))
+    return rows.sortWithinPartitions("folder")
+
+
 def _write_batch(batch: DataFrame, number: int, root: str) -> None:
     """Writes a micro-batch to folders of its dates and its number, in place of what an earlier try of it has left."""
+    if opens(root):
+        return write_folders(_lines(batch, f"/batch={number}"), root, replace=True)
     _by_date(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").json(root)
 
 
@@ -45,7 +54,10 @@ def write_diagnostics(df: DataFrame, root: str, checkpoint: str | None = None) -
         if not checkpoint:
             raise ValueError("a stream needs a checkpoint folder")
         return dated.writeStream.foreachBatch(lambda batch, number: _write_batch(batch, number, root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    _by_date(dated).write.mode("append").partitionBy("date").json(root)
+    if opens(root):
+        write_folders(_lines(dated), root)
+    else:
+        _by_date(dated).write.mode("append").partitionBy("date").json(root)
     return None
 
 

@@ -353,3 +353,17 @@ def test_many_files_are_read_by_few_tasks(spark, tmp_path):
 
     paths = spark.range(100_000).select(F.concat(F.lit(f"{tmp_path}/"), F.col("id").cast("string")).alias("path"))
     assert files.read_texts(paths, 100_000, 0).rdd.getNumPartitions() <= max(files.TURNS * spark.sparkContext.defaultParallelism, 25)
+
+
+def test_folders_are_written_as_by_spark(spark, tmp_path):
+    at = ["2024-05-06T07:08:09Z", "2024-05-06T08:08:09Z", "a/b:c%d +", "", None, "26614-12-19T21:20:00Z"]
+    rows = spark.createDataFrame([(str(k), t, f"ü\n{k}") for k, t in enumerate(at)], "request_id string, timestamp_utc string, error string")
+    W.write_diagnostics(rows, str(tmp_path / "out"))
+    W.write_diagnostics(rows, str(tmp_path / "out"))
+    spark.read.schema("request_id string, timestamp_utc string, error string, date string").json(str(tmp_path / "out")).write.partitionBy("date").json(str(tmp_path / "spark"))
+    names = lambda top: sorted(p.name for p in (tmp_path / top).iterdir() if "=" in p.name)
+    assert names("out") == names("spark") and sorted(p.name for p in (tmp_path / "out").iterdir()) == names("out")
+    dates = ["2024-05-06", "2024-05-06", "a/b:c%d +", None, None, "26614-12-19"]
+    want = sorted([(str(k), f"ü\n{k}", t) for k, t in enumerate(dates)] * 2, key=str)
+    for got in (spark.read.schema("request_id string, error string, date string").json(str(tmp_path / "out")), R.read_written(spark, str(tmp_path / "out"), "request_id string, error string")):
+        assert sorted(((r.request_id, r.error, r.date) for r in got.collect()), key=str) == want
